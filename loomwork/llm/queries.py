@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from loomwork.llm import bpe
+from loomwork.llm import bpe, quality_rules
 
 QUERIES = {
+    "op9_quality_rules": quality_rules.op9_quality_rules,
     "op4_bpe_round_trip": bpe.op4_bpe_round_trip,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_quality_rules": quality_rules.ORACLE,
+}
