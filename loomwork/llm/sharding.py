@@ -19,7 +19,6 @@ each get a slot; an empty table gives an empty result.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,11 +77,6 @@ class _Search:
     def width(self) -> int:
         return max(1, -(-(self.high - self.low + 1) // BINS))
 
-    def inside(self) -> Column:
-        same = [F.col(k) == v for k, v in zip(self.keys, self.fixed, strict=False)]
-        key = F.col(self.keys[len(self.fixed)])
-        return reduce(lambda a, b: a & b, [*same, key.between(self.low, self.high)])
-
     def following(self) -> str:
         return self.keys[min(len(self.fixed) + 1, len(self.keys) - 1)]
 
@@ -108,16 +102,21 @@ class _Search:
         self.node.cut, self.done = [*self.fixed, self.low], True
 
 
-def _by_node(at: Column, searches: list, value) -> Column:
-    out = F.lit(None)
-    for s in searches:
-        out = F.when(at == s.node.shard, value(s)).otherwise(out)
-    return out
+def _parameters(searches: list[_Search], keys: list[str]) -> Column:
+    """By node: which columns to bin and to bound, and the bins."""
+    of = lambda s: F.struct(
+        F.lit(keys.index(s.keys[len(s.fixed)])).alias("key"), F.lit(keys.index(s.following())).alias("next"),
+        F.lit(s.low).cast("long").alias("low"), F.lit(s.high).cast("long").alias("high"), F.lit(s.width).cast("long").alias("width"),
+        F.array(*[F.lit(keys.index(k)) for k in s.keys[: len(s.fixed)]]).cast("array<int>").alias("tied"),
+        F.array(*[F.lit(v).cast("long") for v in s.fixed]).cast("array<long>").alias("fixed"),
+    )
+    return F.create_map(*[x for s in searches for x in (F.lit(s.node.shard), of(s))])
 
 
 def build_tree(points: DataFrame, dims: list[str], leaves: int, tolerance: float = 0.004) -> Node:
     """The tree over ``points``: long columns dims, crc, id and the weight w."""
     root, whole = Node(leaves, 0), None
+    keys = list(dict.fromkeys([*dims, "crc", "id"]))
     open_nodes = [root] if leaves > 1 else []
     while open_nodes:
         placed = points.withColumn("at", _shard_of(root)).filter(F.col("at").isin([n.shard for n in open_nodes]))
@@ -141,12 +140,12 @@ def build_tree(points: DataFrame, dims: list[str], leaves: int, tolerance: float
         for n, _, _ in halves:
             n.left = n.right = None
         while todo := [s for s in searches if not s.done]:
-            rows = points.withColumn("at", _shard_of(root)).filter(reduce(lambda a, b: a | b, [(F.col("at") == s.node.shard) & s.inside() for s in todo]))
-            key = _by_node(F.col("at"), todo, lambda s: F.col(s.keys[len(s.fixed)]))
-            following = _by_node(F.col("at"), todo, lambda s: F.col(s.following()))
-            rows = rows.select("at", "w", key.alias("key"), following.alias("next"))
-            number = _by_node(F.col("at"), todo, lambda s: F.floor((F.col("key") - s.low) / s.width))
-            sums = rows.groupBy("at", number.alias("bin")).agg(
+            rows = points.withColumn("at", _shard_of(root)).withColumn("p", _parameters(todo, keys)[F.col("at")])
+            values, p = F.array(*[F.col(k).cast("long") for k in keys]), F.col("p")
+            inside = F.get(values, p["key"]).between(p["low"], p["high"]) & F.forall(F.arrays_zip(p["tied"], p["fixed"]), lambda x: F.get(values, x["tied"]) == x["fixed"])
+            rows = rows.filter(inside).select("at", "w", "p", F.get(values, p["key"]).alias("key"), F.get(values, p["next"]).alias("next"))
+            rows = rows.withColumn("bin", F.call_function("div", F.col("key") - p["low"], p["width"]))
+            sums = rows.groupBy("at", "bin").agg(
                 F.sum("w").alias("w"), F.min("key").alias("least"), F.max("key").alias("most"),
                 F.min("next").alias("next_least"), F.max("next").alias("next_most"),
             )
