@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from loomwork.llm import bpe, html_text, quality_rules, sharding, token_counts
+from loomwork.llm import bpe, html_text, language_id, quality_rules, sharding, token_counts
 
 QUERIES = {
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op5_html_text": html_text.op5_html_text,
     "op10_edit_token_counts": token_counts.op10_edit_token_counts,
     "op8_kd_sharding": sharding.op8_kd_sharding,
+    "op2_language_id": language_id.op2_language_id,
     "op4_bpe_round_trip": bpe.op4_bpe_round_trip,
 }
 
