@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomwork.llm import bpe, html_text, language_id, quality_rules, sharding, token_counts
+from loomwork.llm import bpe, html_text, language_id, near_dedup, quality_rules, sharding, token_counts
 
 QUERIES = {
     "op9_quality_rules": quality_rules.op9_quality_rules,
@@ -10,9 +10,11 @@ QUERIES = {
     "op10_edit_token_counts": token_counts.op10_edit_token_counts,
     "op8_kd_sharding": sharding.op8_kd_sharding,
     "op2_language_id": language_id.op2_language_id,
+    "op3_near_dedup": near_dedup.op3_near_dedup,
     "op4_bpe_round_trip": bpe.op4_bpe_round_trip,
 }
 
 ORACLES: dict[str, str] = {
+    "op3_near_dedup": near_dedup.ORACLE,
     "op9_quality_rules": quality_rules.ORACLE,
 }
