@@ -251,6 +251,25 @@ def predict(df: DataFrame, net: Network, id_col: str = "doc_id", text_col: str =
     return out.select("doc_id", "lang_pred", "score", *[F.col("own")[c].alias(c) for c in keep])
 
 
+def keep_identified(df: DataFrame, net: Network, text_col: str = "text", least_score: float = 0.3) -> DataFrame:
+    """The rows of ``df`` in a language that the network knows, with all their columns.
+
+    Rejected are texts without letters and those whose positions agree with
+    their best language so little that it is no better than a guess.
+    """
+    model, at = df.sparkSession.sparkContext.broadcast(net), df.columns.index(text_col)
+
+    def run(batches):
+        reader = Reader(model.value)
+        for b in batches:
+            for start in range(0, b.num_rows, 1024):
+                part = b.slice(start, 1024)
+                langs, scores = reader.label(part.column(at).to_pylist())
+                yield part.filter(pa.array([x != "und" and s >= least_score for x, s in zip(langs, scores, strict=True)], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     net = fit(docs)

@@ -248,6 +248,22 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, id_col: str
     return joined.select("doc_id", "n_shingles", class_id.alias("class_id"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
+def keep_one(df: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` that stand for their group of near-duplicates, with all their columns.
+
+    Of rows that repeat an id one stays; rows without an id cannot be told
+    apart and all stay.
+    """
+    spark = df.sparkSession
+    judged = near_duplicates(df, size, percent, id_col, text_col)
+    kept = materialise(judged.filter(F.col("kept")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "near-kept")
+    ids = kept.select(F.col("doc_id").alias("_kept_id")).union(spark.createDataFrame([(None,)], "_kept_id long"))
+    out = df.join(ids, F.col(id_col).cast("long").eqNullSafe(F.col("_kept_id")), "left_semi")
+    if kept.filter("n > 1").isEmpty():
+        return out
+    return out.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(out.filter(F.col(id_col).isNull()))
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), size=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
