@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomwork.llm import bpe, decontaminate, html_text, language_id, near_dedup, quality_rules, sharding, token_counts
+from loomwork.llm import bpe, decontaminate, html_text, language_id, near_dedup, quality_model, quality_rules, sharding, token_counts
 
 QUERIES = {
     "op9_quality_rules": quality_rules.op9_quality_rules,
@@ -12,6 +12,7 @@ QUERIES = {
     "op2_language_id": language_id.op2_language_id,
     "op3_near_dedup": near_dedup.op3_near_dedup,
     "op6_decontaminate": decontaminate.op6_decontaminate,
+    "op7_quality_model": quality_model.op7_quality_model,
     "op4_bpe_round_trip": bpe.op4_bpe_round_trip,
 }
 
