@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from loomwork.llm import bpe, decontaminate, html_text, language_id, near_dedup, quality_model, quality_rules, sharding, token_counts
+from loomwork.llm import bpe, decontaminate, html_text, katz, language_id, near_dedup, quality_model, quality_rules, sharding, token_counts
 
 QUERIES = {
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op5_html_text": html_text.op5_html_text,
     "op10_edit_token_counts": token_counts.op10_edit_token_counts,
     "op8_kd_sharding": sharding.op8_kd_sharding,
+    "op1_katz_scores": katz.op1_katz_scores,
     "op2_language_id": language_id.op2_language_id,
     "op3_near_dedup": near_dedup.op3_near_dedup,
     "op6_decontaminate": decontaminate.op6_decontaminate,
