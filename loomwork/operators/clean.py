@@ -14,13 +14,13 @@ EXCLUDED = ("", "ALL", "OTHER")
 
 def split_cell(c: Column, delimiter: str) -> Column:
     """Trimmed non-empty tokens of a delimited cell; a null or wholly empty cell has none."""
-    parts = F.filter(F.transform(F.split(c, F.lit(f"\\Q{delimiter}\\E")), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(c, F.lit(f"\\Q{delimiter}\\E")), lambda x: F.trim(x)), lambda x: x != "")
     return F.when(c.isNull() | F.lower(F.trim(c)).isin(*EMPTY), F.array().cast("array<string>")).otherwise(parts)
 
 
 def split_list(c: Column) -> Column:
     """Trimmed tokens of a list cell without those that mean empty."""
-    return F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), F.trim), lambda x: ~F.lower(x).isin(*EMPTY))
+    return F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: ~F.lower(x).isin(*EMPTY))
 
 
 def topic_label(c: Column) -> Column:

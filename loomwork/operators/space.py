@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomwork.sources.store import cut
+
 Names = Sequence[str]
 
 
@@ -86,10 +88,11 @@ def shortest_paths(edges: DataFrame, nodes: DataFrame, weight: Column, fill_fact
     that no path joins get ``fill_factor`` times the greatest distance.
     ``nodes`` is the category universe, column ``node``.
     """
-    d = both_ways(edges.withColumn("d", weight), "d")
+    d = cut(both_ways(edges.withColumn("d", weight), "d"))
     for _ in range(rounds):
         via = d.select(F.col("i"), F.col("j").alias("_v"), "d").join(d.select(F.col("i").alias("_v"), "j", F.col("d").alias("_e")), "_v")
         d = d.unionByName(via.filter("i <> j").select("i", "j", (F.col("d") + F.col("_e")).alias("d"))).groupBy("i", "j").agg(F.min("d").alias("d"))
+        d = cut(d)
     grid = nodes.select(F.col("node").alias("i")).crossJoin(nodes.select(F.col("node").alias("j"))).filter("i <> j")
     most = d.agg(F.max("d").alias("_most"))
     return grid.join(d, ["i", "j"], "left").crossJoin(most).select("i", "j", F.coalesce("d", F.col("_most") * fill_factor).alias("distance"))

@@ -1,4 +1,4 @@
 """Imports every module that registers queries."""
 
-from loomwork.plans import queries_cube, queries_space  # noqa: F401
+from loomwork.plans import queries_cube, queries_panel, queries_space  # noqa: F401
 from loomwork.plans.registry import ORACLES, QUERIES  # noqa: F401
