@@ -87,6 +87,6 @@ def merge_near(df: DataFrame, position: str, gap: float, weight: str, label: str
     new = F.coalesce((F.col(position) - F.lag(position).over(w) > gap).cast("int"), F.lit(1))
     grouped = df.withColumn("_n", new).withColumn("cluster", F.sum("_n").over(w)).groupBy(*by, "cluster")
     return grouped.agg(
-        (F.sum(F.col(position) * F.col(weight)) / F.sum(weight)).alias(position), F.sum(weight).alias(weight),
+        F.try_divide(F.sum(F.col(position) * F.col(weight)), F.sum(weight)).alias(position), F.sum(weight).alias(weight),
         F.max_by(label, F.struct(F.col(weight), F.col(label))).alias(label), F.count(F.lit(1)).alias("members"),
     )
