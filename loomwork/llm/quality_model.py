@@ -33,7 +33,7 @@ from loomwork.llm._shared import documents, id_text, materialise
 from loomwork.llm.bpe import small_batches
 
 SAMPLE, LEXICON, BITS, EPOCHS, SHARES = 6000, 20_000, 18, 4, 64
-_CACHED = 400_000
+_CACHED = 700_000
 #: A document goes for toxicity only if the scorer is this sure.
 TOXIC_FROM = 0.9
 _PLAIN = re.compile(r"[\W\d_]+")
@@ -45,19 +45,26 @@ TOXIC = ("insults", "lexicon", "several", "gold")
 ABSTAIN = 2
 
 
-def _parts(plain: str) -> list[str]:
+#: What fills a token's features up to four.
+_NONE = [(-1,) * (4 - k) for k in range(5)]
+
+
+def _parts(plain: str) -> tuple[str, ...]:
     """A word's features: itself and its beginnings."""
-    return [plain + "$", *[plain[:k] for k in (4, 5, 6) if len(plain) >= k]]
+    if len(plain) >= 6:
+        return (plain + "$", plain[:4], plain[:5], plain[:6])
+    return (plain + "$", *[plain[:k] for k in (4, 5) if len(plain) >= k])
 
 
 class Tokens:
     """Attributes of tokens by row, with a bounded cache.
 
-    Columns: symbol, shouted, without letters, insult, in the lexicon; and the hashed features.
+    Columns: symbol, shouted, without letters, insult, in the lexicon; and,
+    where asked for, the hashed features.
     """
 
-    def __init__(self, lexicon: frozenset[str] = frozenset()):
-        self.lexicon = lexicon
+    def __init__(self, lexicon: frozenset[str] = frozenset(), features: bool = False):
+        self.lexicon, self.wanted = lexicon, features
         self.reset()
 
     def reset(self) -> None:
@@ -65,31 +72,39 @@ class Tokens:
         self.flags, self.features = np.zeros((0, 5), dtype=bool), np.zeros((0, 4), dtype=np.int32)
 
     def rows(self, texts: list[str]) -> list[np.ndarray]:
-        import xxhash
-
         lists = [t.split() for t in texts]
-        new = {w for words in lists for w in words if w not in self.row}
+        every = set().union(*lists)
+        new = every.difference(self.row)
         if len(self.row) + len(new) > _CACHED:
             self.reset()
-            new = {w for words in lists for w in words}
+            new = every
         if new:
-            flags, features = [], []
-            for w in new:
-                plain = _PLAIN.sub("", w.lower())
-                parts = _parts(plain) if plain else []
-                flags.append((not _SYMBOLS.isdisjoint(w), len(w) > 1 and w.isupper(), not plain, plain in INSULTS, any(p in self.lexicon for p in parts)))
-                hashed = [SHARES + xxhash.xxh32_intdigest(p.encode()) % ((1 << BITS) - SHARES) for p in parts]
-                features.append((hashed + [-1] * 4)[:4])
-            self.row.update(zip(new, range(len(self.row), len(self.row) + len(new)), strict=True))
-            self.flags = np.concatenate([self.flags, np.array(flags, dtype=bool).reshape(-1, 5)])
-            self.features = np.concatenate([self.features, np.array(features, dtype=np.int32).reshape(-1, 4)])
-        return [np.fromiter(map(self.row.__getitem__, words), dtype=np.int64, count=len(words)) for words in lists]
+            self.learn(new)
+        find = self.row.__getitem__
+        return [np.fromiter(map(find, words), dtype=np.int64, count=len(words)) for words in lists]
+
+    def learn(self, new: set[str]) -> None:
+        import xxhash
+
+        hashed, size = xxhash.xxh32_intdigest, (1 << BITS) - SHARES
+        flags, features, lexicon = [], [], self.lexicon
+        for w in new:
+            plain = w.lower() if w.isalpha() else _PLAIN.sub("", w.lower())
+            parts = _parts(plain) if plain and (lexicon or self.wanted) else ()
+            flags.extend((not w.isalnum() and not _SYMBOLS.isdisjoint(w), len(w) > 1 and w.isupper(), not plain, plain in INSULTS, not lexicon.isdisjoint(parts)))
+            if self.wanted:
+                features.extend([SHARES + hashed(p) % size for p in parts])
+                features.extend(_NONE[len(parts)])
+        self.row.update(zip(new, range(len(self.row), len(self.row) + len(new)), strict=True))
+        self.flags = np.concatenate([self.flags, np.fromiter(flags, dtype=bool, count=len(flags)).reshape(-1, 5)])
+        if self.wanted:
+            self.features = np.concatenate([self.features, np.fromiter(features, dtype=np.int32, count=len(features)).reshape(-1, 4)])
 
     def shares(self, rows: np.ndarray) -> np.ndarray:
         """Shares of symbols, shouted, repeated and letterless tokens."""
-        f = self.flags[rows]
+        f = self.flags[rows][:, :3].mean(axis=0)
         again = float((rows[1:] == rows[:-1]).mean()) if len(rows) > 1 else 0.0
-        return np.array([f[:, 0].mean(), f[:, 1].mean(), again, f[:, 2].mean()])
+        return np.array([f[0], f[1], again, f[2]])
 
     def votes(self, rows: np.ndarray) -> tuple[int, ...]:
         """Of QUALITY without gold (1: good), then of TOXIC without gold (1: toxic)."""
@@ -216,7 +231,7 @@ def score(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         targets.append({r["doc_id"]: of[tuple(r[c] for c in cols)] for r in chosen})
 
     def features(batches):
-        tokens = Tokens()
+        tokens = Tokens(features=True)
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
             out = [tokens.hashed(r).astype("<i4").tobytes() for part in small_batches(texts) for r in tokens.rows(texts[part])]
@@ -229,7 +244,7 @@ def score(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     model = sc.broadcast(np.stack(weights))
 
     def apply(batches):
-        tokens = Tokens()
+        tokens = Tokens(features=True)
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
             lists = [r for part in small_batches(texts) for r in _scored(tokens, texts[part], model.value)]
