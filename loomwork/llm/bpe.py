@@ -162,8 +162,8 @@ def _merge_long(table: PairTable, piece: bytes) -> bytes:
 class Encoder:
     """Encodes texts with a pair table and a bounded cache of pre-tokens."""
 
-    #: Cached pre-tokens and their longest length; cells of one matrix; bytes of a piece that goes to the heap.
-    CACHED, CACHED_LENGTH, CELLS, LONG = 500_000, 64, 1 << 20, 2048
+    #: Cached pre-tokens and their longest length; cells of one matrix; bytes of a piece, and pieces of a bucket, that go to the heap.
+    CACHED, CACHED_LENGTH, CELLS, LONG, FEW = 500_000, 64, 1 << 20, 2048, 12
 
     def __init__(self, table: PairTable):
         import regex
@@ -184,6 +184,9 @@ class Encoder:
                 buckets.setdefault((len(p) - 1).bit_length(), []).append(p)
         for bits, group in buckets.items():
             rows = max(1, self.CELLS >> bits)
+            if len(group) < self.FEW:
+                out.update((p, _merge_long(self.table, p)) for p in group)
+                continue
             for k in range(0, len(group), rows):
                 part = group[k : k + rows]
                 out.update(zip(part, _merge_matrix(self.table, part), strict=True))
@@ -216,9 +219,9 @@ class Encoder:
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         lists = [list(self.pieces(t)) for t in texts]
-        know = self.known(p for parts in lists for part in parts for p in part)
+        find = self.known(set().union(*[part for parts in lists for part in parts])).__getitem__
         for parts in lists:
-            yield b"".join([know[p] for part in parts for p in part])
+            yield b"".join([x for part in parts for x in map(find, part)])
 
 
 class _Both(dict):

@@ -62,8 +62,9 @@ class SumTree:
         i, before = 1, 0
         while i < self.size:
             i *= 2
-            if char >= before + self.sums[i, 0]:
-                before += int(self.sums[i, 0])
+            left = int(self.sums[i, 0])
+            if char >= before + left:
+                before += left
                 i += 1
         return i - self.size, before
 
@@ -78,7 +79,7 @@ class CountedText:
     def __init__(self, text: str, leaves: np.ndarray, encoder: Encoder):
         self.text, self.encoder, self.reencoded = text, encoder, 0
         self.blocks = [leaves[i : i + BLOCK] for i in range(0, len(leaves), BLOCK)] or [leaves]
-        self.tree = SumTree(np.array([b.sum(axis=0) for b in self.blocks], dtype=np.int64).reshape(-1, 2))
+        self.tree = SumTree(np.add.reduceat(leaves, np.arange(0, len(leaves), BLOCK), axis=0) if len(leaves) else leaves)
 
     @property
     def leaves(self) -> np.ndarray:
@@ -147,14 +148,14 @@ class CountedText:
 
 def leaves_of(texts: list[str], encoder: Encoder) -> list[np.ndarray]:
     """For each text the length and the number of tokens of its pre-tokens."""
-    lists = [[p for part in encoder.pieces(t) for p in part] for t in texts]
-    know = encoder.known(p for pieces in lists for p in pieces)
+    lists = [encoder.findall(t) for t in texts]
+    find = encoder.known(set().union(*lists)).__getitem__
     out = []
     for pieces in lists:
         n = len(pieces)
         both = np.empty((n, 2), dtype=np.int64)
         both[:, 0] = np.fromiter(map(len, pieces), dtype=np.int64, count=n)
-        both[:, 1] = np.fromiter((len(know[p]) for p in pieces), dtype=np.int64, count=n) >> 2
+        both[:, 1] = np.fromiter(map(len, map(find, pieces)), dtype=np.int64, count=n) >> 2
         out.append(both)
     return out
 
@@ -199,7 +200,9 @@ def apply_edits(trees: DataFrame, path: str) -> DataFrame:
             start = 0
             while start < b.num_rows:
                 stop = start + 1
-                while stop < b.num_rows and sum(sizes[start : stop + 1]) <= 1 << 21 and stop - start < 512:
+                chars = sizes[start]
+                while stop < b.num_rows and chars + sizes[stop] <= 1 << 21 and stop - start < 512:
+                    chars += sizes[stop]
                     stop += 1
                 out = []
                 for doc_id, text, tree, before, edits in zip(*[c.to_pylist() for c in b.slice(start, stop - start).columns], strict=True):
