@@ -5,16 +5,18 @@
     minima.  Documents with equal sets form a class; one of each class goes on.
 2.  Bands of the signature put classes into buckets.  The bands are as many
     rows high as keeps the chance to miss a pair at the threshold below
-    ``MISS``.  In each bucket every class is compared with the least one, not
-    with all others.
+    ``MISS``.  In each bucket every class is compared with its centre, the
+    class that meets most others in all its buckets, not with all others.
 3.  A candidate pair's signatures are compared in batches of ``BATCH``; after
     each, the pair goes if the posterior probability (uniform prior) that its
     similarity reaches the threshold is below ``PRUNE``.  Survivors are
     verified on the full shingle sets of their texts.
-4.  Links give components.  In buckets that still hold several components, the
-    classes outside the bucket's largest one are compared with the classes of
-    all other components, so no candidate link between components is left out,
-    and a group of copies is never expanded into all its pairs.
+4.  Links give components.  The classes of buckets that still hold several
+    components get finer bands (``FINE`` rows, again with at most ``MISS``),
+    and there the classes outside a bucket's largest component are compared
+    with those of all other components.  So a group of copies is never
+    expanded into all its pairs, and a link between components is missed with
+    no more than the chosen probability.
 
 Defined results: a text without words has no shingles, is linked with nothing
 and is its own component; a text of fewer words than a shingle has its whole
@@ -37,7 +39,7 @@ from pyspark.sql import functions as F
 from loomwork.llm._shared import documents, id_text, materialise
 from loomwork.llm.components import connected_components
 
-HASHES, BATCH, MISS, PRUNE = 100, 20, 2e-5, 1e-5
+HASHES, BATCH, MISS, PRUNE, FINE = 100, 20, 2e-5, 1e-5, 20
 _CACHED = 1_000_000
 
 
@@ -83,17 +85,29 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
 
 
 @lru_cache
-def _seeds() -> tuple[np.ndarray, np.ndarray]:
-    r = np.random.default_rng(20240607)
-    return r.integers(0, 2**63, (HASHES, 1), dtype=np.uint64), r.integers(0, 2**63, (HASHES, 1), dtype=np.uint64) | np.uint64(1)
+def _seeds(count: int) -> tuple[np.ndarray, np.ndarray]:
+    r = np.random.default_rng(20240607 + count)
+    return r.integers(0, 2**63, (count, 1), dtype=np.uint64), r.integers(0, 2**63, (count, 1), dtype=np.uint64) | np.uint64(1)
 
 
-def signature(hashes: np.ndarray) -> bytes:
-    xor, times = _seeds()
-    least = np.full(HASHES, np.uint64(2**64 - 1), dtype=np.uint64)
-    for i in range(0, len(hashes), 1024):
-        least = np.minimum(least, ((hashes[i : i + 1024] ^ xor) * times).min(axis=1))
-    return (least >> np.uint64(32)).astype("<u4").tobytes()
+def signature(hashes: np.ndarray, count: int = HASHES) -> np.ndarray:
+    """The minima of ``count`` hash functions over the set."""
+    xor, times = _seeds(count)
+    least = np.full(count, np.uint64(2**64 - 1), dtype=np.uint64)
+    step = max(1, 102_400 // count)
+    for i in range(0, len(hashes), step):
+        least = np.minimum(least, ((hashes[i : i + step] ^ xor) * times).min(axis=1))
+    return (least >> np.uint64(32)).astype("<u4")
+
+
+def band_keys(signs: np.ndarray, rows: int) -> np.ndarray:
+    """Hashes [documents, bands] of bands of ``rows`` minima."""
+    count = signs.shape[1] // rows
+    signs = signs[:, : count * rows].astype(np.uint64)
+    key = np.broadcast_to(np.arange(1, count + 1, dtype=np.uint64), (len(signs), count)).copy()
+    for k in range(rows):
+        key = _spread(key * np.uint64(0x9E3779B97F4A7C15) + signs[:, k::rows])
+    return key.view(np.int64)
 
 
 def band_rows(threshold: float, miss: float = MISS) -> int:
@@ -130,7 +144,7 @@ def signatures(df: DataFrame, size: int) -> DataFrame:
                     h = shingle_hashes(hashed(words_of(text or "")), size)
                     sizes.append(len(h))
                     prints.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
-                    signs.append(signature(h) if len(h) else None)
+                    signs.append(signature(h).tobytes() if len(h) else None)
                 two = np.frombuffer(b"".join(prints), dtype="<i8").reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(sizes, pa.int64()), pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy()), pa.array(signs, pa.binary())],
@@ -142,22 +156,42 @@ def signatures(df: DataFrame, size: int) -> DataFrame:
 
 def _bands(classes: DataFrame, rows: int) -> DataFrame:
     """bucket, cls for every band of every class."""
-    count = HASHES // rows
 
     def run(batches):
         for b in batches:
-            if not b.num_rows:
-                continue
-            signs = np.frombuffer(b"".join(b.column(1).to_pylist()), dtype="<u4").reshape(b.num_rows, HASHES)[:, : count * rows].astype(np.uint64)
-            key = np.broadcast_to(np.arange(1, count + 1, dtype=np.uint64), (b.num_rows, count)).copy()
-            for k in range(rows):
-                key = _spread(key * np.uint64(0x9E3779B97F4A7C15) + signs[:, k::rows])
-            ids = np.repeat(b.column(0).to_numpy(zero_copy_only=False), count)
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(ids, pa.int64())], ["bucket", "cls"])
+            if b.num_rows:
+                key = band_keys(np.frombuffer(b"".join(b.column(1).to_pylist()), dtype="<u4").reshape(b.num_rows, HASHES), rows)
+                ids = np.repeat(b.column(0).to_numpy(zero_copy_only=False), key.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(ids, pa.int64())], ["bucket", "cls"])
 
     return classes.select("cls", "signature").mapInArrow(run, "bucket long, cls long")
 
 
+def _fine_bands(texts: DataFrame, size: int, threshold: float) -> DataFrame:
+    """bucket, cls for bands of FINE rows over as many minima as keep the chance of a miss below MISS."""
+    count = int(np.ceil(np.log(MISS) / np.log1p(-(threshold**FINE))))
+
+    def run(batches):
+        hashed = WordHashes()
+        for b in batches:
+            for start in range(0, b.num_rows, 128):
+                part = b.slice(start, 128)
+                signs = [signature(shingle_hashes(hashed(words_of(t)), size), count * FINE) for t in part.column(1).to_pylist()]
+                key = band_keys(np.stack(signs), FINE)
+                ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False), count)
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(ids, pa.int64())], ["bucket", "cls"])
+
+    return texts.mapInArrow(run, "bucket long, cls long")
+
+
+def _mixed(members: DataFrame, components: DataFrame) -> DataFrame:
+    """bucket, cls, comp, main of buckets that hold several components; main is the largest."""
+    placed = members.join(components.withColumnRenamed("node", "cls"), "cls", "left").select("bucket", "cls", F.coalesce("component", "cls").alias("comp"))
+    counted = placed.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
+    largest = counted.groupBy("bucket").agg(F.max_by("comp", F.struct("n", -F.col("comp"))).alias("main"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
+    return placed.join(largest.select("bucket", "main"), "bucket")
+
+
 def _survivors(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) that sequential comparison of their signatures does not prune."""
     bounds = least_matches(threshold)
@@ -218,28 +252,27 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, id_col: str
     classes = materialise(mine.dropDuplicates(["f0", "f1"]).select("cls", "signature"), "near-classes")
 
     bands = _bands(classes, band_rows(threshold))
-    shared = bands.groupBy("bucket").agg(F.min("cls").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    shared = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = materialise(bands.join(shared, "bucket"), "near-members")
-    first = members.filter("cls <> least").select(F.col("cls").alias("a"), F.col("least").alias("b")).distinct()
-    survivors = materialise(_survivors(first, classes, threshold), "near-pairs")
+    # the class that meets most others, as an original among its copies does, stands for each of its buckets
+    met = members.groupBy("cls").agg(F.sum("n").alias("met"))
+    centre = members.join(met, "cls").groupBy("bucket").agg(F.max_by("cls", F.struct("met", -F.col("cls"))).alias("centre"))
+    pair = (F.greatest("cls", "centre").alias("a"), F.least("cls", "centre").alias("b"))
+    first = materialise(members.join(centre, "bucket").filter("cls <> centre").select(*pair).distinct(), "near-pairs")
     texts = rows.filter(F.col("text").isNotNull())
-    links = materialise(_verified(survivors, texts, size, percent), "near-links")
-    found = materialise(connected_components(links), "near-components")
-
-    # buckets that still hold several components
-    placed = members.join(found.withColumnRenamed("node", "cls"), "cls", "left").select("bucket", "cls", F.coalesce("component", "cls").alias("comp"))
-    counted = placed.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
-    largest = counted.groupBy("bucket").agg(F.max_by("comp", F.struct("n", -F.col("comp"))).alias("main"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
-    mixed = materialise(placed.join(largest.select("bucket", "main"), "bucket"), "near-mixed")
-    minor = mixed.filter("comp <> main").select("bucket", F.col("cls").alias("u"), F.col("comp").alias("cu"))
-    across = minor.join(mixed.select("bucket", "cls", "comp"), "bucket").filter("comp <> cu").select(F.greatest("u", "cls").alias("a"), F.least("u", "cls").alias("b")).distinct()
-    rest = _survivors(across.join(first, ["a", "b"], "left_anti"), classes, threshold)
-    more = materialise(rest, "near-pairs")
-    if more.isEmpty():
-        components = found
-    else:
-        later = materialise(_verified(more, texts, size, percent), "near-links")
-        components = connected_components(links.union(later))
+    links = materialise(_verified(_survivors(first, classes, threshold), texts, size, percent), "near-links")
+    components = materialise(connected_components(links), "near-components")
+
+    open_classes = materialise(_mixed(members.select("bucket", "cls"), components).select(F.col("cls").alias("doc_id")).distinct(), "near-open")
+    if not open_classes.isEmpty():
+        own = texts.join(open_classes, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+        mixed = materialise(_mixed(_fine_bands(own, size, threshold), components), "near-mixed")
+        minor = mixed.filter("comp <> main").select("bucket", F.col("cls").alias("u"), F.col("comp").alias("cu"))
+        across = minor.join(mixed.select("bucket", "cls", "comp"), "bucket").filter("comp <> cu").select(F.greatest("u", "cls").alias("a"), F.least("u", "cls").alias("b")).distinct()
+        rest = materialise(_survivors(across.join(first, ["a", "b"], "left_anti"), classes, threshold), "near-pairs")
+        if not rest.isEmpty():
+            later = materialise(_verified(rest, texts, size, percent), "near-links")
+            components = connected_components(links.union(later))
 
     narrow = signed.drop("signature")
     joined = narrow.join(classes_of, ["f0", "f1"], "left").join(components.withColumnRenamed("node", "cls"), "cls", "left")
