@@ -1,6 +1,6 @@
 """Katz backoff scores: Good-Turing counts and exactly normalised backoff weights.
 
-The corpus is read once into *blocks*: a few million tokens as numbers into the
+The corpus is read once into *blocks*: about a million tokens as numbers into the
 block's own list of words, written as a table bucketed by block.  Everything
 after works on blocks and on hash parts, by request and answer: each block
 sends the distinct words (then word pairs) that it has, with its training
@@ -43,7 +43,7 @@ from loomwork.llm._shared import documents, materialise
 from loomwork.llm.language_id import held_out
 
 K = 5
-BLOCK_TOKENS, PART_WORDS, PART_PAIRS, HOT_SHARE = 2_500_000, 1_000_000, 3_000_000, 1000
+BLOCK_TOKENS, PART_WORDS, PART_PAIRS, HOT_SHARE = 1_250_000, 500_000, 1_500_000, 1000
 END = b"\n"
 _START, _WIDTH = 2**31 - 2, np.uint64(31)
 
