@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -91,3 +93,40 @@ def matched_residual(df: DataFrame, key: str, features: list[str], value: str, n
     near = q.join(scaled.select(F.col(key).alias("_k"), F.col(value).alias("_v"), *zs), F.col("_q") != F.col("_k")).withColumn("_d", F.round(d, 9))
     ranked = near.withColumn("_r", F.row_number().over(Window.partitionBy("_q").orderBy("_d", "_k"))).filter(F.col("_r") <= neighbours)
     return ranked.groupBy("_q").agg(F.first("_own").alias(value), F.avg("_v").alias("expected")).select(F.col("_q").alias(key), value, "expected", (F.col(value) - F.col("expected")).alias("residual"))
+
+
+def cosine_pairs(df: DataFrame, key: str, vector: str, block: int = 2048) -> DataFrame:
+    """i < j over all rows and the cosine of their vectors to five digits; a norm of 0 counts as 1.
+
+    Rows fall into blocks by their key; each pair of blocks is one task's
+    matrix product.  Null vectors, vectors with a null and vectors of unequal
+    length give null; equal keys are no pair.
+    """
+    rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
+    blocks = max(1, -(-rows.count() // block))
+    own = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    cells = dealt.select("id", "v", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
+
+    def side(g: pd.DataFrame):
+        size = np.array([-1 if v is None else len(v) for v in g["v"]])
+        x = np.zeros((len(g), max(size.max(initial=0), 1)))
+        for k, v in enumerate(g["v"]):
+            if size[k] > 0:
+                x[k, : size[k]] = np.array(v, dtype=float)
+        size = np.where(np.isnan(x).any(axis=1), -1, size)
+        norm = np.sqrt((x * x).sum(axis=1))
+        return g["id"].to_numpy(), x, np.where(norm == 0, 1, norm), size
+
+    def run(cell: pd.DataFrame) -> pd.DataFrame:
+        p, q = cell["p"].iloc[0], cell["q"].iloc[0]
+        (a, x, nx, sx), (b, y, ny, sy) = side(cell[cell["own"] == p]), side(cell[cell["own"] == q])
+        wide = min(x.shape[1], y.shape[1])
+        cosine = np.round(x[:, :wide] @ y[:, :wide].T / (nx[:, None] * ny), 5) + 0.0
+        cosine[(sx[:, None] != sy) | (sx[:, None] < 0)] = np.nan
+        m, n = np.nonzero(a[:, None] < b if p == q else a[:, None] != b)
+        found = cosine[m, n]
+        return pd.DataFrame({"i": np.minimum(a[m], b[n]), "j": np.maximum(a[m], b[n]), "cosine": found})
+
+    out = cells.groupBy("p", "q").applyInPandas(run, "i long, j long, cosine double")
+    return out.withColumn("cosine", F.nanvl("cosine", F.lit(None).cast("double")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loomwork.operators import cube, pairs, resample, space, stats
 from loomwork.plans.facts import SQL, activity, table
 from loomwork.plans.queries_space import counts, edges, rounded, yearly
-from loomwork.plans.registry import query
+from loomwork.plans.registry import ORACLES, query
 
 PAIRS = SQL + """, k AS (SELECT actor, count(*) AS k FROM sup GROUP BY actor), shd AS (SELECT a.actor AS a, b.actor AS b, count(*) AS n FROM sup a JOIN sup b ON a.topic = b.topic AND a.actor < b.actor GROUP BY ALL),
 po AS (SELECT x.actor AS a, y.actor AS b, x.k AS k_a, y.k AS k_b, coalesce(n, 0) AS shared, x.k + y.k - coalesce(n, 0) AS "union", coalesce(n, 0) * 1.0 / (x.k + y.k - coalesce(n, 0)) AS jaccard
@@ -196,3 +196,9 @@ def i06(spark, d):
     norm = lambda a: F.coalesce(F.nullif(F.sqrt(dot(a, a)), F.lit(0.0)), F.lit(1.0))
     a, b = (e.select(F.col("vec_id").alias(k), F.col("v").alias(f"v{k}")) for k in "ij")
     return a.join(b, F.col("i") < F.col("j")).select("i", "j", F.round(dot(F.col("vi"), F.col("vj")) / (norm(F.col("vi")) * norm(F.col("vj"))), 5).alias("cosine"))
+
+
+@query("i06b_vector_cosine_all", ORACLES["i06_vector_cosine"].replace(" WHERE vec_id < 60", ""))
+def i06b(spark, d):
+    """Every pair of embeddings; i06 keeps the ids that its SQL names."""
+    return pairs.cosine_pairs(table(spark, d, "embeddings"), "vec_id", "embedding").select("i", "j", "cosine")
