@@ -9,7 +9,7 @@ from loomwork.operators import cube, sequence, space
 from loomwork.plans.facts import SQL, activity
 from loomwork.plans.queries_panel import held
 from loomwork.plans.queries_space import REGIONS, regions, rounded, yearly
-from loomwork.plans.registry import query
+from loomwork.plans.registry import ORACLES, query
 
 VOLUME = SQL + """, v AS (SELECT topic, year, count(*) AS n FROM fact GROUP BY ALL), r AS (SELECT *, sum(n) OVER (PARTITION BY topic ORDER BY year) AS upto, sum(n) OVER (PARTITION BY topic) AS total FROM v),
 em AS (SELECT topic, CAST(p AS INTEGER) AS percent, min(year) AS emergence, CAST(max(total) AS BIGINT) AS total FROM r, (SELECT unnest([5, 10, 15, 25, 50]) AS p) WHERE total >= 10 AND upto * 100 >= p * total GROUP BY ALL)
@@ -108,6 +108,16 @@ def k10(spark, d):
     return out.select("g", "cluster", F.round("x", 4).alias("position"), "weight", F.col("id").alias("label"), "members")
 
 
+@query("k10b_merge_near_all", ORACLES["k10_merge_near"].replace(" WHERE c_nationkey < 5", ""))
+def k10b(spark, d):
+    """Every nation; k10 keeps the five that its SQL names."""
+    from loomwork.plans.facts import table
+
+    rows = table(spark, d, "customer").select(F.col("c_nationkey").alias("g"), F.col("c_acctbal").alias("x"), F.col("c_custkey").alias("id"), F.col("c_custkey").alias("weight"))
+    out = sequence.merge_near(rows, "x", 40, "weight", "id", ["g"])
+    return out.select("g", "cluster", F.round("x", 4).alias("position"), "weight", F.col("id").alias("label"), "members")
+
+
 WINDOW_SHARES = REGIONS + """, ys AS (SELECT year, actor, region, sum(rca) AS w, count(*) AS k FROM yrca JOIN reg USING (topic) WHERE active GROUP BY ALL),
 dm AS (SELECT year, actor, region FROM (SELECT *, row_number() OVER (PARTITION BY year, actor ORDER BY round(w, 9) DESC, region) AS r, sum(k) OVER (PARTITION BY year, actor) AS held FROM ys) WHERE r = 1 AND held >= 3)
 """

@@ -31,3 +31,10 @@ def test_every_pair_of_embeddings(spark, tmp_path):
     assert len(got) == 70 * 69 // 2 and got == [pytest.approx(r, abs=1.1e-5) for r in want]
     odd = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0]), (3, None), (4, [3.0, 0.0]), (5, [None, 1.0])], "id long, v array<double>")
     assert {(r["i"], r["j"]): r["cosine"] for r in pairs.cosine_pairs(odd, "id", "v", block=2).collect() if r["cosine"] is not None} == {(1, 4): 1.0}
+
+
+def test_every_nation_is_clustered(spark, tmp_path):
+    rows = [(k, k % 25, float((k * 37) % 900)) for k in range(200)]
+    spark.createDataFrame(rows, "c_custkey long, c_nationkey int, c_acctbal double").toPandas().to_parquet(tmp_path / "customer.parquet")
+    got, want = both(spark, "k10b_merge_near_all", tmp_path)
+    assert got == want and {r[0] for r in got} == set(range(25)) and sum(r[-1] for r in got) == 200
