@@ -220,21 +220,43 @@ def choice_moments(x: np.ndarray, chosen: int, beta: np.ndarray) -> tuple[float,
 
 
 def swap_null(pairs: np.ndarray, seed: int, burn: int = 20, thin: int = 8, draws: int = 1):
-    """Bipartite edge sets with the same margins on both sides, by random swaps; yields one edge array for each draw."""
+    """Bipartite edge sets with the same margins on both sides, by random swaps; yields one edge array for each draw.
+
+    ``burn`` accepted swaps an edge come first and ``thin`` before each draw.
+    Of a table more than half full the empty cells are swapped, which is the
+    same walk with fewer refusals; a full table has no other state.
+    """
     r = np.random.default_rng(seed)
-    edges = [tuple(p) for p in pairs.tolist()]
+    rows, columns = (pairs.max(axis=0) + 1) if len(pairs) else (0, 0)
+    grid = np.zeros((rows, columns), dtype=bool)
+    if len(pairs):
+        grid[pairs[:, 0], pairs[:, 1]] = True
+    holes = 2 * len(pairs) > grid.size
+    edges = [tuple(p) for p in (np.argwhere(~grid) if holes else pairs).tolist()]
     have, n = set(edges), len(edges)
+    picks = iter(())
     for k in range(draws):
-        target, tries, done = (burn if not k else thin) * n, 0, 0
+        target, tries, done = ((0 if k else burn) + thin) * len(pairs), 0, 0
         while done < target and tries < max(1000, 100 * target) and n > 1:
             tries += 1
-            i, j = r.integers(0, n, 2)
+            found = next(picks, None)
+            if found is None:
+                picks = iter(r.integers(0, n, (4096, 2)).tolist())
+                found = next(picks)
+            i, j = found
             (a, x), (b, y) = edges[i], edges[j]
             if a == b or x == y or (a, y) in have or (b, x) in have:
-                done += a == b or x == y
                 continue
-            have -= {(a, x), (b, y)}
-            have |= {(a, y), (b, x)}
+            have.remove((a, x))
+            have.remove((b, y))
+            have.add((a, y))
+            have.add((b, x))
             edges[i], edges[j] = (a, y), (b, x)
             done += 1
-        yield np.array(edges)
+        if holes:
+            grid[:] = True
+            if edges:
+                grid[tuple(np.array(edges).T)] = False
+            yield np.argwhere(grid)
+        else:
+            yield np.array(edges)

@@ -154,7 +154,7 @@ def j05(spark, d):
 
 @query("j11_swap_null")
 def j11(spark, d):
-    return models.swap_null_jaccard(held(spark, d), draws=16, burn=2, thin=1)
+    return models.swap_null_jaccard(held(spark, d), draws=400)
 
 
 def both_panels(spark, d):
@@ -177,7 +177,7 @@ def l04b(spark, d):
     rows = both_panels(spark, d)
     retain, adopt = models.retain_adopt(rows)
     values = {k: [r["coefficient"] for r in m.collect()] for k, m in (("retain", retain), ("adopt", adopt))}
-    return models.simulate(rows, values, 8).groupBy("period", "actor").agg(F.avg("breadth").alias("simulated"))
+    return models.simulate(rows, values, 64).groupBy("period", "actor").agg(F.avg("breadth").alias("simulated"))
 
 
 @query("g23_quadratic_fit")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.operators import cube, pairs, resample, space, stats
+from loomwork.operators import cube, models, pairs, resample, space, stats
 from loomwork.plans.facts import SQL, activity, table
 from loomwork.plans.queries_space import counts, edges, rounded, yearly
 from loomwork.plans.registry import ORACLES, query
@@ -155,10 +158,14 @@ sh AS (SELECT draw, v, row_number() OVER (PARTITION BY draw ORDER BY md5('3:' ||
 ms AS (SELECT label, draw, avg(sh.v) AS m FROM sh JOIN nb USING (place) GROUP BY ALL), ob AS (SELECT label, avg(v) AS observed, count(*) AS n FROM f GROUP BY label), al AS (SELECT avg(v) AS a FROM f)
 SELECT label, round(any_value(observed), 6) AS observed, any_value(n) AS n, round(avg(m), 6) AS null_mean, round((count(*) FILTER (abs(round(m - a, 9)) >= abs(round(observed - a, 9))) + 1) / 101.0, 6) AS p FROM ms JOIN ob USING (label), al GROUP BY label""")
 def j07(spark, d):
+    return permuted_labels(spark, d, 100)
+
+
+def permuted_labels(spark, d, count):
     p = places(spark, d)
     blocs = overlap(spark, d).join(p.select(F.col("actor").alias("a"), F.col("bloc").alias("x")), "a").join(p.select(F.col("actor").alias("b"), F.col("bloc").alias("y")), "b")
     rows = blocs.select(F.concat_ws("-", "a", "b").alias("pair"), F.when(F.col("x") == F.col("y"), "same").otherwise("mixed").alias("label"), "jaccard")
-    return resample.label_permutation(rows, "pair", "label", "jaccard", 100, seed=3).select("label", *rounded("observed"), "n", *rounded("null_mean", "p"))
+    return resample.label_permutation(rows, "pair", "label", "jaccard", count, seed=3).select("label", *rounded("observed"), "n", *rounded("null_mean", "p"))
 
 
 @query("j08_subset_permutation", PAIRS + """, mem AS (SELECT actor FROM geo WHERE bloc = 1 AND actor IN (SELECT actor FROM fact)), en AS (SELECT DISTINCT actor FROM fact), dr AS (SELECT CAST(unnest(range(1, 101)) AS INTEGER) AS draw),
@@ -167,9 +174,28 @@ st AS (SELECT draw, list(actor) AS s FROM (SELECT draw, actor FROM rk WHERE k <=
 gp AS (SELECT draw, avg(jaccard) FILTER (list_contains(s, a) AND list_contains(s, b)) - avg(jaccard) FILTER (NOT (list_contains(s, a) AND list_contains(s, b))) AS gap FROM st, po GROUP BY draw), o AS (SELECT round(gap, 9) AS o FROM gp WHERE draw = 0)
 SELECT round(any_value(o), 6) AS observed, round(avg(gap), 6) AS null_mean, round((count(*) FILTER (abs(round(gap, 9)) >= abs(o)) + 1) / 101.0, 6) AS p FROM gp, o WHERE draw > 0""")
 def j08(spark, d):
+    return permuted_members(spark, d, 100)
+
+
+def permuted_members(spark, d, count):
     present = activity(spark, d).select("actor").distinct()
     members = places(spark, d).filter("bloc = 1").select("actor").join(present, "actor", "left_semi")
-    return resample.subset_permutation(overlap(spark, d), present, members, "jaccard", 100, seed=5).select(*rounded("observed", "null_mean", "p"))
+    return resample.subset_permutation(overlap(spark, d), present, members, "jaccard", count, seed=5).select(*rounded("observed", "null_mean", "p"))
+
+
+def more_draws(name, count):
+    """The SQL of a query of 100 draws, with ``count``."""
+    return ORACLES[name].replace("range(1, 101)", f"range(1, {count + 1})").replace("/ 101.0", f"/ {count + 1}.0")
+
+
+@query("j07b_label_permutation_2000", more_draws("j07_label_permutation", 2000))
+def j07b(spark, d):
+    return permuted_labels(spark, d, 2000)
+
+
+@query("j08b_subset_permutation_5000", more_draws("j08_subset_permutation", 5000))
+def j08b(spark, d):
+    return permuted_members(spark, d, 5000)
 
 
 @query("j12_weighted_row_null", SQL + """, w AS (SELECT topic, count(*) AS w FROM sup GROUP BY topic), k AS (SELECT actor, count(*) AS k FROM sup GROUP BY actor), dr AS (SELECT CAST(unnest(range(1, 6)) AS INTEGER) AS draw),
@@ -181,10 +207,20 @@ def j12(spark, d):
 
 @query("j13_null_summary", None)
 def j13(spark, d):
-    sup = held(spark, d)
-    null = resample.weighted_row_null(sup, 20, seed=7)
-    drawn = pairs.pair_overlap(null, ("draw",)).groupBy("draw").agg(F.avg("jaccard").alias("jaccard"))
-    return resample.null_summary(drawn, pairs.pair_overlap(sup).agg(F.avg("jaccard").alias("jaccard")), "jaccard")
+    """By block of ten years and basis (support, any activity), against 400 tables with both margins kept."""
+    facts = activity(spark, d)
+    first, last = facts.agg(F.min("year"), F.max("year")).first()
+    null, seen = [], []
+    for start, end in cube.block_periods(first, last, 10) if first is not None else []:
+        x = cube.count_cube(facts.filter(F.col("year").between(start, end)), ["actor", "topic"])
+        for basis, sup in (("rpa", space.support(x)), ("presence", x)):
+            sup = sup.select("actor", "topic")
+            named = [F.lit(start).alias("start"), F.lit(end).alias("end"), F.lit(basis).alias("basis")]
+            null.append(models.swap_null_jaccard(sup, draws=400).select(*named, "jaccard"))
+            seen.append(pairs.pair_overlap(sup).agg(F.avg("jaccard").alias("jaccard")).select(*named, "jaccard"))
+    if not null:
+        null = seen = [spark.createDataFrame([], "start int, end int, basis string, jaccard double")]
+    return resample.null_summary(reduce(DataFrame.unionByName, null), reduce(DataFrame.unionByName, seen).dropna(), "jaccard", ("start", "end", "basis"))
 
 
 @query("i06_vector_cosine", """WITH e AS (SELECT vec_id, embedding AS v FROM embeddings WHERE vec_id < 60), p AS (SELECT a.vec_id AS i, b.vec_id AS j, list_sum(list_transform(range(1, 65), lambda k: CAST(a.v[k] AS DOUBLE) * b.v[k])) AS d,

@@ -38,3 +38,20 @@ def test_every_nation_is_clustered(spark, tmp_path):
     spark.createDataFrame(rows, "c_custkey long, c_nationkey int, c_acctbal double").toPandas().to_parquet(tmp_path / "customer.parquet")
     got, want = both(spark, "k10b_merge_near_all", tmp_path)
     assert got == want and {r[0] for r in got} == set(range(25)) and sum(r[-1] for r in got) == 200
+
+
+def test_draws_of_the_null_models(spark):
+    sf = "/root/testdata/sf0.001"
+    assert e.queries()["j11_swap_null"](spark, sf).count() == 400
+    got = {r["basis"]: r for r in e.queries()["j13_null_summary"](spark, sf).collect()}
+    assert set(got) == {"rpa", "presence"} and all(r["q05"] <= r["null_mean"] <= r["q95"] for r in got.values())
+
+
+def test_swaps_are_accepted_ones():
+    from loomwork.functions import kernels
+
+    full = np.argwhere(np.ones((4, 5), dtype=bool))
+    assert [sorted(map(tuple, x)) for x in kernels.swap_null(full, 1, draws=2)] == [sorted(map(tuple, full))] * 2
+    ring = np.array([(k, k) for k in range(3)])
+    odd = [sum(a > b for k, a in enumerate(p) for b in p[k + 1 :]) % 2 for p in (x[np.argsort(x[:, 0]), 1] for x in kernels.swap_null(ring, 1, 1, 1, 40))]
+    assert odd == [0, 1] * 20, "three accepted swaps between draws turn an even order into an odd one"
