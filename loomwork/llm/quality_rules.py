@@ -11,7 +11,8 @@ from the finest of the three that has ``min_group`` documents:
     low  = q25 - reach * max(q75 - q25, least spread of the rule)
 
 Nothing is fixed but the least spreads, which stop a uniform group from
-rejecting ordinary variation.  Counting needs no shuffle; the sketches shuffle
+rejecting ordinary variation; ``tail`` takes the spread of two rules from the
+upper tail of the sketch instead.  Counting needs no shuffle; the sketches shuffle
 a few rows for each group.
 
 Defined results: a null text counts as empty and fails the base rule; a null
@@ -38,6 +39,9 @@ RULES = {
     "repeats": ("n_repeat_words", "n_words", 1000, 100, False),
 }
 MIN_GROUP, REACH = 50, 3
+#: Rules of which most documents have nothing, so that the quartiles say nothing: their spread is that of the upper tail
+#: (q95 - q75), and these are its least values.  The pipeline uses them; the SQL of op9 has the spreads above.
+TAIL = {"dup_lines": 20, "repeats": 20}
 
 
 def let(value: Column, body) -> Column:
@@ -116,8 +120,8 @@ def sketches(counted: DataFrame) -> DataFrame:
     return rows.groupBy("lang", "source", "rule", "bin").agg(F.count(F.lit(1)).alias("n"))
 
 
-def thresholds(sketch: DataFrame, min_group: int = MIN_GROUP, reach: int = REACH) -> DataFrame:
-    """One row for each (lang, source): <rule>_low and <rule>_high of every rule."""
+def thresholds(sketch: DataFrame, min_group: int = MIN_GROUP, reach: int = REACH, tail: bool = False) -> DataFrame:
+    """One row for each (lang, source): <rule>_low and <rule>_high of every rule; ``tail`` takes the spreads of TAIL."""
     none = F.lit("")
     levels = F.array(
         F.struct(F.lit(1).alias("level"), F.col("lang").alias("a"), F.col("source").alias("b")),
@@ -128,8 +132,11 @@ def thresholds(sketch: DataFrame, min_group: int = MIN_GROUP, reach: int = REACH
     group = Window.partitionBy("level", "a", "b", "rule")
     ranked = merged.withColumns({"upto": F.sum("n").over(group.orderBy("bin")), "all": F.sum("n").over(group)})
     at = lambda p: F.min(F.when(100 * F.col("upto") >= p * F.col("all"), F.col("bin")))
-    quartiles = ranked.groupBy("level", "a", "b", "rule").agg(at(25).alias("q25"), at(75).alias("q75"), F.max("all").alias("all"))
-    spread = F.greatest(F.col("q75") - F.col("q25"), F.create_map(*[F.lit(x) for r, v in RULES.items() for x in (r, v[3])])[F.col("rule")])
+    quartiles = ranked.groupBy("level", "a", "b", "rule").agg(at(25).alias("q25"), at(75).alias("q75"), at(95).alias("q95"), F.max("all").alias("all"))
+    least = {r: v[3] for r, v in RULES.items()} | (TAIL if tail else {})
+    spread = F.greatest(F.col("q75") - F.col("q25"), F.create_map(*[F.lit(x) for item in least.items() for x in item])[F.col("rule")])
+    if tail:
+        spread = F.greatest(spread, F.when(F.col("rule").isin(*TAIL), F.col("q95") - F.col("q75")))
     fences = quartiles.select(
         "level", "a", "b", "rule", "all",
         (F.col("q25") - reach * spread).alias("low"),
@@ -159,11 +166,11 @@ def _named(df: DataFrame, text_col: str, lang_col: str, source_col: str) -> list
     return [F.col(text_col).cast("string").alias("text"), empty(lang_col)("lang"), empty(source_col)("source")]
 
 
-def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", tail: bool = False) -> DataFrame:
     """doc_id, the counts, base_failed, the group's fences and kept."""
     rows = df.select(F.col(id_col).alias("doc_id"), *_named(df, text_col, lang_col, source_col))
     counted = materialise(count(rows).drop("text"), "quality-counts")
-    fences = thresholds(sketches(counted))
+    fences = thresholds(sketches(counted), tail=tail)
     return counted.join(fences, ["lang", "source"], "left").withColumn("kept", verdict())
 
 
@@ -174,7 +181,7 @@ def keep_good(df: DataFrame, text_col: str = "text", lang_col: str = "lang", sou
     counts again and joins them.
     """
     rows = df.select(*_named(df, text_col, lang_col, source_col))
-    fences = materialise(thresholds(sketches(count(rows))), "quality-fences")
+    fences = materialise(thresholds(sketches(count(rows)), tail=True), "quality-fences")
     own = df.columns
     lang, source = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (lang_col, source_col))
     marked = count(df, text_col, "_q_").withColumns({"_q_lang": lang, "_q_source": source})
@@ -184,7 +191,15 @@ def keep_good(df: DataFrame, text_col: str = "text", lang_col: str = "lang", sou
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = judge(documents(spark, sf_dir))
+    return _judged(judge(documents(spark, sf_dir)))
+
+
+def op9_quality_rules_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the pipeline's fences: those of dup_lines and repeats follow the upper tail."""
+    return _judged(judge(documents(spark, sf_dir), tail=True))
+
+
+def _judged(judged: DataFrame) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
@@ -236,3 +251,9 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        (NOT base_failed AND bad.id IS NULL) AS kept
 FROM (SELECT *, row_number() OVER () AS id FROM m) x LEFT JOIN bad ON bad.id = x.id
 """
+
+ORACLE_TAIL = (
+    ORACLE.replace("[100, 40, 100, 100]", "[100, 40, 20, 20]")
+    .replace("THEN bin END) AS q75 FROM cum", "THEN bin END) AS q75, min(CASE WHEN rule >= 3 AND 100 * upto >= 95 * total THEN bin END) AS q95 FROM cum")
+    .replace("greatest(q75 - q25, least_spread)", "greatest(q75 - q25, q95 - q75, least_spread)")
+)

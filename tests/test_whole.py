@@ -55,3 +55,16 @@ def test_swaps_are_accepted_ones():
     ring = np.array([(k, k) for k in range(3)])
     odd = [sum(a > b for k, a in enumerate(p) for b in p[k + 1 :]) % 2 for p in (x[np.argsort(x[:, 0]), 1] for x in kernels.swap_null(ring, 1, 1, 1, 40))]
     assert odd == [0, 1] * 20, "three accepted swaps between draws turn an even order into an odd one"
+
+
+def test_each_rule_rejects_what_the_base_rule_keeps(spark, tmp_path):
+    text = lambda k, n=100: " ".join(f"w{k}x{i}" for i in range(n))
+    lines = lambda k: [text(f"{k}l{i}", 6) for i in range(20)]
+    rows = [(k, "\n".join(lines(k)), "en", "web") for k in range(100)]
+    rows += [(100, "\n".join(lines(100) + ["so it is", "so it is"] * 3), "en", "web")]
+    rows += [(101, text(101) + " a b c d e f " + text(102, 5) + " a b c d e f", "en", "web")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    df.toPandas().to_parquet(tmp_path / "documents.parquet")
+    got, want = both(spark, "op9_quality_rules_tail", tmp_path)
+    assert got == want
+    assert not any(r[6] for r in got) and [r[0] for r in got if not r[7]] == [100, 101]
