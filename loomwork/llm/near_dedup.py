@@ -1,28 +1,36 @@
 """Near-duplicate documents: banded MinHash with sequential Bayesian verification.
 
-1.  Every text becomes its set of distinct word shingles, as 64-bit hashes: a
-    128-bit fingerprint of the set, its size and a signature of ``HASHES``
-    minima.  Documents with equal sets form a class; one of each class goes on.
+1.  Every row gets a key of its own, and its text becomes the set of its
+    distinct word shingles, as 64-bit hashes: a 128-bit fingerprint of the set,
+    its size and a signature of ``HASHES`` minima.  Rows with equal sets form a
+    class; one row of each class goes on.
 2.  Bands of the signature put classes into buckets.  The bands are as many
     rows high as keeps the chance to miss a pair at the threshold below
-    ``MISS``.  In each bucket every class is compared with its centre, the
-    class that meets most others in all its buckets, not with all others.
+    ``MISS``.  The sets of the classes that share a bucket are written once.
 3.  A candidate pair's signatures are compared in batches of ``BATCH``; after
     each, the pair goes if the posterior probability (uniform prior) that its
     similarity reaches the threshold is below ``PRUNE``.  Survivors are
-    verified on the full shingle sets of their texts.
-4.  Links give components.  The classes of buckets that still hold several
-    components get finer bands (``FINE`` rows, again with at most ``MISS``),
-    and there the classes outside a bucket's largest component are compared
-    with those of all other components.  So a group of copies is never
-    expanded into all its pairs, and a link between components is missed with
-    no more than the chosen probability.
+    verified on their full sets.
+4.  First every class is compared with the centre of each of its buckets, the
+    class that meets most others in all its buckets.  Links give components.
+5.  The buckets that still hold several components go, with sets and
+    signatures, to workers that compare every pair of different components in
+    them (batches first, then full sets) and join components as they go, so
+    that a pair within a component is never looked at and no more links leave
+    than there are classes.  Buckets of over ``TILE`` classes or
+    ``TILE_SHINGLES`` shingles are cut into tiles and compared tile by tile.
+
+So no table of pairs is ever made beyond one pair for each class and bucket,
+and a pair that shares a bucket is compared or already joined: what is missed,
+bands and pruning miss.
 
 Defined results: a text without words has no shingles, is linked with nothing
 and is its own component; a text of fewer words than a shingle has its whole
-sequence as one shingle; rows with a null id take part and carry their
-class's component (null if no id is known); repeated rows are copies; an empty
-table gives an empty result; other columns are ignored.
+sequence as one shingle; very long texts are read whole; rows with a null id
+take part like others, and a component's id is its least known one (null if it
+has none); rows that repeat an id are told apart by their text, rows that
+repeat both are copies; an empty table gives an empty result; other columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +38,7 @@ from __future__ import annotations
 import hashlib
 from functools import lru_cache
 from math import comb
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +48,8 @@ from pyspark.sql import functions as F
 from loomwork.llm._shared import documents, id_text, materialise
 from loomwork.llm.components import connected_components
 
-HASHES, BATCH, MISS, PRUNE, FINE = 100, 20, 2e-5, 1e-5, 20
+HASHES, BATCH, MISS, PRUNE = 100, 20, 2e-5, 1e-5
+TILE, TILE_SHINGLES = 1024, 2_000_000
 _CACHED = 1_000_000
 
 
@@ -132,7 +142,7 @@ def least_matches(threshold: float, prune: float = PRUNE) -> list[tuple[int, int
 
 
 def signatures(df: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, f0, f1 (fingerprint of the set), signature."""
+    """For rows (doc_id, text): doc_id, text_hash, n_shingles, f0, f1 (fingerprint of the set), signature."""
 
     def run(batches):
         hashed = WordHashes()
@@ -140,18 +150,19 @@ def signatures(df: DataFrame, size: int) -> DataFrame:
             for start in range(0, b.num_rows, 1024):
                 part = b.slice(start, 1024)
                 sizes, prints, signs = [], [], []
-                for text in part.column(1).to_pylist():
+                for text in part.column(2).to_pylist():
                     h = shingle_hashes(hashed(words_of(text or "")), size)
                     sizes.append(len(h))
                     prints.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
                     signs.append(signature(h).tobytes() if len(h) else None)
                 two = np.frombuffer(b"".join(prints), dtype="<i8").reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(sizes, pa.int64()), pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy()), pa.array(signs, pa.binary())],
-                    ["doc_id", "n_shingles", "f0", "f1", "signature"],
+                    [part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy()), pa.array(signs, pa.binary())],
+                    ["doc_id", "text_hash", "n_shingles", "f0", "f1", "signature"],
                 )
 
-    return df.mapInArrow(run, "doc_id long, n_shingles long, f0 long, f1 long, signature binary")
+    keyed = df.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    return keyed.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, f0 long, f1 long, signature binary")
 
 
 def _bands(classes: DataFrame, rows: int) -> DataFrame:
@@ -167,29 +178,22 @@ def _bands(classes: DataFrame, rows: int) -> DataFrame:
     return classes.select("cls", "signature").mapInArrow(run, "bucket long, cls long")
 
 
-def _fine_bands(texts: DataFrame, size: int, threshold: float) -> DataFrame:
-    """bucket, cls for bands of FINE rows over as many minima as keep the chance of a miss below MISS."""
-    count = int(np.ceil(np.log(MISS) / np.log1p(-(threshold**FINE))))
+def _sets(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """cls, signature, hashes (the sorted shingles) of the wanted classes (cls, doc_id, text_hash, signature)."""
 
     def run(batches):
-        hashed = WordHashes()
+        hashed, seen = WordHashes(), set()
         for b in batches:
-            for start in range(0, b.num_rows, 128):
-                part = b.slice(start, 128)
-                signs = [signature(shingle_hashes(hashed(words_of(t)), size), count * FINE) for t in part.column(1).to_pylist()]
-                key = band_keys(np.stack(signs), FINE)
-                ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False), count)
-                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(ids, pa.int64())], ["bucket", "cls"])
-
-    return texts.mapInArrow(run, "bucket long, cls long")
+            for start in range(0, b.num_rows, 256):
+                part = b.slice(start, 256)
+                new = [i for i, c in enumerate(part.column(0).to_pylist()) if not (c in seen or seen.add(c))]  # rows may repeat id and text
+                part = part.take(pa.array(new, pa.int64()))
+                sets = [shingle_hashes(hashed(words_of(t)), size).tobytes() for t in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sets, pa.binary())], ["cls", "signature", "hashes"])
 
-
-def _mixed(members: DataFrame, components: DataFrame) -> DataFrame:
-    """bucket, cls, comp, main of buckets that hold several components; main is the largest."""
-    placed = members.join(components.withColumnRenamed("node", "cls"), "cls", "left").select("bucket", "cls", F.coalesce("component", "cls").alias("comp"))
-    counted = placed.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
-    largest = counted.groupBy("bucket").agg(F.max_by("comp", F.struct("n", -F.col("comp"))).alias("main"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
-    return placed.join(largest.select("bucket", "main"), "bucket")
+    named = wanted.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
+    texts = rows.filter(F.col("text").isNotNull()).join(named, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")))
+    return texts.select("cls", "signature", "text").mapInArrow(run, "cls long, signature binary, hashes binary")
 
 
 def _survivors(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
@@ -213,88 +217,176 @@ def _survivors(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFr
     return joined.mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full shingle sets reach the similarity."""
 
-    def shingles(text: str) -> set:
-        w = words_of(text)
-        return {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
-
     def run(batches):
-        known, other = None, set()
         for b in batches:
             keep = []
-            for i, (x, y) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
-                if y != known:
-                    known, other = y, shingles(y)
-                mine = shingles(x)
-                both = len(mine & other)
-                if both and 100 * both >= percent * (len(mine) + len(other) - both):
+            for i, (x, y) in enumerate(zip(b.column(2), b.column(3), strict=True)):
+                x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if both and 100 * both >= percent * (len(x) + len(y) - both):
                     keep.append(i)
             take = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take)], ["a", "b"])
 
-    rows = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    own = sets.select("cls", "hashes")
+    rows = pairs.join(own.toDF("a", "sa"), "a").join(own.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
+    return rows.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, class_id, component_id and kept of every row.
+def cell_links(comps: np.ndarray, tiles: np.ndarray, signs: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that join all components which similar sets of one cell join.
 
-    Links are pairs with 100 * intersection >= percent * union of their sets
-    of ``size``-word shingles.
+    Compares every pair of different components (and of different tiles, if
+    there are two): sizes, then batches of minima, then the full sets.
     """
+    n, bounds, links = len(comps), least_matches(percent / 100), []
+    sizes = np.fromiter(map(len, sets), dtype=np.int64, count=n)
+    _, label = np.unique(comps, return_inverse=True)
+    across = tiles.min() != tiles.max()
+    codes, marked = None, None
+    for start in range(0, n, 64):
+        stop = min(n, start + 64)
+        open_pairs = label[start:stop, None] != label[None, start:]
+        open_pairs &= np.arange(start, n)[None, :] > np.arange(start, stop)[:, None]
+        if across:
+            open_pairs &= tiles[start:stop, None] != tiles[None, start:]
+        least = np.minimum(sizes[start:stop, None], sizes[None, start:])
+        open_pairs &= 100 * least >= percent * np.maximum(sizes[start:stop, None], sizes[None, start:])
+        x, y = (z + start for z in np.nonzero(open_pairs))
+        matches = np.zeros(len(x), dtype=np.int64)
+        for k, need in bounds:
+            if not len(x):
+                break
+            matches += (signs[x, k - BATCH : k] == signs[y, k - BATCH : k]).sum(axis=1)
+            left = matches >= need
+            x, y, matches = x[left], y[left], matches[left]
+        if not len(x):
+            continue
+        if codes is None:
+            distinct, inverse = np.unique(np.concatenate(sets), return_inverse=True)
+            codes, marked = np.split(inverse, np.cumsum(sizes)[:-1]), np.zeros(len(distinct), dtype=bool)
+        edges = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1], [True]]))
+        for low, high in pairwise(edges.tolist()):
+            i, others = int(x[low]), y[low:high]
+            others = others[label[others] != label[i]]
+            if not len(others):
+                continue
+            marked[codes[i]] = True
+            found = marked[np.concatenate([codes[j] for j in others])]
+            both = np.add.reduceat(found, np.cumsum(sizes[others]) - sizes[others], dtype=np.int64)
+            marked[codes[i]] = False
+            for j in others[(both > 0) & (100 * both >= percent * (sizes[i] + sizes[others] - both))].tolist():
+                if label[j] != label[i]:
+                    label[label == label[j]] = label[i]
+                    links.append((i, j))
+    return links
+
+
+def _mixed(members: DataFrame, components: DataFrame, classes: DataFrame) -> DataFrame:
+    """bucket, i, j, tile, cls, comp of the buckets that hold several components: their cells, one for each pair of tiles."""
+    placed = members.join(components.withColumnRenamed("node", "cls"), "cls", "left").join(classes.select("cls", "n_shingles"), "cls")
+    placed = placed.select("bucket", "cls", F.coalesce("component", "cls").alias("comp"), "n_shingles")
+    counted = placed.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
+    needed = F.greatest(F.ceil(F.sum("n") / TILE), F.ceil(F.sum("s") / TILE_SHINGLES)).cast("int")
+    several = counted.groupBy("bucket").agg(F.count(F.lit(1)).alias("comps"), needed.alias("tiles")).filter("comps > 1").drop("comps")
+    tiled = placed.join(several, "bucket").withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int"))
+    cells = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda k: F.struct(F.least("tile", k).alias("i"), F.greatest("tile", k).alias("j")))
+    return tiled.select("bucket", F.inline(cells), "tile", "cls", "comp")
+
+
+def _cell_links(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links a, b between different components that share a cell."""
+
+    def flush(rows: list) -> pa.RecordBatch:
+        tiles, cls, comps = (np.array([r[k] for r in rows], dtype=np.int64) for k in range(3))
+        signs = np.frombuffer(b"".join(r[3] for r in rows), dtype="<u4").reshape(-1, HASHES)
+        found = cell_links(comps, tiles, signs, [np.frombuffer(r[4], dtype=np.uint64) for r in rows], percent)
+        return pa.RecordBatch.from_arrays([pa.array([max(cls[i], cls[j]) for i, j in found], pa.int64()), pa.array([min(cls[i], cls[j]) for i, j in found], pa.int64())], ["a", "b"])
+
+    def run(batches):
+        cell, rows = None, []
+        for b in batches:
+            for *key, tile, cls, comp, sign, hashes in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if key != cell:
+                    if len(rows) > 1:
+                        yield flush(rows)
+                    cell, rows = key, []
+                rows.append((tile, cls, comp, sign, hashes))
+        if len(rows) > 1:
+            yield flush(rows)
+
+    dealt = cells.join(sets, "cls").select("bucket", "i", "j", "tile", "cls", "comp", "signature", "hashes").repartition("bucket", "i", "j")
+    return dealt.sortWithinPartitions("bucket", "i", "j").mapInArrow(run, "a long, b long")
+
+
+def _judged(df: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """key, doc_id, text_hash, n_shingles, class_key, component (the least class key), class_id and component_id of every row."""
     rows, threshold = id_text(df, id_col, text_col), percent / 100
-    signed = materialise(signatures(rows, size), "near-signatures")
-    full = signed.filter("n_shingles > 0")
-    classes_of = full.groupBy("f0", "f1").agg(F.min("doc_id").alias("cls"))
-    mine = full.join(classes_of.withColumnsRenamed({"f0": "g0", "f1": "g1"}), (F.col("f0") == F.col("g0")) & (F.col("f1") == F.col("g1")) & (F.col("doc_id") == F.col("cls")))
-    classes = materialise(mine.dropDuplicates(["f0", "f1"]).select("cls", "signature"), "near-classes")
+    signed = materialise(signatures(rows, size).withColumn("key", F.monotonically_increasing_id()), "near-signatures")
+    first_row = F.min(F.struct("key", "doc_id", "text_hash", "n_shingles")).alias("r")
+    equal = signed.filter("n_shingles > 0").groupBy("f0", "f1").agg(first_row, F.min("doc_id").alias("class_id"))
+    equal = materialise(equal.select("f0", "f1", "class_id", F.col("r.key").alias("cls"), "r.doc_id", "r.text_hash", "r.n_shingles"), "near-equal")
+    classes = materialise(signed.select(F.col("key").alias("cls"), "signature").join(equal.drop("f0", "f1", "class_id"), "cls"), "near-classes")
 
     bands = _bands(classes, band_rows(threshold))
     shared = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = materialise(bands.join(shared, "bucket"), "near-members")
-    # the class that meets most others, as an original among its copies does, stands for each of its buckets
     met = members.groupBy("cls").agg(F.sum("n").alias("met"))
+    wanted = classes.join(met, "cls").select("cls", "doc_id", "text_hash", "signature")
+    sets = materialise(_sets(rows, wanted, size), "near-sets")
+    # the class that meets most others, as an original among its copies does, stands for each of its buckets
     centre = members.join(met, "cls").groupBy("bucket").agg(F.max_by("cls", F.struct("met", -F.col("cls"))).alias("centre"))
     pair = (F.greatest("cls", "centre").alias("a"), F.least("cls", "centre").alias("b"))
-    first = materialise(members.join(centre, "bucket").filter("cls <> centre").select(*pair).distinct(), "near-pairs")
-    texts = rows.filter(F.col("text").isNotNull())
-    links = materialise(_verified(_survivors(first, classes, threshold), texts, size, percent), "near-links")
-    components = materialise(connected_components(links), "near-components")
-
-    open_classes = materialise(_mixed(members.select("bucket", "cls"), components).select(F.col("cls").alias("doc_id")).distinct(), "near-open")
-    if not open_classes.isEmpty():
-        own = texts.join(open_classes, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-        mixed = materialise(_mixed(_fine_bands(own, size, threshold), components), "near-mixed")
-        minor = mixed.filter("comp <> main").select("bucket", F.col("cls").alias("u"), F.col("comp").alias("cu"))
-        across = minor.join(mixed.select("bucket", "cls", "comp"), "bucket").filter("comp <> cu").select(F.greatest("u", "cls").alias("a"), F.least("u", "cls").alias("b")).distinct()
-        rest = materialise(_survivors(across.join(first, ["a", "b"], "left_anti"), classes, threshold), "near-pairs")
-        if not rest.isEmpty():
-            later = materialise(_verified(rest, texts, size, percent), "near-links")
-            components = connected_components(links.union(later))
-
-    narrow = signed.drop("signature")
-    joined = narrow.join(classes_of, ["f0", "f1"], "left").join(components.withColumnRenamed("node", "cls"), "cls", "left")
-    class_id = F.when(F.col("n_shingles") > 0, F.col("cls")).otherwise(F.col("doc_id"))
-    component = F.coalesce("component", class_id)
-    return joined.select("doc_id", "n_shingles", class_id.alias("class_id"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    first = members.join(centre, "bucket").filter("cls <> centre").select(*pair).distinct()
+    links = materialise(_verified(_survivors(first, classes, threshold), sets, percent), "near-links")
+    components = connected_components(links)
+    cells = _mixed(members.select("bucket", "cls"), components, classes)
+    later = materialise(_cell_links(cells, sets, percent), "near-links")
+    components = connected_components(links.union(later))
+
+    joined = equal.select("f0", "f1", "cls", "class_id").join(components.withColumnRenamed("node", "cls"), "cls", "left")
+    joined = joined.withColumn("component", F.coalesce("component", "cls"))
+    least = joined.groupBy("component").agg(F.min("class_id").alias("component_id"))
+    of = materialise(joined.join(least, "component"), "near-components")
+    out = signed.drop("signature").join(of, ["f0", "f1"], "left")
+    none = F.col("n_shingles") == 0
+    return out.select(
+        "key", "doc_id", "text_hash", "n_shingles", F.coalesce("component", "key").alias("component"),
+        *[F.when(none, F.col("doc_id")).otherwise(F.col(c)).alias(c) for c in ("class_id", "component_id")],
+    )
+
+
+def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, class_id, component_id and kept (doc_id = component_id) of every row.
+
+    Links are pairs with 100 * intersection >= percent * union of their sets
+    of ``size``-word shingles.
+    """
+    judged = _judged(df, size, percent, id_col, text_col)
+    return judged.select("doc_id", "n_shingles", "class_id", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
 def keep_one(df: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that stand for their group of near-duplicates, with all their columns.
+    """One row of ``df`` for each component of near-duplicates, with all its columns.
 
-    Of rows that repeat an id one stays; rows without an id cannot be told
-    apart and all stay.
+    That with the least id stays (unknown ids come last); of rows that repeat
+    both id and text any one; rows without words all stay.
     """
-    spark = df.sparkSession
-    judged = near_duplicates(df, size, percent, id_col, text_col)
-    kept = materialise(judged.filter(F.col("kept")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "near-kept")
-    ids = kept.select(F.col("doc_id").alias("_kept_id")).union(spark.createDataFrame([(None,)], "_kept_id long"))
-    out = df.join(ids, F.col(id_col).cast("long").eqNullSafe(F.col("_kept_id")), "left_semi")
-    if kept.filter("n > 1").isEmpty():
+    judged = materialise(_judged(df, size, percent, id_col, text_col).select("key", "doc_id", "text_hash", "component"), "near-judged")
+    order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "key")
+    best = judged.groupBy("component").agg(F.min(order).alias("o")).select(F.col("o.key").alias("key"), F.lit(1).alias("stays"))
+    names = judged.join(best, "key", "left").groupBy("doc_id", "text_hash").agg(F.count("stays").alias("stay"), F.count(F.lit(1)).alias("all"))
+    odd = materialise(names.filter(F.col("stay") < F.col("all")).select(F.col("doc_id").alias("_near_id"), F.col("text_hash").alias("_near_hash"), F.col("stay").alias("_near_stay")), "near-odd")
+    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_near_id")) & (F.xxhash64(F.col(f"`{text_col}`").cast("string")) == F.col("_near_hash"))
+    out = df.join(odd, same, "left_anti")
+    repeated = odd.filter("_near_stay > 0")
+    if repeated.isEmpty():
         return out
-    return out.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(out.filter(F.col(id_col).isNull()))
+    own = [F.col(f"`{c}`") for c in df.columns]
+    return out.unionByName(df.join(repeated, same).dropDuplicates(["_near_id", "_near_hash"]).select(*own))
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
