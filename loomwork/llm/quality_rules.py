@@ -7,18 +7,20 @@ is off by 1/128 of its value at most.  Sketches are kept per (language, source),
 merged into one per language and one for all, and each group takes its fences
 from the finest of the three that has ``min_group`` documents:
 
-    high = q75 + reach * max(q75 - q25, least spread of the rule)
-    low  = q25 - reach * max(q75 - q25, least spread of the rule)
+    high = max(q75 + reach * (q75 - q25), upper tail quantile of the rule)
+    low  = min(q25 - reach * (q75 - q25), lower tail quantile of the rule)
 
-Nothing is fixed but the least spreads, which stop a uniform group from
-rejecting ordinary variation; ``tail`` takes the spread of two rules from the
-upper tail of the sketch instead.  Counting needs no shuffle; the sketches shuffle
-a few rows for each group.
+So fences come from the sketches alone.  A rule's tail quantile decides where
+most of a group has nothing to count and the quartiles are equal: no more than
+that share of the group can then be rejected by it.  Counting needs no shuffle;
+the sketches shuffle a few rows for each group.
 
 Defined results: a null text counts as empty and fails the base rule; a null
 language or source is its own group (the empty string); rows with a null id and
-repeated rows are judged like any other; other columns are ignored by
-``judge`` and kept by ``keep_good``.
+repeated rows are judged like any other, and rows at a fence (ties) are kept;
+very long texts are counted whole; an empty table gives an empty result; other
+columns, whatever their names, are ignored by ``judge`` and kept by
+``keep_good``.
 """
 
 from __future__ import annotations
@@ -31,17 +33,14 @@ from loomwork.llm._shared import SPACE, documents, materialise
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
-#: Rule: (numerator, denominator, scale, least spread, low side too).
+#: Rule: (numerator, denominator, scale, lower tail or None, upper tail; tails in per mille of a group).
 RULES = {
-    "word_len": ("word_chars", "n_words", 100, 100, True),
-    "symbols": ("n_symbols", "n_words", 1000, 40, False),
-    "dup_lines": ("n_dup_lines", "n_lines", 1000, 100, False),
-    "repeats": ("n_repeat_words", "n_words", 1000, 100, False),
+    "word_len": ("word_chars", "n_words", 100, 50, 950),
+    "symbols": ("n_symbols", "n_words", 1000, None, 920),
+    "dup_lines": ("n_dup_lines", "n_lines", 1000, None, 990),
+    "repeats": ("n_repeat_words", "n_words", 1000, None, 990),
 }
 MIN_GROUP, REACH = 50, 3
-#: Rules of which most documents have nothing, so that the quartiles say nothing: their spread is that of the upper tail
-#: (q95 - q75), and these are its least values.  The pipeline uses them; the SQL of op9 has the spreads above.
-TAIL = {"dup_lines": 20, "repeats": 20}
 
 
 def let(value: Column, body) -> Column:
@@ -120,8 +119,8 @@ def sketches(counted: DataFrame) -> DataFrame:
     return rows.groupBy("lang", "source", "rule", "bin").agg(F.count(F.lit(1)).alias("n"))
 
 
-def thresholds(sketch: DataFrame, min_group: int = MIN_GROUP, reach: int = REACH, tail: bool = False) -> DataFrame:
-    """One row for each (lang, source): <rule>_low and <rule>_high of every rule; ``tail`` takes the spreads of TAIL."""
+def thresholds(sketch: DataFrame, min_group: int = MIN_GROUP, reach: int = REACH) -> DataFrame:
+    """One row for each (lang, source): <rule>_low and <rule>_high of every rule."""
     none = F.lit("")
     levels = F.array(
         F.struct(F.lit(1).alias("level"), F.col("lang").alias("a"), F.col("source").alias("b")),
@@ -131,16 +130,16 @@ def thresholds(sketch: DataFrame, min_group: int = MIN_GROUP, reach: int = REACH
     merged = sketch.select("rule", "bin", "n", F.inline(levels)).groupBy("level", "a", "b", "rule", "bin").agg(F.sum("n").alias("n"))
     group = Window.partitionBy("level", "a", "b", "rule")
     ranked = merged.withColumns({"upto": F.sum("n").over(group.orderBy("bin")), "all": F.sum("n").over(group)})
-    at = lambda p: F.min(F.when(100 * F.col("upto") >= p * F.col("all"), F.col("bin")))
-    quartiles = ranked.groupBy("level", "a", "b", "rule").agg(at(25).alias("q25"), at(75).alias("q75"), at(95).alias("q95"), F.max("all").alias("all"))
-    least = {r: v[3] for r, v in RULES.items()} | (TAIL if tail else {})
-    spread = F.greatest(F.col("q75") - F.col("q25"), F.create_map(*[F.lit(x) for item in least.items() for x in item])[F.col("rule")])
-    if tail:
-        spread = F.greatest(spread, F.when(F.col("rule").isin(*TAIL), F.col("q95") - F.col("q75")))
-    fences = quartiles.select(
+    tail = lambda k: F.create_map(*[F.lit(x) for r, v in RULES.items() for x in (r, v[k])])[F.col("rule")]
+    at = lambda p: F.min(F.when(1000 * F.col("upto") >= p * F.col("all"), F.col("bin")))
+    quantiles = ranked.groupBy("level", "a", "b", "rule").agg(
+        at(250).alias("q25"), at(750).alias("q75"), at(F.coalesce(tail(3), F.lit(0))).alias("q_low"), at(tail(4)).alias("q_high"), F.max("all").alias("all")
+    )
+    spread = reach * (F.col("q75") - F.col("q25"))
+    fences = quantiles.select(
         "level", "a", "b", "rule", "all",
-        (F.col("q25") - reach * spread).alias("low"),
-        (F.col("q75") + reach * spread).alias("high"),
+        F.least(F.col("q25") - spread, F.col("q_low")).alias("low"),
+        F.greatest(F.col("q75") + spread, F.col("q_high")).alias("high"),
     )
     groups = sketch.select("lang", "source").distinct()
     choice = groups.select("lang", "source", F.inline(levels)).join(fences, ["level", "a", "b"])
@@ -150,57 +149,46 @@ def thresholds(sketch: DataFrame, min_group: int = MIN_GROUP, reach: int = REACH
     return best.groupBy("lang", "source").agg(*[pick(r, side) for r in RULES for side in ("low", "high")])
 
 
-def verdict(prefix: str = "", fence: str = "") -> Column:
+def verdict(prefix: str = "") -> Column:
     """Whether a counted row that has its group's fences is kept."""
     ok = ~F.col(f"{prefix}base_failed")
-    for r, (_, _, _, _, two_sided) in RULES.items():
+    for r, (_, _, _, low, _) in RULES.items():
         x = bin_floor(rate(r, prefix))
-        ok &= F.coalesce(x <= F.col(f"{fence}{r}_high"), F.lit(True))
-        if two_sided:
-            ok &= F.coalesce(x >= F.col(f"{fence}{r}_low"), F.lit(True))
+        ok &= F.coalesce(x <= F.col(f"{prefix}{r}_high"), F.lit(True))
+        if low is not None:
+            ok &= F.coalesce(x >= F.col(f"{prefix}{r}_low"), F.lit(True))
     return ok
 
 
-def _named(df: DataFrame, text_col: str, lang_col: str, source_col: str) -> list[Column]:
-    empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias
-    return [F.col(text_col).cast("string").alias("text"), empty(lang_col)("lang"), empty(source_col)("source")]
+def _group(col: str) -> Column:
+    return F.coalesce(F.col(f"`{col}`").cast("string"), F.lit(""))
 
 
-def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", tail: bool = False) -> DataFrame:
+def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """doc_id, the counts, base_failed, the group's fences and kept."""
-    rows = df.select(F.col(id_col).alias("doc_id"), *_named(df, text_col, lang_col, source_col))
+    rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), _group(lang_col).alias("lang"), _group(source_col).alias("source"))
     counted = materialise(count(rows).drop("text"), "quality-counts")
-    fences = thresholds(sketches(counted), tail=tail)
-    return counted.join(fences, ["lang", "source"], "left").withColumn("kept", verdict())
+    return counted.join(thresholds(sketches(counted)), ["lang", "source"], "left").withColumn("kept", verdict())
 
 
 def keep_good(df: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """The rows of ``df`` that the rules keep, with its own columns.
 
-    Texts are not shuffled: the fences are written first, and a second scan
-    counts again and joins them.
+    Rows are written with their counts, so that texts are counted once and not
+    shuffled; the fences are joined to what was written.
     """
-    rows = df.select(*_named(df, text_col, lang_col, source_col))
-    fences = materialise(thresholds(sketches(count(rows)), tail=True), "quality-fences")
-    own = df.columns
-    lang, source = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (lang_col, source_col))
-    marked = count(df, text_col, "_q_").withColumns({"_q_lang": lang, "_q_source": source})
-    fences = fences.select([F.col(c).alias(f"_f_{c}") for c in fences.columns])
-    joined = marked.join(fences, (F.col("_q_lang") == F.col("_f_lang")) & (F.col("_q_source") == F.col("_f_source")), "left")
-    return joined.filter(verdict("_q_", "_f_")).select(*[F.col(f"`{c}`") for c in own])
+    prefix = "q_"
+    while any(c.startswith(prefix) for c in df.columns):
+        prefix = "_" + prefix
+    marked = materialise(count(df, text_col, prefix).withColumns({f"{prefix}lang": _group(lang_col), f"{prefix}source": _group(source_col)}), "quality-counts")
+    names = ["lang", "source", "base_failed", *{n for v in RULES.values() for n in v[:2]}]
+    fences = thresholds(sketches(marked.select([F.col(prefix + n).alias(n) for n in names])))
+    joined = marked.join(fences.select([F.col(c).alias(prefix + c) for c in fences.columns]), [f"{prefix}lang", f"{prefix}source"], "left")
+    return joined.filter(verdict(prefix)).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _judged(judge(documents(spark, sf_dir)))
-
-
-def op9_quality_rules_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With the pipeline's fences: those of dup_lines and repeats follow the upper tail."""
-    return _judged(judge(documents(spark, sf_dir), tail=True))
-
-
-def _judged(judged: DataFrame) -> DataFrame:
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return judge(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 ORACLE = r"""
@@ -229,19 +217,21 @@ m AS (
          (n_dup_lines * 1000) // greatest(n_lines, 1) AS x3, (n_repeat_words * 1000) // greatest(n_words, 1) AS x4
   FROM c),
 b AS (
-  SELECT doc_id, lang, source, base_failed, unnest([1, 2, 3, 4]) AS rule, unnest([x1, x2, x3, x4]) AS x, unnest([100, 40, 100, 100]) AS least_spread, id
+  SELECT doc_id, lang, source, base_failed, unnest([1, 2, 3, 4]) AS rule, unnest([x1, x2, x3, x4]) AS x,
+         unnest([50, 0, 0, 0]) AS lower, unnest([950, 920, 990, 990]) AS upper, id
   FROM (SELECT *, row_number() OVER () AS id FROM m)),
 v AS (SELECT *, (x >> greatest(0, length(bin(x)) - 8)) << greatest(0, length(bin(x)) - 8) AS bin FROM b),
 lev AS (
-  SELECT 1 AS level, lang AS a, source AS b, rule, bin, least_spread FROM v WHERE NOT base_failed
-  UNION ALL SELECT 2, lang, '', rule, bin, least_spread FROM v WHERE NOT base_failed
-  UNION ALL SELECT 3, '', '', rule, bin, least_spread FROM v WHERE NOT base_failed),
-cnt AS (SELECT level, a, b, rule, bin, least_spread, count(*) AS n FROM lev GROUP BY ALL),
+  SELECT 1 AS level, lang AS a, source AS b, rule, bin, lower, upper FROM v WHERE NOT base_failed
+  UNION ALL SELECT 2, lang, '', rule, bin, lower, upper FROM v WHERE NOT base_failed
+  UNION ALL SELECT 3, '', '', rule, bin, lower, upper FROM v WHERE NOT base_failed),
+cnt AS (SELECT level, a, b, rule, bin, lower, upper, count(*) AS n FROM lev GROUP BY ALL),
 cum AS (SELECT *, sum(n) OVER (PARTITION BY level, a, b, rule ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY level, a, b, rule) AS total FROM cnt),
 q AS (
-  SELECT level, a, b, rule, least_spread, max(total) AS total, min(CASE WHEN 100 * upto >= 25 * total THEN bin END) AS q25,
-         min(CASE WHEN 100 * upto >= 75 * total THEN bin END) AS q75 FROM cum GROUP BY ALL),
-f AS (SELECT *, q25 - 3 * greatest(q75 - q25, least_spread) AS low, q75 + 3 * greatest(q75 - q25, least_spread) AS high FROM q),
+  SELECT level, a, b, rule, max(total) AS total, min(CASE WHEN 100 * upto >= 25 * total THEN bin END) AS q25,
+         min(CASE WHEN 100 * upto >= 75 * total THEN bin END) AS q75, min(CASE WHEN 1000 * upto >= lower * total THEN bin END) AS q_low,
+         min(CASE WHEN 1000 * upto >= upper * total THEN bin END) AS q_high FROM cum GROUP BY level, a, b, rule),
+f AS (SELECT *, least(q25 - 3 * (q75 - q25), q_low) AS low, greatest(q75 + 3 * (q75 - q25), q_high) AS high FROM q),
 j AS (
   SELECT v.id, v.rule, bin, arg_min(low, level) AS low, arg_min(high, level) AS high
   FROM v JOIN f ON f.rule = v.rule AND (level = 3 OR (total >= 50 AND a = lang AND (level = 2 OR b = source)))
@@ -251,9 +241,3 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        (NOT base_failed AND bad.id IS NULL) AS kept
 FROM (SELECT *, row_number() OVER () AS id FROM m) x LEFT JOIN bad ON bad.id = x.id
 """
-
-ORACLE_TAIL = (
-    ORACLE.replace("[100, 40, 100, 100]", "[100, 40, 20, 20]")
-    .replace("THEN bin END) AS q75 FROM cum", "THEN bin END) AS q75, min(CASE WHEN rule >= 3 AND 100 * upto >= 95 * total THEN bin END) AS q95 FROM cum")
-    .replace("greatest(q75 - q25, least_spread)", "greatest(q75 - q25, q95 - q75, least_spread)")
-)

@@ -15,11 +15,9 @@ QUERIES = {
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_quality_model": quality_model.op7_quality_model,
     "op4_bpe_round_trip": bpe.op4_bpe_round_trip,
-    "op9_quality_rules_tail": quality_rules.op9_quality_rules_tail,
 }
 
 ORACLES: dict[str, str] = {
     "op3_near_dedup": near_dedup.ORACLE,
     "op9_quality_rules": quality_rules.ORACLE,
-    "op9_quality_rules_tail": quality_rules.ORACLE_TAIL,
 }
