@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The words of the contracts: maximal runs of anything but ASCII white space.
@@ -50,6 +50,22 @@ def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def unlike(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def same_text(id_col: str, text_col: str, key: str = "_doc_id", text_hash: str = "_text_hash") -> Column:
+    """Joins rows to keys: equal or both null ids, and equal hashes of the text.
+
+    Ids may repeat or be null, so that a row's text belongs to its name.
+    """
+    return F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(f"`{key}`")) & (F.xxhash64(F.col(f"`{text_col}`").cast("string")) == F.col(f"`{text_hash}`"))
+
+
 def vocabulary_path(name: str) -> str:
     """A public tokenizer file; LOOMWORK_TOKENIZERS names another folder."""
     folder = os.environ.get("LOOMWORK_TOKENIZERS")

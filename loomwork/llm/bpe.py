@@ -4,17 +4,19 @@ Distinct pre-tokens are bucketed by byte length and laid out as rows of a
 padded matrix.  In each round every row merges its leftmost pair of minimum
 rank; pair ranks come from an open-addressing hash table held in two numpy
 arrays, finished rows are compacted away, and the matrix loses one column.
+A pre-token of over ``LONG`` bytes is a matrix of its own, whose rows are its
+segments, and its leftmost minimum-rank pair is found by the segments' minima.
 The encoded form of a pre-token is kept in a bounded cache of the worker.
 
 Defined results: a null or empty text has no ids and decodes to no bytes; rows
-with a null ``doc_id`` and repeated rows are encoded like any other; other
-columns are ignored.
+with a null ``doc_id`` and repeated rows are encoded like any other; of equal
+ranks (ties) the leftmost merges; very long texts are encoded whole; an empty
+table gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import base64
-import heapq
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import islice
@@ -136,34 +138,47 @@ def _merge_matrix(table: PairTable, pieces: list[bytes]) -> list[bytes]:
     return out
 
 
-def _merge_long(table: PairTable, piece: bytes) -> bytes:
-    """The same merges for one very long piece, by a heap over a linked list."""
-    ids = table.first[np.frombuffer(piece, dtype=np.uint8)].astype(np.int64).tolist()
+def _merge_folded(table: PairTable, piece: bytes) -> bytes:
+    """The ids of one long piece, folded into a matrix of segments.
+
+    Each round merges the leftmost pair of minimum rank, as in
+    ``_merge_matrix``; the least rank of every segment is kept, so that a round
+    looks at one segment and not at the whole piece.  Merged ids leave gaps
+    that links step over.
+    """
+    ids = table.first[np.frombuffer(piece, dtype=np.uint8)].astype(np.int64)
     n = len(ids)
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    of = lambda a, b: table.ranks.get(table.bytes_of[a] + table.bytes_of[b])
-    heap = [(r, i) for i in range(n - 1) if (r := of(ids[i], ids[i + 1])) is not None]
-    heapq.heapify(heap)
-    while heap:
-        r, i = heapq.heappop(heap)
-        j = after[i] if ids[i] >= 0 else n
-        if j >= n or of(ids[i], ids[j]) != r:
-            continue
-        ids[i], ids[j], after[i] = r, -1, after[j]
-        if after[i] < n:
-            before[after[i]] = i
-            if (x := of(r, ids[after[i]])) is not None:
-                heapq.heappush(heap, (x, i))
-        if (p := before[i]) >= 0 and (x := of(ids[p], r)) is not None:
-            heapq.heappush(heap, (x, p))
-    return np.array([x for x in ids if x >= 0], dtype="<u4").tobytes()
+    width = max(64, int(n**0.5))
+    rank = np.full(-(-n // width) * width, NONE, dtype=np.int32)
+    rank[: n - 1] = table.rank(ids[:-1], ids[1:])
+    folded = rank.reshape(-1, width)
+    least = folded.min(axis=1)
+    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+    of = lambda a, b: table.ranks.get(table.bytes_of[int(ids[a])] + table.bytes_of[int(ids[b])], NONE)
+    while True:
+        segment = int(least.argmin())
+        if least[segment] == NONE:
+            return ids[ids >= 0].astype("<u4").tobytes()
+        i = segment * width + int(folded[segment].argmin())  # the first of equal minima
+        gone, left = int(after[i]), int(before[i])
+        ids[i], ids[gone] = rank[i], -1
+        right = int(after[gone])
+        after[i] = right
+        rank[gone], rank[i] = NONE, NONE
+        if right < n:
+            before[right] = i
+            rank[i] = of(i, right)
+        if left >= 0:
+            rank[left] = of(left, i)
+        for k in {segment, gone // width, max(left, 0) // width}:
+            least[k] = folded[k].min()
 
 
 class Encoder:
     """Encodes texts with a pair table and a bounded cache of pre-tokens."""
 
-    #: Cached pre-tokens and their longest length; cells of one matrix; bytes of a piece, and pieces of a bucket, that go to the heap.
-    CACHED, CACHED_LENGTH, CELLS, LONG, FEW = 500_000, 64, 1 << 20, 2048, 12
+    #: Cached pre-tokens and their longest length; cells of one matrix; bytes from which a piece is folded into a matrix of its own.
+    CACHED, CACHED_LENGTH, CELLS, LONG = 500_000, 64, 1 << 20, 2048
 
     def __init__(self, table: PairTable):
         import regex
@@ -179,14 +194,11 @@ class Encoder:
             if (r := ranks.get(p)) is not None:
                 out[p] = r.to_bytes(4, "little")
             elif len(p) > self.LONG:
-                out[p] = _merge_long(self.table, p)
+                out[p] = _merge_folded(self.table, p)
             else:
                 buckets.setdefault((len(p) - 1).bit_length(), []).append(p)
         for bits, group in buckets.items():
             rows = max(1, self.CELLS >> bits)
-            if len(group) < self.FEW:
-                out.update((p, _merge_long(self.table, p)) for p in group)
-                continue
             for k in range(0, len(group), rows):
                 part = group[k : k + rows]
                 out.update(zip(part, _merge_matrix(self.table, part), strict=True))

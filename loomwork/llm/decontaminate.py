@@ -2,20 +2,25 @@
 
 Words are compared without case and punctuation.  Each mask of ``MASKS`` is
 laid over every position of every benchmark item and of every text, the words
-under its ones are hashed and those under its zeros ignored; equal hashes are
-hits.  Around each hit the diagonal (text position less item position) is
-compared over the whole item, and the best run of matches and substitutions is
-kept.  The masks find every run of 13 words with two substitutions and of 15
-with three.  A run counts if it has ``LEAST`` matches, or four fifths of a
-shorter item, and at least ``IDENTITY`` of its positions match.
-
-The benchmark is the smaller side: it is cut into blocks of at most
-``BLOCK_CHARS`` characters by its measured size, and the texts are scanned once
-for each block, so what is broadcast is bounded and nothing is shuffled.
-
-Defined results: null or empty texts and items match nothing; items shorter
-than a mask must occur whole; a null id is passed through; repeated rows match
-alike; other columns are ignored by ``overlaps`` and kept by ``clean``.
+under its ones are hashed and those under its zeros ignored.  Test and training
+hashes are joined; a text sends only the hashes that pass a bitmap of the
+test hashes, whose size is fixed (``FILTER_WORDS`` longs at most), so that a
+larger benchmark lets more through and nothing is lost.  A hit gives a diagonal
+(text position less item position).  The texts that have any are joined with
+their items and diagonals, and along each diagonal the whole item is compared:
+the best run of matches and substitutions is kept.  The masks find every run of
+13 words with two substitutions, of 15 with three and of 8 with none.  A run counts if it has
+``LEAST`` matches, or four fifths of a shorter item, and at least ``IDENTITY``
+of its positions match.
+
+Defined results: null or empty texts match nothing; items of fewer than
+``LEAST_ITEM`` words (the span of the shortest mask) are not searched for, as
+texts share such phrases by chance; an item of fewer words than a mask is
+searched by the shorter masks; of equally good runs (ties) the one on the least
+diagonal counts; very long texts and items are read whole; a null id is passed
+through; repeated rows match alike; an empty table, of texts or of items,
+matches nothing; other columns, whatever their names, are ignored by
+``overlaps`` and kept by ``clean``.
 """
 
 from __future__ import annotations
@@ -27,11 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm._shared import documents, id_text
+from loomwork.llm._shared import documents, id_text, materialise, same_text, unlike
 from loomwork.llm.bpe import small_batches
 
 MASKS = ("11010010101", "11101011", "1110100011", "111001101")
-LEAST, IDENTITY, BLOCK_CHARS = 13, 0.75, 64_000_000
+LEAST, IDENTITY, LEAST_ITEM = 13, 0.75, min(map(len, MASKS))
+FILTER_WORDS = 1 << 20
 _CACHED = 1_000_000
 _PLAIN = re.compile(r"[\W_]+")
 
@@ -77,107 +83,128 @@ def best_run(equal: np.ndarray) -> tuple[int, int, int]:
     return int(equal[start : stop + 1].sum()), start, stop + 1
 
 
-class Index:
-    """The items of one benchmark block and their seeds."""
+def _seed_rows(items: DataFrame) -> DataFrame:
+    """seed, item_id, item_hash, place for every mask at every position of the items (doc_id, text, item_hash)."""
 
-    def __init__(self, items: list[tuple[int, str]], masks: tuple[str, ...] = MASKS):
-        words, self.masks = Words(), list(masks)
-        self.items = [(i, w) for i, text in items if len(w := words(text or ""))]
-        shortest = min(map(len, masks))
-        # an item shorter than every mask is its own mask
-        self.masks += sorted({"1" * len(w) for _, w in self.items if len(w) < shortest})
-        keys, places = [], []
-        for which, (_, w) in enumerate(self.items):
-            for m in self.masks:
-                if len(w) < shortest and len(m) != len(w):
+    def run(batches):
+        hashed = Words()
+        for b in batches:
+            for item, text, name in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                w = hashed(text)
+                if len(w) < LEAST_ITEM:
                     continue
-                s = _seeds(w, m)
-                keys.append(s)
-                places.append(np.stack([np.full(len(s), which), np.arange(len(s))], axis=1))
-        keys = np.concatenate(keys) if keys else np.zeros(0, dtype=np.uint64)
-        order = np.argsort(keys, kind="stable")
-        self.keys = keys[order]
-        self.places = np.concatenate(places)[order] if places else np.zeros((0, 2), dtype=np.int64)
-        bits = min(24, max(12, int(np.ceil(np.log2(max(1, len(keys)) * 32)))))
-        self.shift = np.uint64(64 - bits)
-        self.maybe = np.zeros(1 << bits, dtype=bool)
-        self.maybe[(self.keys >> self.shift).astype(np.int64)] = True
-
-    def overlaps(self, texts: list[np.ndarray]) -> list[list[tuple[int, int, int, int, int, int]]]:
-        """For each text (item, matches, compared, item length, start in the text, start in the item) of each item that overlaps."""
-        words = np.concatenate(texts) if texts else np.zeros(0, dtype=np.uint64)
-        starts = np.cumsum([0, *map(len, texts)])
-        found: dict[int, set[tuple[int, int]]] = {}
-        for m in self.masks:
-            seeds = _seeds(words, m)
-            at = np.flatnonzero(self.maybe[(seeds >> self.shift).astype(np.int64)])
-            low, high = (np.searchsorted(self.keys, seeds[at], side=s) for s in ("left", "right"))
-            hit = low < high
-            at, low, high = at[hit], low[hit], high[hit]
-            text = np.searchsorted(starts, at, side="right") - 1
-            inside = at + len(m) <= starts[text + 1]
-            for t, p, a, b in zip(text[inside].tolist(), at[inside].tolist(), low[inside].tolist(), high[inside].tolist(), strict=True):
-                found.setdefault(t, set()).update((which, p - int(starts[t]) - i) for which, i in self.places[a:b].tolist())
-        return [self.verified(w, found.get(t, ())) for t, w in enumerate(texts)]
-
-    def verified(self, words: np.ndarray, diagonals) -> list[tuple[int, int, int, int, int, int]]:
-        best: dict[int, tuple] = {}
-        for which, d in sorted(diagonals):
-            item, own = self.items[which]
-            start, stop = max(0, -d), min(len(own), len(words) - d)
-            n, a, b = best_run(own[start:stop] == words[start + d : stop + d])
-            need = min(LEAST, -(-4 * len(own) // 5))
-            if n >= need and n >= IDENTITY * (b - a) and n > best.get(which, (0, 0))[1]:
-                best[which] = (item, n, b - a, len(own), start + a + d, start + a)
-        return list(best.values())
-
-
-def _each(texts: list[str | None], words: Words, index: Index) -> list[list]:
-    """The overlaps of each text, searched in runs of a bounded number of characters."""
-    full = [t or "" for t in texts]
-    return [o for part in small_batches(full, 1 << 20) for o in index.overlaps([words(t) for t in full[part]])]
-
-
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> list:
-    """A broadcast index for each block of the benchmark."""
-    items = id_text(benchmark, id_col, text_col).filter(F.col("text").isNotNull())
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    count = -(-chars // BLOCK_CHARS)
-    sc = benchmark.sparkSession.sparkContext
-    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, count)))
-    return [sc.broadcast(Index([tuple(r) for r in items.filter(block == k).orderBy("doc_id", "text").collect()])) for k in range(count)]
+                for m in MASKS:
+                    s = _seeds(w, m)
+                    n = len(s)
+                    yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array([item] * n, pa.int64()), pa.array([name] * n, pa.int64()), pa.array(range(n), pa.int32())], ["seed", "item_id", "item_hash", "place"])
+
+    return items.mapInArrow(run, "seed long, item_id long, item_hash long, place int")
+
+
+def _bitmap(seeds: DataFrame) -> tuple[np.ndarray, int]:
+    """A bitmap of the seeds' leading bits, as 64-bit words, and the shift that finds a seed's bit.
+
+    At least 32 bits for each seed, up to FILTER_WORDS words in all.
+    """
+    count = seeds.count()
+    bits = min(max(12, (32 * max(1, count) - 1).bit_length()), (64 * FILTER_WORDS - 1).bit_length())
+    place = F.shiftrightunsigned("seed", 64 - bits)
+    words = seeds.select(F.shiftright(place, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int")).alias("b"))
+    found = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(1 << (bits - 6), dtype=np.uint64)
+    out[found.column("w").to_numpy()] = found.column("b").to_numpy().view(np.uint64)
+    return out, 64 - bits
+
+
+def passes(seeds: np.ndarray, bitmap: np.ndarray, shift: int) -> np.ndarray:
+    """The positions of the seeds that the bitmap lets through."""
+    place = seeds >> np.uint64(shift)
+    return np.flatnonzero((bitmap[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1))
+
+
+def _text_hits(rows: DataFrame, seeds: DataFrame) -> DataFrame:
+    """_doc_id, _text_hash, seed, at of the texts' hashes that pass the bitmap of the test hashes."""
+    bitmap = rows.sparkSession.sparkContext.broadcast(_bitmap(seeds))
+
+    def run(batches):
+        hashed = Words()
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            for part in small_batches(texts, 1 << 20):
+                words = [hashed(t) for t in texts[part]]
+                starts = np.cumsum([0, *map(len, words)])
+                whole, found, where, which = np.concatenate(words), [], [], []
+                for m in MASKS:
+                    s = _seeds(whole, m)
+                    at = passes(s, *bitmap.value)
+                    text = np.searchsorted(starts, at, side="right") - 1
+                    inside = at + len(m) <= starts[text + 1]
+                    found.append(s[at[inside]])
+                    where.append(at[inside] - starts[text[inside]])
+                    which.append(text[inside] + part.start)
+                take = pa.array(np.concatenate(which))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(2).take(take), pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(where).astype(np.int32))], ["_doc_id", "_text_hash", "seed", "at"])
+
+    named = rows.filter("text <> ''").select("doc_id", "text", F.xxhash64("text").alias("h"))
+    return named.mapInArrow(run, "_doc_id long, _text_hash long, seed long, at int")
+
+
+def verified(words: np.ndarray, own: np.ndarray, diagonals: list[int]) -> tuple[int, int, int, int, int] | None:
+    """(matches, compared, item length, start in the text, start in the item) of the best run on the diagonals, if it counts."""
+    best = None
+    for d in sorted(diagonals):
+        start, stop = max(0, -d), min(len(own), len(words) - d)
+        n, a, b = best_run(own[start:stop] == words[start + d : stop + d])
+        need = min(LEAST, -(-4 * len(own) // 5))
+        if n >= need and n >= IDENTITY * (b - a) and (best is None or n > best[0]):
+            best = (n, b - a, len(own), start + a + d, start + a)
+    return best
+
+
+def _overlaps(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """_doc_id, _text_hash, times (rows that repeat both) and what ``overlaps`` gives, for rows and items (doc_id, text)."""
+    items = items.filter("text <> ''").withColumn("item_hash", F.xxhash64("text"))
+    seeds = materialise(_seed_rows(items), "seeds")
+    hits = _text_hits(rows, seeds).join(seeds, "seed")
+    each = hits.groupBy("_doc_id", "_text_hash", "item_id", "item_hash").agg(F.collect_set(F.col("at") - F.col("place")).alias("diagonals"))
+    each = materialise(each, "seed-hits")
+    names = ["n_matched", "n_compared", "item_words", "doc_start", "item_start"]
+
+    def run(batches):
+        hashed, known, words = Words(), None, None
+        for b in batches:
+            found = []
+            for i, (text, item, diagonals) in enumerate(zip(*[b.column(k).to_pylist() for k in (4, 5, 6)], strict=True)):
+                if text != known:
+                    known, words = text, hashed(text)
+                if (best := verified(words, hashed(item), diagonals)) is not None:
+                    found.append((i, *best))
+            cols = list(zip(*found, strict=True)) or [()] * 6
+            take = pa.array(cols[0], pa.int64())
+            yield pa.RecordBatch.from_arrays([*[b.column(k).take(take) for k in range(4)], *[pa.array(c, pa.int32()) for c in cols[1:]]], [*b.schema.names[:4], *names])
+
+    texts = rows.join(each.select("_doc_id", "_text_hash").distinct(), same_text("doc_id", "text"), "left_semi")
+    texts = texts.groupBy("doc_id", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("times"))
+    own = items.select(F.col("doc_id").alias("i"), F.col("item_hash").alias("ih"), F.col("text").alias("item")).dropDuplicates(["i", "ih"])
+    full = each.join(texts, F.col("_doc_id").eqNullSafe(F.col("doc_id")) & (F.col("_text_hash") == F.col("h")))
+    full = full.join(own, F.col("item_id").eqNullSafe(F.col("i")) & (F.col("item_hash") == F.col("ih")))
+    schema = "_doc_id long, _text_hash long, times long, item_id long, " + ", ".join(f"{n} int" for n in names)
+    return full.select("_doc_id", "_text_hash", "times", "item_id", "text", "item", "diagonals").mapInArrow(run, schema)
 
 
 def overlaps(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row for each text and item that overlap: doc_id, item_id, n_matched, n_compared, item_words, doc_start, item_start."""
-    schema = "doc_id long, item_id long, n_matched int, n_compared int, item_words int, doc_start int, item_start int"
-    rows, out = id_text(df, id_col, text_col), None
-    for index in _blocks(benchmark, item_col, item_text_col):
+    found = _overlaps(id_text(df, id_col, text_col), id_text(benchmark, item_col, item_text_col))
+    each = found.withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
+    return each.select(F.col("_doc_id").alias("doc_id"), "item_id", "n_matched", "n_compared", "item_words", "doc_start", "item_start")
 
-        def run(batches, index=index):
-            words = Words()
-            for b in batches:
-                found = list(zip(b.column(0).to_pylist(), _each(b.column(1).to_pylist(), words, index.value), strict=True))
-                cols = list(zip(*[(i, *o) for i, many in found for o in many], strict=True)) or [()] * 7
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k < 2 else pa.int32()) for k, c in enumerate(cols)], ["doc_id", "item_id", "n_matched", "n_compared", "item_words", "doc_start", "item_start"])
 
-        part = rows.mapInArrow(run, schema)
-        out = part if out is None else out.union(part)
-    return out if out is not None else df.sparkSession.createDataFrame([], schema)
-
-
-def clean(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def clean(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of ``df`` whose text overlaps no item, with all their columns."""
-    at = df.columns.index(text_col)
-    for index in _blocks(benchmark, item_col, item_text_col):
-
-        def run(batches, index=index):
-            words = Words()
-            for b in batches:
-                yield b.filter(pa.array([not o for o in _each(b.column(at).to_pylist(), words, index.value)], pa.bool_()))
-
-        df = df.mapInArrow(run, df.schema)
-    return df
+    found = _overlaps(id_text(df, id_col, text_col), id_text(benchmark, item_col, item_text_col))
+    key, text_hash = unlike(df, "_doc_id"), unlike(df, "_text_hash")
+    gone = materialise(found.select(F.col("_doc_id").alias(key), F.col("_text_hash").alias(text_hash)).distinct(), "overlaps")
+    return df.join(gone, same_text(id_col, text_col, key, text_hash), "left_anti")
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

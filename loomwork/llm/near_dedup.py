@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm._shared import documents, id_text, materialise
+from loomwork.llm._shared import documents, id_text, materialise, same_text, unlike
 from loomwork.llm.components import connected_components
 
 HASHES, BATCH, MISS, PRUNE = 100, 20, 2e-5, 1e-5
@@ -191,8 +191,8 @@ def _sets(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 sets = [shingle_hashes(hashed(words_of(t)), size).tobytes() for t in part.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sets, pa.binary())], ["cls", "signature", "hashes"])
 
-    named = wanted.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
-    texts = rows.filter(F.col("text").isNotNull()).join(named, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")))
+    named = wanted.withColumnsRenamed({"doc_id": "_doc_id", "text_hash": "_text_hash"})
+    texts = rows.filter(F.col("text").isNotNull()).join(named, same_text("doc_id", "text"))
     return texts.select("cls", "signature", "text").mapInArrow(run, "cls long, signature binary, hashes binary")
 
 
@@ -379,14 +379,15 @@ def keep_one(df: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "key")
     best = judged.groupBy("component").agg(F.min(order).alias("o")).select(F.col("o.key").alias("key"), F.lit(1).alias("stays"))
     names = judged.join(best, "key", "left").groupBy("doc_id", "text_hash").agg(F.count("stays").alias("stay"), F.count(F.lit(1)).alias("all"))
-    odd = materialise(names.filter(F.col("stay") < F.col("all")).select(F.col("doc_id").alias("_near_id"), F.col("text_hash").alias("_near_hash"), F.col("stay").alias("_near_stay")), "near-odd")
-    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_near_id")) & (F.xxhash64(F.col(f"`{text_col}`").cast("string")) == F.col("_near_hash"))
+    key, text_hash = unlike(df, "_doc_id"), unlike(df, "_text_hash")
+    odd = materialise(names.filter(F.col("stay") < F.col("all")).select(F.col("doc_id").alias(key), F.col("text_hash").alias(text_hash), "stay"), "near-odd")
+    same = same_text(id_col, text_col, key, text_hash)
     out = df.join(odd, same, "left_anti")
-    repeated = odd.filter("_near_stay > 0")
+    repeated = odd.filter("stay > 0").drop("stay")
     if repeated.isEmpty():
         return out
     own = [F.col(f"`{c}`") for c in df.columns]
-    return out.unionByName(df.join(repeated, same).dropDuplicates(["_near_id", "_near_hash"]).select(*own))
+    return out.unionByName(df.join(repeated, same).dropDuplicates([key, text_hash]).select(*own))
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

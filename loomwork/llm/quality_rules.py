@@ -178,7 +178,7 @@ def keep_good(df: DataFrame, text_col: str = "text", lang_col: str = "lang", sou
     shuffled; the fences are joined to what was written.
     """
     prefix = "q_"
-    while any(c.startswith(prefix) for c in df.columns):
+    while any(c.lower().startswith(prefix) for c in df.columns):
         prefix = "_" + prefix
     marked = materialise(count(df, text_col, prefix).withColumns({f"{prefix}lang": _group(lang_col), f"{prefix}source": _group(source_col)}), "quality-counts")
     names = ["lang", "source", "base_failed", *{n for v in RULES.values() for n in v[:2]}]

@@ -35,7 +35,7 @@ def test_long_pieces_merge_alike(tokenizer):
     table, _ = tokenizer
     random.seed(2)
     pieces = [bytes(random.choice(b"abe tion\xc3\xa9") for _ in range(random.randint(2, 300))) for _ in range(60)]
-    assert [bpe._merge_long(table, p) for p in pieces] == [bpe._merge_matrix(table, [p])[0] for p in pieces]
+    assert [bpe._merge_folded(table, p) for p in pieces] == [bpe._merge_matrix(table, [p])[0] for p in pieces]
 
 
 def test_round_trip_query(spark):
@@ -129,18 +129,58 @@ def test_languages(spark):
 def test_overlaps_with_substitutions(spark):
     r = random.Random(5)
     vocabulary = [f"q{k}" for k in range(4000)]
-    items = [(k, " ".join(r.choice(vocabulary) for _ in range(20))) for k in range(30)] + [(90, "two words"), (91, None), (92, "")]
+    items = [(k, " ".join(r.choice(vocabulary) for _ in range(20))) for k in range(30)] + [(90, "two words"), (91, None), (92, ""), (93, "an item of exactly eight words to match"), (94, "an item of only seven words here")]
     docs = []
     for k in range(30):
         w = items[k][1].upper().split()
         for at in r.sample(range(20), 2):
             w[at] = "zzz"
         docs.append((k, ", ".join([*r.choices(vocabulary, k=30), *w, *r.choices(vocabulary, k=30)])))
-    docs += [(100, " ".join(r.choices(vocabulary, k=300))), (101, None), (102, "so, Two! words here")]
-    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    assert {(x["doc_id"], x["item_id"]) for x in decontaminate.overlaps(d, b).collect()} == {(k, k) for k in range(30)} | {(102, 90)}
-    assert {x["doc_id"] for x in decontaminate.clean(d, b).collect()} == {100, 101}
-    assert decontaminate.overlaps(d, b.limit(0)).count() == 0
+    docs += [(100, " ".join(r.choices(vocabulary, k=300))), (101, None), (102, "so, Two! words here"), (103, "see: An item of EXACTLY eight words, to match."), (104, "an item of only seven words here")]
+    docs += [(None, docs[0][1]), (200, docs[1][1]), (200, docs[1][1]), (200, docs[100 % 30][1]), (300, " ".join(r.choices(vocabulary, k=60_000)) + " " + items[3][1])]
+    d, b = spark.createDataFrame([(*x, 1, "k") for x in docs], "doc_id long, text string, _doc_id int, item_id string"), spark.createDataFrame(items, "item_id long, text string")
+    want = sorted([(k, k) for k in range(30)] + [(103, 93), (None, 0), (200, 1), (200, 1), (200, 10), (300, 3)], key=str)
+    assert sorted(((x["doc_id"], x["item_id"]) for x in decontaminate.overlaps(d, b).collect()), key=str) == want
+    left = decontaminate.clean(d, b)
+    assert left.columns == d.columns and {x["doc_id"] for x in left.collect()} == {100, 101, 102, 104}
+    assert decontaminate.overlaps(d, b.limit(0)).count() == 0 and decontaminate.clean(d, b.limit(0)).count() == len(docs)
+    assert decontaminate.overlaps(d.limit(0), b).count() == 0
+
+
+def test_overlaps_equal_all_alignments(spark):
+    """Every text against every item on every diagonal, without seeds."""
+    r = random.Random(8)
+    vocabulary = [f"w{k}" for k in range(60)]
+    items = [(k, " ".join(r.choices(vocabulary, k=r.choice([8, 10, 14, 25])))) for k in range(25)]
+    docs = []
+    for k in range(60):
+        w = r.choices(vocabulary, k=40)
+        own = items[r.randrange(25)][1].split()
+        for _ in range(r.randrange(4)):
+            own[r.randrange(len(own))] = "other"
+        w[10:10] = own[r.randrange(4) :]
+        docs.append((k, " ".join(w)))
+    hashed, want = decontaminate.Words(), set()
+    for i, text in docs:
+        for j, item in items:
+            w, own = hashed(text), hashed(item)
+            best = decontaminate.verified(w, own, list(range(-len(own) + 1, len(w))))
+            if best is not None and best[0] >= 13:  # what the masks promise
+                want.add((i, j))
+            elif best is not None and best[0] == best[1] >= 8:
+                want.add((i, j))
+    found = {(x["doc_id"], x["item_id"]): x for x in decontaminate.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert want and {k for k in want if k not in found} == set()
+    for (i, j), x in found.items():
+        w, own = hashed(docs[i][1]), hashed(items[j][1])
+        assert decontaminate.verified(w, own, list(range(-len(own) + 1, len(w))))[0] >= x["n_matched"]
+
+
+def test_the_bitmap_loses_no_seed(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "FILTER_WORDS", 64)
+    seeds = np.random.default_rng(1).integers(-(2**63), 2**63, 5000)
+    bitmap, shift = decontaminate._bitmap(spark.createDataFrame([(int(x),) for x in seeds], "seed long"))
+    assert len(bitmap) == 64 and len(decontaminate.passes(seeds.view(np.uint64), bitmap, shift)) == 5000
 
 
 def test_masks_find_every_short_run():
