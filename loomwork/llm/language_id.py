@@ -2,20 +2,23 @@
 
 The network reads the bytes of a run of letters forwards and backwards, and a
 softmax over both states labels every byte position with a language; its state
-starts anew at each run.  A document's probabilities pool all positions of all
-its runs: the prediction has the largest mean log probability, and its score is
-the mean probability.  As a run's labels depend on the run alone, each distinct
-run is read once per batch of work and kept in a bounded cache.
+starts anew at each run, and in a run of over ``LONGEST`` bytes at each piece of
+whole characters.  A document's probabilities pool all positions of all its
+runs: the prediction has the largest mean log probability, and its score is the
+mean probability.  As a run's labels depend on the run alone, each distinct run
+is read once per batch of work and kept in a bounded cache.
 
-Training is backpropagation through time in numpy on the driver, on the runs of
-at most ``SAMPLE_DOCS`` labelled documents (the ones with the smallest hash of
-their id) and at most ``SAMPLE_RUNS`` of their distinct (run, language) pairs,
-the most frequent first.  Languages weigh the same.
+Training is backpropagation through time in numpy on the driver, on every run
+of at most ``SAMPLE_DOCS`` labelled documents, those with the smallest hash of
+their id.  Languages weigh the same.
 
 Defined results: ``und`` with score 0 for a null text, one without letters, or
-where nothing was learnt; null languages are not learnt from; runs of over 64
-bytes are read in pieces of 64; a null id is held out or not like the text
-'' and repeated rows are judged alike; other columns are ignored.
+where nothing was learnt (as from an empty table); null languages are not
+learnt from; of equally likely languages (ties) the first by name; very long
+texts are read whole; a null id is held out or not like the text '' and
+repeated rows are judged alike; an empty table gives an empty result; other
+columns, whatever their names, are ignored by ``predict`` and kept by
+``keep_identified``.
 """
 
 from __future__ import annotations
@@ -30,12 +33,27 @@ from pyspark.sql import functions as F
 
 from loomwork.llm._shared import documents
 
-SAMPLE_DOCS, SAMPLE_RUNS = 3000, 60_000
+SAMPLE_DOCS, CHECKED_DOCS = 3000, 1000
 HIDDEN, BATCH, STEPS, RATE, SEED = 16, 512, 900, 0.01, 17
 LONGEST, CACHED = 64, 400_000
 RUN = re.compile(r"[^\W\d_]+")
 
 
+def pieces_of(run: str) -> list[bytes]:
+    """The bytes of a run, in pieces of whole characters and at most LONGEST bytes."""
+    b = run.encode()
+    if len(b) <= LONGEST:
+        return [b]
+    out, at = [], 0
+    while at < len(b):
+        stop = min(len(b), at + LONGEST)
+        while stop < len(b) and b[stop] & 0xC0 == 0x80:
+            stop -= 1
+        out.append(b[at:stop])
+        at = stop
+    return out
+
+
 @dataclass
 class Network:
     """Weights of both directions (w: byte x 3H, u: H x 3H, b: 3H; gates z, r, n) and of the softmax."""
@@ -167,9 +185,7 @@ class Reader:
         out = np.zeros((len(runs), 2 * self.k + 1), dtype=np.float64)
         groups: dict[int, tuple[list[int], list[bytes]]] = {}
         for i, run in enumerate(runs):
-            b = run.encode()
-            for at in range(0, len(b), LONGEST):
-                piece = b[at : at + LONGEST]
+            for piece in pieces_of(run):
                 places, pieces = groups.setdefault(len(piece), ([], []))
                 places.append(i)
                 pieces.append(piece)
@@ -212,25 +228,45 @@ def held_out(of: int, id_col: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(of)) == 0
 
 
-def fit(df: DataFrame, folds: int = 5, sample_docs: int = SAMPLE_DOCS, sample_runs: int = SAMPLE_RUNS) -> Network:
+def _labelled(df: DataFrame, folds: int, held: bool) -> DataFrame:
+    out = held_out(folds)
+    return df.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (out if held else ~out))
+
+
+def _sample(rows: DataFrame, limit: int) -> DataFrame:
+    """The rows (doc_id, text, lang) of at most ``limit`` ids, those with the smallest hash."""
+    ids = rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    return rows.join(ids.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("doc_id", "text", "lang")
+
+
+def fit(df: DataFrame, folds: int = 5, sample_docs: int = SAMPLE_DOCS) -> Network:
     """A network from the labelled rows (doc_id, text, lang) that are not held out."""
-    labelled = df.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(folds))
-    key = F.xxhash64("doc_id")
-    ids = [r[0] for r in labelled.select("doc_id", key.alias("k")).distinct().orderBy("k", "doc_id").limit(sample_docs).collect()]
 
     def runs(batches):
         for b in batches:
             count: dict[tuple[bytes, str], int] = {}
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 for run in RUN.findall(text.lower()):
-                    key = (run.encode()[:LONGEST], lang)
-                    count[key] = count.get(key, 0) + 1
+                    for piece in pieces_of(run):
+                        count[piece, lang] = count.get((piece, lang), 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in count], pa.binary()), pa.array([k[1] for k in count], pa.string()), pa.array(list(count.values()), pa.int64())], ["run", "lang", "n"])
 
-    sample = labelled.filter(F.col("doc_id").isin(ids)).select("text", "lang") if ids else labelled.select("text", "lang").limit(0)
-    rows = sample.mapInArrow(runs, "run binary, lang string, n long").groupBy("run", "lang").agg(F.sum("n").alias("n"))
-    got = rows.orderBy(F.desc("n"), "run", "lang").limit(sample_runs).collect()
-    return train([(bytes(r["run"]), r["lang"], r["n"]) for r in got])
+    taken = _sample(_labelled(df, folds, False), sample_docs).select("text", "lang")
+    rows = taken.mapInArrow(runs, "run binary, lang string, n long").groupBy("run", "lang").agg(F.sum("n").alias("n")).toArrow()
+    return train(list(zip(*[rows.column(k).to_pylist() for k in range(3)], strict=True)))
+
+
+def least_score(df: DataFrame, net: Network, folds: int = 5, sample_docs: int = CHECKED_DOCS) -> float:
+    """The score below which a text is in no known language.
+
+    Halfway between a guess among the languages and the score that all but one
+    in two hundred of the held-out labelled documents (a sample) reach; a guess
+    where none is held out.
+    """
+    guess = 1 / max(1, len(net.langs))
+    scored = predict(_sample(_labelled(df, folds, True), sample_docs), net).filter("lang_pred <> 'und'")
+    got = scored.agg(F.percentile_approx("score", 0.005, 10_000)).first()[0]
+    return guess if got is None else max(guess, (guess + got) / 2)
 
 
 def predict(df: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -251,12 +287,13 @@ def predict(df: DataFrame, net: Network, id_col: str = "doc_id", text_col: str =
     return out.select("doc_id", "lang_pred", "score", *[F.col("own")[c].alias(c) for c in keep])
 
 
-def keep_identified(df: DataFrame, net: Network, text_col: str = "text", least_score: float = 0.3) -> DataFrame:
+def keep_identified(df: DataFrame, net: Network, least: float | None = None, text_col: str = "text") -> DataFrame:
     """The rows of ``df`` in a language that the network knows, with all their columns.
 
-    Rejected are texts without letters and those whose positions agree with
-    their best language so little that it is no better than a guess.
+    Rejected are texts without letters and those that score below ``least``,
+    by default ``least_score`` of the rows, which then need doc_id and lang.
     """
+    least = least_score(df, net) if least is None else least
     model, at = df.sparkSession.sparkContext.broadcast(net), df.columns.index(text_col)
 
     def run(batches):
@@ -265,7 +302,7 @@ def keep_identified(df: DataFrame, net: Network, text_col: str = "text", least_s
             for start in range(0, b.num_rows, 1024):
                 part = b.slice(start, 1024)
                 langs, scores = reader.label(part.column(at).to_pylist())
-                yield part.filter(pa.array([x != "und" and s >= least_score for x, s in zip(langs, scores, strict=True)], pa.bool_()))
+                yield part.filter(pa.array([x != "und" and s >= least for x, s in zip(langs, scores, strict=True)], pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
 

@@ -7,13 +7,18 @@ weighted quantile is found by histogram refinement: each pass sums the weights
 of ``BINS`` equal bins of every open node, and the next pass looks only into
 the bin that holds the quantile, until an edge is within ``tolerance`` of a
 leaf's weight.  The driver sees at most nodes x BINS sums.  Points are ordered
-by (dimension, text checksum, doc_id), so a cut can pass through rows that tie
-in a dimension; equal texts, which share every dimension used here, stay
-together unless a median itself falls among them.
+by (dimension, text checksum), so that equal texts, which share every dimension
+used here, always stay together: a cut goes beside a group, on the nearer side.
+The halves then share the leaves in proportion to what they hold, so that a
+group that is larger than a shard gets one of its own and the others stay
+near equal.
 
 Defined results: a null text has no bytes (size 16, checksum 0); a null
-language is a point of its own; a null ``doc_id`` sorts first; repeated rows
-each get a slot; an empty table gives an empty result.
+language is a point of its own; rows with a null ``doc_id`` and repeated rows
+each get a slot; ties in all dimensions are a group; of equally wide dimensions
+the first is split; very long texts are measured whole; an empty table gives an
+empty result; shards that get no row stay empty; other columns, whatever their
+names, are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +36,7 @@ BINS, OVERHEAD = 1024, 16
 
 @dataclass
 class Node:
-    """A leaf, or a split of the rows below ``cut`` (a prefix of dim, tie1, tie2) from the others."""
+    """A leaf, or a split of the rows below ``cut`` (a prefix of dim, crc) from the others."""
 
     leaves: int
     shard: int
@@ -42,10 +47,8 @@ class Node:
 
 
 def _below(dim: str, cut: list[int]) -> Column:
-    """Whether (dim, crc, id) comes before the cut."""
-    if not cut:
-        return F.lit(True)
-    keys = [F.col(dim), F.col("crc"), F.col("id")][: len(cut)]
+    """Whether (dim, crc) comes before the cut."""
+    keys = [F.col(dim), F.col("crc")][: len(cut)]
     out = keys[-1] < cut[-1]
     for k, v in list(zip(keys, cut, strict=True))[-2::-1]:
         out = (k < v) | ((k == v) & out)
@@ -72,6 +75,8 @@ class _Search:
     before: float = 0
     fixed: list[int] = field(default_factory=list)
     done: bool = False
+    #: The weight below the cut.
+    below: float = 0
 
     @property
     def width(self) -> int:
@@ -80,6 +85,9 @@ class _Search:
     def following(self) -> str:
         return self.keys[min(len(self.fixed) + 1, len(self.keys) - 1)]
 
+    def settle(self, edge: int, below: float) -> None:
+        self.node.cut, self.below, self.done = [*self.fixed, edge], below, True
+
     def refine(self, bins: list) -> None:
         """Look at the sums of this pass: either an edge is near enough, or go on in the bin that holds the target."""
         total = self.before
@@ -88,18 +96,16 @@ class _Search:
                 total += b["w"]
                 continue
             under, over = self.target - total, total + b["w"] - self.target
-            if min(under, over) <= self.tolerance:
-                edge = b["least"] if under <= over else b["most"] + 1
-                self.node.cut, self.done = [*self.fixed, edge], True
-            elif b["least"] < b["most"]:
+            tied = b["least"] == b["most"]
+            if min(under, over) <= self.tolerance or tied and len(self.fixed) + 1 == len(self.keys):
+                self.settle(*((b["least"], total) if under <= over else (b["most"] + 1, total + b["w"])))
+            elif not tied:
                 self.low, self.high, self.before = b["least"], b["most"], total
-            elif len(self.fixed) + 1 < len(self.keys):
+            else:
                 self.fixed.append(b["least"])
                 self.low, self.high, self.before = b["next_least"], b["next_most"], total
-            else:  # rows that tie in everything: the nearer side
-                self.node.cut, self.done = [*self.fixed, b["least"] if under <= over else b["most"] + 1], True
             return
-        self.node.cut, self.done = [*self.fixed, self.low], True
+        self.settle(self.low, total)
 
 
 def _parameters(searches: list[_Search], keys: list[str]) -> Column:
@@ -114,9 +120,9 @@ def _parameters(searches: list[_Search], keys: list[str]) -> Column:
 
 
 def build_tree(points: DataFrame, dims: list[str], leaves: int, tolerance: float = 0.004) -> Node:
-    """The tree over ``points``: long columns dims, crc, id and the weight w."""
+    """The tree over ``points``: long columns dims, crc and the weight w."""
     root, whole = Node(leaves, 0), None
-    keys = list(dict.fromkeys([*dims, "crc", "id"]))
+    keys = list(dict.fromkeys([*dims, "crc"]))
     open_nodes = [root] if leaves > 1 else []
     while open_nodes:
         placed = points.withColumn("at", _shard_of(root)).filter(F.col("at").isin([n.shard for n in open_nodes]))
@@ -132,7 +138,7 @@ def build_tree(points: DataFrame, dims: list[str], leaves: int, tolerance: float
             node.dim = max(dims, key=lambda c: (spread(c), -dims.index(c))) if r else dims[0]
             if r:
                 at = r["w"] * node.left.leaves / node.leaves
-                searches.append(_Search(node, [node.dim, "crc", "id"], at, tolerance * r["w"] / node.leaves, r[f"{node.dim}_least"], r[f"{node.dim}_most"]))
+                searches.append(_Search(node, list(dict.fromkeys([node.dim, "crc"])), at, tolerance * r["w"] / node.leaves, r[f"{node.dim}_least"], r[f"{node.dim}_most"]))
             else:
                 node.cut = [0]
         # the halves get their cuts before rows are placed below them
@@ -154,7 +160,12 @@ def build_tree(points: DataFrame, dims: list[str], leaves: int, tolerance: float
                 found.setdefault(r["at"], []).append(r)
             for s in todo:
                 s.refine(sorted(found.get(s.node.shard, []), key=lambda r: r["bin"]))
+        weight = {id(s.node): (s.below, stats[s.node.shard]["w"]) for s in searches}
         for n, left, right in halves:
+            below, all_of = weight.get(id(n), (0, 0))
+            if all_of:  # leaves in proportion to what the halves hold
+                left.leaves = min(n.leaves - 1, max(1, round(n.leaves * below / all_of)))
+                right.leaves, right.shard = n.leaves - left.leaves, n.shard + left.leaves
             n.left, n.right = left, right
         open_nodes = [x for _, left, right in halves for x in (left, right) if x.leaves > 1]
     return root
@@ -186,7 +197,9 @@ def shard(
     if shards is None:
         total = points.agg(F.sum("size")).first()[0] or 0
         shards = max(1, -(-total // (target_bytes or 1 << 30)))
-    keyed = points.withColumns({"crc": F.col("text_crc32"), "id": F.coalesce("doc_id", F.lit(-(2**63))), "w": F.col("size") if law == "bytes" else F.lit(1)})
+    if law not in ("bytes", "rows"):
+        raise ValueError(f"no such law: {law}")
+    keyed = points.withColumns({"crc": F.col("text_crc32"), "w": F.col("size") if law == "bytes" else F.lit(1)})
     root = build_tree(keyed, ["language", "log_size", "crc"], shards)
     placed = keyed.withColumn("shard", _shard_of(root).cast("int"))
     return slots(placed).select("doc_id", "size", "text_crc32", F.lit(law).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -200,10 +213,10 @@ def slots(placed: DataFrame, rows_at_once: int = 200_000) -> DataFrame:
     """
     biggest = placed.groupBy("shard").count().agg(F.max("count")).first()[0] or 0
     parts = max(1, -(-biggest // rows_at_once))
-    parted = placed.withColumn("part", F.pmod(F.xxhash64("id", "crc", "size"), F.lit(parts)).cast("int"))
+    parted = placed.withColumn("part", F.pmod(F.xxhash64("doc_id", "crc", "size"), F.lit(parts)).cast("int"))
     ahead = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parted.groupBy("shard", "part").count().withColumn("offset", F.coalesce(F.sum("count").over(ahead), F.lit(0)))
-    within = Window.partitionBy("shard", "part").orderBy("crc", "id")
+    within = Window.partitionBy("shard", "part").orderBy("crc", "doc_id")
     numbered = parted.withColumn("n", F.row_number().over(within))
     return numbered.join(offsets.select("shard", "part", "offset"), ["shard", "part"]).withColumn("slot", (F.col("offset") + F.col("n") - 1).cast("long"))
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -122,8 +123,55 @@ def test_languages(spark):
     assert all(got[i]["lang_pred"] == lang for i, _, lang in rows[:120])
     assert got[500]["lang_pred"] == got[501]["lang_pred"] == "und" and got[502]["lang_pred"] == "aa"
     assert {r["doc_id"] for r in language_id.keep_identified(df, net).collect()} == set(got) - {500, 501}
+    assert language_id.keep_identified(df, net, 1.1).count() == 0
     none = language_id.fit(df.limit(0))
     assert {r["lang_pred"] for r in language_id.predict(df, none).collect()} == {"und"}
+    assert language_id.least_score(df.limit(0), none) == 1 and language_id.predict(df.limit(0), net).count() == 0
+    again = spark.createDataFrame([(None, "kama kolo", "s"), (None, "kama kolo", "s"), (1, "kama kolo " * 30_000, "s")], "doc_id long, text string, score string")
+    assert [r["lang_pred"] for r in language_id.predict(again, net).collect()] == ["aa"] * 3
+
+
+def test_reader_equals_a_plain_pass():
+    """Every run read by itself, state by state, against the cached and batched reader."""
+    net = language_id.Network.fresh(["x", "y", "z"], 4, 3)
+    w = {k: v.astype(float) for k, v in net.weights.items()}
+
+    def states(raw, d):
+        h, out = np.zeros(4), []
+        for byte in raw:
+            a, g = w["w" + d][byte] + w["b" + d], h @ w["u" + d]
+            z, r = (1 / (1 + np.exp(-(a[k : k + 4] + g[k : k + 4]))) for k in (0, 4))
+            h = (1 - z) * np.tanh(a[8:] + r * g[8:]) + z * h
+            out.append(h)
+        return out
+
+    texts = ["one two one", "Größe é" + "ü" * 100 + " one", "", "12", "a" * 64 + "ö"]
+    for text, lang, score in zip(texts, *language_id.Reader(net).label(texts), strict=True):
+        logs = []
+        for run in language_id.RUN.findall(text.lower()):
+            for raw in language_id.pieces_of(run):
+                raw.decode()
+                for f, b in zip(states(raw, "f"), states(raw[::-1], "b")[::-1], strict=True):
+                    y = np.concatenate([f, b]) @ w["o"] + w["c"]
+                    logs.append(y - np.log(np.exp(y).sum()))
+        if not logs:
+            assert (lang, score) == ("und", 0)
+            continue
+        best = int(np.sum(logs, axis=0).argmax())
+        assert lang == net.langs[best] and score == pytest.approx(np.exp(logs).mean(axis=0)[best], abs=1e-5)
+
+
+def test_pieces_are_whole():
+    for run in ("a", "é" * 200, "日" * 50, "x" * 64, "x" * 65):
+        pieces = language_id.pieces_of(run)
+        assert b"".join(pieces).decode() == run and all(p.decode() and len(p) <= 64 for p in pieces)
+
+
+def test_held_out_accuracy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    net = language_id.fit(docs)
+    judged = language_id.predict(docs, net, keep=("lang",)).filter(language_id.held_out(5)).filter("lang is not null and lang_pred <> 'und'").collect()
+    assert len(judged) > 100 and sum(r["lang"] == r["lang_pred"] for r in judged) >= 0.98 * len(judged)
 
 
 def test_overlaps_with_substitutions(spark):
@@ -191,17 +239,42 @@ def test_masks_find_every_short_run():
             assert any(all(s + p not in gone for p, c in enumerate(m) if c == "1") for m in decontaminate.MASKS for s in range(n - len(m) + 1))
 
 
-def test_shards(spark):
-    rows = [(i, "x" * (i % 50), ("en", "de", None)[i % 3]) for i in range(600)] + [(900 + i, "same text", "en") for i in range(300)] + [(7, None, "en"), (None, "y", "de")]
-    got = sharding.shard(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, lang string, shard int"), shards=8).collect()
-    assert len(got) == len(rows)
-    size, slots = {}, {}
+def _loads(got):
+    size, slots, of = {}, {}, {}
     for r in got:
         size[r["shard"]] = size.get(r["shard"], 0) + r["size"]
         slots.setdefault(r["shard"], []).append(r["slot"])
-    assert set(size) == set(range(8)) and max(size.values()) - min(size.values()) <= 2 * 66
+        of.setdefault(r["text_crc32"], set()).add(r["shard"])
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
-    assert sharding.shard(spark.createDataFrame([], "doc_id long, text string, lang string"), shards=4).count() == 0
+    assert all(len(s) == 1 for s in of.values())  # equal texts stay together
+    return size
+
+
+def test_shards(spark):
+    r = random.Random(3)
+    rows = [(i, f"{i} " + "x" * r.randrange(60), ("en", "de", None)[i % 3]) for i in range(1500)] + [(900 + i, "same text", "en") for i in range(40)] + [(7, None, "en"), (None, "y", "de"), (None, "y", "de")]
+    df = spark.createDataFrame([(*x, 1, 2, "crc") for x in rows], "doc_id long, text string, lang string, shard int, id int, w string")
+    got = sharding.shard(df, shards=8).collect()
+    size = _loads(got)
+    assert sorted(zlib.crc32((t or "").encode()) for _, t, _ in rows) == sorted(x["text_crc32"] for x in got)
+    assert sum(size.values()) == sum(len(t or "") + 16 for _, t, _ in rows)
+    largest = 40 * (len("same text") + 16)
+    assert set(size) == set(range(8)) and max(size.values()) - min(size.values()) <= largest
+    counts = {}
+    for x in sharding.shard(df, shards=5, law="rows").collect():
+        counts[x["shard"]] = counts.get(x["shard"], 0) + 1
+    assert sorted(counts) == list(range(5)) and max(counts.values()) - min(counts.values()) <= 40
+    assert len(_loads(sharding.shard(df, target_bytes=10_000).collect())) == -(-sum(size.values()) // 10_000)
+    assert sharding.shard(df.limit(0), shards=4).count() == 0
+    assert sharding.shard(df.limit(1), shards=4).count() == 1
+
+
+def test_a_group_larger_than_a_shard(spark):
+    """It gets a shard of its own, and the others stay near equal."""
+    rows = [(i, f"text number {i:05d}") for i in range(700)] + [(1000 + i, "copies of this text") for i in range(300)]
+    size = _loads(sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), shards=10).collect())
+    mean = (max(size.values()), sorted(size.values())[:-1])
+    assert mean[0] >= 300 * 35 and max(mean[1]) - min(mean[1]) <= 0.4 * max(mean[1])
 
 
 def test_rules(spark):
