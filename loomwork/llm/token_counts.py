@@ -8,13 +8,19 @@ see the edit (``CONTEXT`` characters of look-ahead) and stops at the first new
 boundary behind the edit that was a boundary before, from where all further
 matches are as they were.  Changed blocks are replaced and the sums on the
 paths to the root are updated; when the number of blocks changes, the sums
-above the blocks are rebuilt from the blocks' sums.
+above the blocks are rebuilt from the blocks' sums.  Boundaries do not depend
+on token counts, so the new pre-tokens of a batch of documents are encoded
+together when all their edits are in place, and then the sums of the blocks
+that hold them are updated.
 
 Edits of a document apply in order, each to the text that the one before left:
 ``start`` is clamped to the text and ``remove`` to what follows it; a null
-start, remove or insert counts as 0, 0 and no text.  A null text counts as
-empty; null ids, repeated rows and other columns do no harm; a document
-without edits keeps its counts.
+start, remove or insert counts as 0, 0 and no text.  Edits of one document with
+equal ``seq`` (ties) apply in order of start, remove and insert.  A null text
+counts as empty; null ids and repeated rows are edited like any other; very
+long texts are counted whole; a document without edits keeps its counts; an
+empty table gives an empty result; other columns, whatever their names, are
+ignored.
 """
 
 from __future__ import annotations
@@ -78,6 +84,8 @@ class CountedText:
 
     def __init__(self, text: str, leaves: np.ndarray, encoder: Encoder):
         self.text, self.encoder, self.reencoded = text, encoder, 0
+        #: New pre-tokens that are not encoded yet; the k-th one's leaf has -1 - k for its tokens.
+        self.pending: list[str] = []
         self.blocks = [leaves[i : i + BLOCK] for i in range(0, len(leaves), BLOCK)] or [leaves]
         self.tree = SumTree(np.add.reduceat(leaves, np.arange(0, len(leaves), BLOCK), axis=0) if len(leaves) else leaves)
 
@@ -86,6 +94,25 @@ class CountedText:
         return np.concatenate(self.blocks)
 
     def edit(self, start: int, remove: int, insert: str) -> None:
+        self.replace(start, remove, insert)
+        self.settle(self.encoder.known(self.pending))
+
+    def settle(self, ids: dict[str, bytes]) -> None:
+        """Gives the pending pre-tokens the lengths of their ids and updates the sums of their blocks."""
+        if not self.pending:
+            return
+        counts = np.fromiter((len(ids[p]) >> 2 for p in self.pending), dtype=np.int64, count=len(self.pending))
+        for k, block in enumerate(self.blocks):
+            new = block[:, 1] < 0
+            if new.any():
+                block = block.copy()
+                block[new, 1] = counts[-1 - block[new, 1]]
+                self.blocks[k] = block
+                self.tree.set(k, tuple(block.sum(axis=0)))
+        self.pending = []
+
+    def replace(self, start: int, remove: int, insert: str) -> None:
+        """Edits the text and the boundaries; the new pre-tokens become pending."""
         start = min(max(0, start), len(self.text))
         remove = min(max(0, remove), len(self.text) - start)
         if not remove and not insert:
@@ -128,8 +155,9 @@ class CountedText:
             tail = self.blocks[last - 1]
             stops = upto - tail[:, 0].sum() + np.cumsum(tail[:, 0])
             rest = tail[int(np.searchsorted(stops, position - shift, side="right")) :]
-        know = self.encoder.known(fresh)
-        new = np.array([(len(p), len(know[p]) // 4) for p in fresh], dtype=np.int64).reshape(-1, 2)
+        first = len(self.pending)
+        self.pending += fresh
+        new = np.array([(len(p), -1 - k) for k, p in enumerate(fresh, first)], dtype=np.int64).reshape(-1, 2)
         self.reencoded += len(fresh)
         merged = np.concatenate([self.blocks[block][:kept], new, rest])
         last = max(last, block + 1)
@@ -204,12 +232,16 @@ def apply_edits(trees: DataFrame, path: str) -> DataFrame:
                 while stop < b.num_rows and chars + sizes[stop] <= 1 << 21 and stop - start < 512:
                     chars += sizes[stop]
                     stop += 1
-                out = []
+                out, made = [], []
                 for doc_id, text, tree, before, edits in zip(*[c.to_pylist() for c in b.slice(start, stop - start).columns], strict=True):
                     counted = CountedText(text, np.frombuffer(tree, dtype="<u4").astype(np.int64).reshape(-1, 2), encoder)
                     for e in edits or ():
                         if e is not None:
-                            counted.edit(e["start"] or 0, e["remove"] or 0, e["insert"] or "")
+                            counted.replace(e["start"] or 0, e["remove"] or 0, e["insert"] or "")
+                    made.append((doc_id, counted, before, edits))
+                ids = encoder.known(set().union(*[m[1].pending for m in made]))
+                for doc_id, counted, before, edits in made:
+                    counted.settle(ids)
                     leaves = counted.leaves
                     out.append((doc_id, counted.text, leaves.astype("<u4").tobytes(), counted.tree.tokens, before, len(edits or ()), len(leaves), counted.reencoded))
                 kinds = (pa.int64(), pa.string(), pa.binary(), *[pa.int64()] * 5)
