@@ -1,22 +1,29 @@
 """Main text of web pages by smoothed text-to-tag ratios.
 
 Events of the standard library's parser stream into lines: runs of text
-between block boundaries.  Each line has its text-to-tag ratio; the ratios of
-a page are smoothed with a Gaussian, and lines whose smoothed ratio passes a
-threshold (``LAMBDA`` standard deviations) form the content cluster.  Regions (an article or
-main element, else the innermost section, cell or division) that hold content
-lines are kept whole, so a short paragraph between long ones is not lost.
-Elements that are boilerplate by tag, role, class or id never contribute.
+between block boundaries.  Each line has its text-to-tag ratio, weighed by
+features: text in links does not count, elements that are boilerplate by tag,
+role, class or id keep ``FAINT`` of it, and an article or main element has
+``STRONG`` times it.  The ratios of a page are smoothed with a Gaussian (over
+lines that are alike in being boilerplate), and a threshold of ``LAMBDA``
+standard deviations makes two clusters of lines.  Regions are the innermost
+sections, divisions, cells and boilerplate elements.  From the page down, the
+element that still holds ``HELD`` of the content cluster's (weighted) text is
+taken; in it the regions most of whose text is in the cluster are kept whole, so a short
+paragraph between long ones is not lost.
 
 Defined results: null or empty html gives the empty string; broken markup is
-read as far as the parser goes; null ids and urls are passed through; other
-columns are ignored.
+read as far as the parser goes; of regions with equal content (ties) the first
+is the best; very long pages are read whole; null ids and urls are passed
+through; repeated rows give equal texts; an empty table gives an empty result;
+other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -26,6 +33,7 @@ from pyspark.sql import functions as F
 from loomwork.llm._shared import documents
 
 LAMBDA, SIGMA = 0.5, 1.0
+FAINT, STRONG, HELD = 0.02, 1.5, 0.75
 #: Elements without readable text, and those that are boilerplate by their tag.
 MUTE = frozenset("script style noscript template svg math iframe object select option button textarea canvas audio video head title label datalist".split())
 BOILERPLATE = frozenset("nav aside footer header form dialog menu".split())
@@ -34,8 +42,10 @@ BLOCKS = frozenset(
     "address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
     "hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-#: Elements that are tracked as open; void ones and inline ones are not.
-OPEN = MUTE | BOILERPLATE | frozenset("article main section div td th body html ul ol dl table figure blockquote details center fieldset span li".split())
+#: Elements that are a region of their own, as are those that are marked.
+REGIONS = BOILERPLATE | frozenset("article main section div td th body center fieldset".split())
+#: Elements that are tracked as open; void ones and other inline ones are not.
+OPEN = MUTE | REGIONS | frozenset("html ul ol dl table figure blockquote details span li p a".split())
 #: Names in class, id or role that mark boilerplate.
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu navbar nav navigation topnav breadcrumb breadcrumbs "
@@ -58,28 +68,47 @@ def _marked(attrs: list) -> bool:
     return False
 
 
+@dataclass
+class Line:
+    """A run of text: the tags before it, its characters in links, its weight and its region."""
+
+    text: str
+    tags: int
+    linked: int
+    weight: float
+    region: int
+
+    @property
+    def ratio(self) -> float:
+        return self.weight * max(0, len(self.text) - self.linked) / max(1, self.tags)
+
+
 class Lines(HTMLParser):
-    """The lines of one page: text, tags, whether boilerplate, region."""
+    """The lines of one page, and the region that holds each region."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, bool, tuple[bool, int]]] = []
-        #: Open elements: tag, whether mute, whether boilerplate, region.
-        self.stack: list[tuple[str, bool, bool, tuple[bool, int]]] = []
-        self.mute, self.bad, self.region = False, False, (False, 0)
+        self.lines: list[Line] = []
+        self.parents = [0]
+        #: Open elements: tag and what held outside: mute, boilerplate, own (article or main), link, region.
+        self.stack: list[tuple] = []
+        self.mute = self.bad = self.own = self.link = False
+        self.region = 0
         self.parts: list[str] = []
-        self.tags = self.count = 0
+        self.tags = self.linked = 0
 
     def end_line(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append((text, self.tags, self.bad, self.region))
+            self.lines.append(Line(text, self.tags, min(self.linked, len(text)), FAINT if self.bad else STRONG if self.own else 1.0, self.region))
             self.tags = 0
-        self.parts = []
+        self.parts, self.linked = [], 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in BLOCKS:
             self.end_line()
+            if self.stack and self.stack[-1][0] == "p":
+                self.pop()
         self.tags += 1
         if tag not in OPEN or tag in _VOID:
             return
@@ -91,20 +120,16 @@ class Lines(HTMLParser):
         elif tag == "body":
             while self.stack and self.stack[-1][0] in ("head", "title"):
                 self.pop()
-        self.count += 1
-        whole, region = self.region
-        plain = tag in ("html", "body", "article", "main")
-        own_header = tag == "header" and whole
-        bad = self.bad or (tag in BOILERPLATE and not own_header) or (not (plain and tag in ("html", "body")) and not own_header and bool(attrs) and _marked(attrs))
-        mute = self.mute or tag in MUTE
-        if tag in ("article", "main") and not whole:
-            new = (True, self.count)
-        elif not whole and tag in ("section", "div", "td", "th", "body", "center", "fieldset"):
-            new = (False, self.count)
-        else:
-            new = self.region
-        self.stack.append((tag, self.mute, self.bad, self.region))
-        self.mute, self.bad, self.region = mute, bad, new
+        self.stack.append((tag, self.mute, self.bad, self.own, self.link, self.region))
+        own_header = tag == "header" and self.own
+        marked = tag not in ("html", "body") and not own_header and bool(attrs) and _marked(attrs)
+        self.bad = self.bad or marked or (tag in BOILERPLATE and not own_header)
+        self.mute = self.mute or tag in MUTE
+        self.own = self.own or tag in ("article", "main")
+        self.link = self.link or tag == "a"
+        if tag in REGIONS or marked:
+            self.parents.append(self.region)
+            self.region = len(self.parents) - 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -112,7 +137,7 @@ class Lines(HTMLParser):
             self.handle_endtag(tag)
 
     def pop(self) -> str:
-        tag, self.mute, self.bad, self.region = self.stack.pop()
+        tag, self.mute, self.bad, self.own, self.link, self.region = self.stack.pop()
         return tag
 
     def handle_endtag(self, tag: str) -> None:
@@ -126,11 +151,13 @@ class Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.mute:
             self.parts.append(data)
+            if self.link:
+                self.linked += len(data)
 
     def unknown_decl(self, data: str) -> None:
         pass
 
-    def read(self, html: str) -> list:
+    def read(self, html: str) -> list[Line]:
         try:
             self.feed(html)
             self.close()
@@ -140,37 +167,56 @@ class Lines(HTMLParser):
         return self.lines
 
 
-def smoothed(ratios: list[float], sigma: float = SIGMA) -> list[float]:
-    """Gaussian smoothing; past the ends the weights of what is there count."""
+def smoothed(ratios: list[float], alike: list, sigma: float = SIGMA) -> list[float]:
+    """Gaussian smoothing over the lines that are ``alike``; past the ends the weights of what is there count."""
     reach = max(1, math.ceil(3 * sigma))
     kernel = [math.exp(-(d * d) / (2 * sigma * sigma)) for d in range(-reach, reach + 1)]
     out = []
-    for i in range(len(ratios)):
+    for i, own in enumerate(alike):
         low, high = max(0, i - reach), min(len(ratios), i + reach + 1)
-        weights = kernel[low - i + reach : high - i + reach]
-        out.append(sum(w * r for w, r in zip(weights, ratios[low:high], strict=True)) / sum(weights))
+        near = [(kernel[k - i + reach], ratios[k]) for k in range(low, high) if alike[k] == own]
+        out.append(sum(w * r for w, r in near) / sum(w for w, _ in near))
     return out
 
 
+def content_lines(lines: list[Line]) -> list[bool]:
+    """Which lines are in the content cluster: those whose smoothed ratio reaches the threshold."""
+    level = smoothed([x.ratio for x in lines], [x.weight == FAINT for x in lines])
+    mean = sum(level) / len(level)
+    threshold = LAMBDA * math.sqrt(sum((x - mean) ** 2 for x in level) / len(level))
+    return [x > 0 and x >= threshold for x in level]
+
+
+def chosen_regions(lines: list[Line], content: list[bool], parents: list[int]) -> set[int]:
+    """The regions that the content cluster chooses."""
+    size, good = [0.0] * len(parents), [0.0] * len(parents)
+    for x, c in zip(lines, content, strict=True):
+        size[x.region] += x.weight * len(x.text)
+        good[x.region] += x.weight * len(x.text) if c else 0
+    below = list(good)
+    for r in range(len(parents) - 1, 0, -1):
+        below[parents[r]] += below[r]
+    children: dict[int, list[int]] = {}
+    for r in range(1, len(parents)):
+        children.setdefault(parents[r], []).append(r)
+    top = 0
+    while heirs := [r for r in children.get(top, ()) if below[r] >= HELD * below[top] > good[top]]:
+        top = heirs[0]
+    inside = [r == top for r in range(len(parents))]
+    for r in range(top + 1, len(parents)):
+        inside[r] = inside[parents[r]]
+    best = max((r for r in range(len(parents)) if inside[r]), key=lambda r: good[r])
+    return {r for r in range(len(parents)) if inside[r] and good[r] and (r == best or (2 * good[r] >= size[r] and 10 * good[r] >= good[best]))}
+
+
 def main_text(html: str | None) -> str:
     """The main text of a page: its blocks in order, joined by one space."""
-    lines = Lines().read(html) if html else []
-    open_lines = [x for x in lines if not x[2]]
-    if not open_lines:
+    page = Lines()
+    lines = page.read(html) if html else []
+    if not lines:
         return ""
-    level = smoothed([len(t) / max(1, n) if not bad else 0.0 for t, n, bad, _ in lines])
-    mean = sum(level) / len(level)
-    threshold = LAMBDA * math.sqrt(sum((x - mean) ** 2 for x in level) / len(level))
-    wholes = {r for *_, r in open_lines if r[0]}
-    size: dict[tuple, int] = {}
-    content: dict[tuple, int] = {}
-    for (text, _, bad, region), x in zip(lines, level, strict=True):
-        if not bad and (region in wholes or not wholes):
-            size[region] = size.get(region, 0) + len(text)
-            content[region] = content.get(region, 0) + (len(text) if x >= threshold else 0)
-    best = max(size, key=lambda r: (content[r], size[r]))
-    chosen = {r for r in size if 2 * content[r] >= size[r] and 10 * content[r] >= content[best]} | {best}
-    return " ".join(t for t, _, bad, r in lines if not bad and r in chosen)
+    chosen = chosen_regions(lines, content_lines(lines), page.parents)
+    return " ".join(x.text for x in lines if x.region in chosen)
 
 
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

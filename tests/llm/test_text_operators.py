@@ -84,14 +84,57 @@ def test_main_text(tag):
     assert html_text.main_text(PAGE.format(article=body)) == want
 
 
+def _page(r, article, wrapped):
+    """A page with furniture around the paragraphs, and its main text."""
+    words = lambda n: " ".join(r.choice(["river", "stone", "field", "cloud", "under", "slowly", "walks"]) for _ in range(n))
+    blocks = [words(r.randint(3, 9))] + [words(r.randint(6, 80)) for _ in range(r.randint(1, 8))]
+    tags = ["h1", *["p"] * (len(blocks) - 1)]
+    body = "".join(f"<{t}>{b}" + (f"</{t}>" if r.random() < 0.7 or t == "h1" else "") for t, b in zip(tags, blocks, strict=True))
+    if wrapped:
+        body = f"<div class='wrap'><section>{body}</section></div>"
+    menu = "".join(f"<li><a href='/{k}'>{words(1)}</a></li>" for k in range(r.randint(3, 9)))
+    before = f"<nav><ul>{menu}</ul></nav><div class='ad'>{words(r.randint(5, 15))}</div>"
+    after = f"<div id='comments'><p>{words(r.randint(5, 20))}</p></div><footer>&copy; {words(8)}</footer>"
+    return f"<html><head><title>x</title></head><body>{before}<{article}>{body}</{article}>{after}</body></html>", " ".join(blocks)
+
+
+@pytest.mark.parametrize("wrapped", [False, True])
+@pytest.mark.parametrize("article", ["article", "main", "div", "section"])
+def test_pages_with_and_without_article(article, wrapped):
+    r = random.Random(11)
+    pages = [_page(r, article, wrapped) for _ in range(120)]
+    assert sum(html_text.main_text(h) == want for h, want in pages) >= 118
+
+
+def test_ratios_choose_the_regions(monkeypatch):
+    """Two regions that differ in their ratios only: the output follows the smoothed ratios."""
+    dense = "<div><p>" + "a long sentence of many words without a single tag in it " * 4 + "</p></div>"
+    sparse = "<div>" + "".join(f"<p><b><i>t{k}</i></b></p>" for k in range(12)) + "</div>"
+    html = f"<html><body>{sparse}{dense}</body></html>"
+    assert html_text.main_text(html) == " ".join(("a long sentence of many words without a single tag in it " * 4).split())
+    monkeypatch.setattr(html_text, "smoothed", lambda ratios, alike, sigma=1: [1 / (1 + x) for x in ratios])
+    assert html_text.main_text(html) == " ".join(f"t{k}" for k in range(12))
+
+
+def test_smoothing_equals_the_plain_sum():
+    r = np.random.default_rng(2)
+    x, alike = r.random(30).tolist(), (r.random(30) < 0.3).tolist()
+    for i, got in enumerate(html_text.smoothed(x, alike)):
+        near = [k for k in range(30) if abs(k - i) <= 3 and alike[k] == alike[i]]
+        w = [np.exp(-((k - i) ** 2) / 2) for k in near]
+        assert got == pytest.approx(np.dot(w, [x[k] for k in near]) / sum(w))
+
+
 @pytest.mark.parametrize("html", [None, "", "<", "<!DOCTYPE", "<![CDATA[x", "<p", "<script>never closed", "&#xffffff;&bogus;"])
 def test_odd_pages(html):
     assert isinstance(html_text.main_text(html), str)
 
 
 def test_pages_query(spark):
-    got = html_text.extract(spark.createDataFrame([(None, None, None), (1, "u", "<p>a&nbsp;b</p>")], "page_id long, url string, html string")).collect()
-    assert sorted(r["text"] for r in got) == ["", "a b"]
+    got = html_text.extract(spark.createDataFrame([(None, None, None, "t"), (1, "u", "<p>a&nbsp;b</p>", "t"), (1, "u", "<p>a&nbsp;b</p>", "t"), (2, "u", "<p>" + "word " * 200_000, "t")], "page_id long, url string, html string, text string"))
+    assert sorted(r["text"] for r in got.collect())[:3] == ["", "a b", "a b"]
+    assert {r["page_id"]: len(r["text"]) for r in got.collect()}[2] == 999_999
+    assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
 def test_gradients_are_right():
