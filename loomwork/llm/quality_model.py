@@ -9,14 +9,20 @@ their beginnings, and shares of odd tokens), trained by follow-the-regularised-l
 on at most ``SAMPLE`` documents, the ones with the smallest hash of their id.
 The scorer then reads the whole text of every document.
 
-A toxic lexicon of words and word beginnings comes from the counts of at most
-``SAMPLE`` labelled documents.
+The labellers are learnt from at most ``SAMPLE`` labelled documents, again
+those with the smallest hash.  For quality, each share of odd tokens has a cut
+that bad documents reach and good ones hardly do (without labels ``CUTS``).  For
+toxicity, each half of the sample gives a lexicon of words and word beginnings
+that its toxic documents have and the others do not; on the documents of its
+own half a lexicon abstains, as their labels vote already.
 
 Defined results: a null or empty text has quality 0, toxicity 0 and is not
-kept; documents without labels get the gold labeller's abstention; rows that
-repeat an id and a label count once each; null ids are scored like any other;
-without any label the lexicon is empty and the heuristics decide alone; other
-columns are ignored.
+kept; very long texts are read whole; documents without labels get the gold
+labeller's abstention; of labels that repeat an id the greatest count; rows that
+repeat an id are scored one by one; null ids are scored like any other; without
+any label the lexicons are empty and the heuristics decide alone; scores at a
+threshold (ties) are good and toxic; an empty table gives an empty result;
+other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -32,17 +38,16 @@ from pyspark.sql import functions as F
 from loomwork.llm._shared import documents, id_text, materialise
 from loomwork.llm.bpe import small_batches
 
-SAMPLE, LEXICON, BITS, EPOCHS, SHARES = 6000, 20_000, 18, 4, 64
+SAMPLE, BITS, EPOCHS, SHARES = 6000, 18, 4, 64
 _CACHED = 700_000
-#: A document goes for toxicity only if the scorer is this sure.
-TOXIC_FROM = 0.9
+GOOD_FROM, TOXIC_FROM = 0.5, 0.5
 _PLAIN = re.compile(r"[\W\d_]+")
 _SYMBOLS = frozenset("#*$%&|<>!")
-#: Words that insult.
-INSULTS = frozenset("idiot moron stupid dumb fool trash scum loser pathetic worthless disgusting clown imbecile".split())
+#: Cuts of the shares of symbols, shouted, repeated and letterless tokens where there are no labels: from these on bad; up to these clean.
+CUTS = ((0.25, 0.5, 0.3, 0.25), (0.1, 0.1, 0.1, 0.1))
 QUALITY = ("symbols", "shouting", "repeats", "no_letters", "short", "clean", "gold")
-TOXIC = ("insults", "lexicon", "several", "gold")
-ABSTAIN = 2
+TOXIC = ("lexicon_0", "several_0", "lexicon_1", "several_1", "gold")
+ABSTAIN, SEVERAL, WRONG = 2, 3, 0.001
 
 
 #: What fills a token's features up to four.
@@ -59,12 +64,12 @@ def _parts(plain: str) -> tuple[str, ...]:
 class Tokens:
     """Attributes of tokens by row, with a bounded cache.
 
-    Columns: symbol, shouted, without letters, insult, in the lexicon; and,
-    where asked for, the hashed features.
+    Columns: symbol, shouted, without letters, in either lexicon; and, where
+    asked for, the hashed features.
     """
 
-    def __init__(self, lexicon: frozenset[str] = frozenset(), features: bool = False):
-        self.lexicon, self.wanted = lexicon, features
+    def __init__(self, lexicons: tuple[frozenset, frozenset] = (frozenset(), frozenset()), features: bool = False):
+        self.lexicons, self.wanted = lexicons, features
         self.reset()
 
     def reset(self) -> None:
@@ -87,11 +92,12 @@ class Tokens:
         import xxhash
 
         hashed, size = xxhash.xxh32_intdigest, (1 << BITS) - SHARES
-        flags, features, lexicon = [], [], self.lexicon
+        flags, features, (first, second) = [], [], self.lexicons
+        known = first or second
         for w in new:
             plain = w.lower() if w.isalpha() else _PLAIN.sub("", w.lower())
-            parts = _parts(plain) if plain and (lexicon or self.wanted) else ()
-            flags.extend((not w.isalnum() and not _SYMBOLS.isdisjoint(w), len(w) > 1 and w.isupper(), not plain, plain in INSULTS, not lexicon.isdisjoint(parts)))
+            parts = _parts(plain) if plain and (known or self.wanted) else ()
+            flags.extend((not w.isalnum() and not _SYMBOLS.isdisjoint(w), len(w) > 1 and w.isupper(), not plain, not first.isdisjoint(parts), not second.isdisjoint(parts)))
             if self.wanted:
                 features.extend([SHARES + hashed(p) % size for p in parts])
                 features.extend(_NONE[len(parts)])
@@ -102,27 +108,28 @@ class Tokens:
 
     def shares(self, rows: np.ndarray) -> np.ndarray:
         """Shares of symbols, shouted, repeated and letterless tokens."""
+        if not len(rows):
+            return np.zeros(4)
         f = self.flags[rows][:, :3].mean(axis=0)
         again = float((rows[1:] == rows[:-1]).mean()) if len(rows) > 1 else 0.0
         return np.array([f[0], f[1], again, f[2]])
 
-    def votes(self, rows: np.ndarray) -> tuple[int, ...]:
+    def votes(self, rows: np.ndarray, cuts: tuple) -> tuple[int, ...]:
         """Of QUALITY without gold (1: good), then of TOXIC without gold (1: toxic)."""
         if not len(rows):
-            return (0,) * 5 + (ABSTAIN, ABSTAIN, 0, ABSTAIN)
+            return (0,) * 5 + (ABSTAIN, 0, ABSTAIN, 0, ABSTAIN)
         shares = self.shares(rows)
-        odd = [0 if x >= most else ABSTAIN for x, most in zip(shares, (0.25, 0.5, 0.3, 0.25), strict=True)]
-        clean = 1 if shares.max() <= 0.1 and len(rows) >= 3 else ABSTAIN
-        insults, lexicon = self.flags[rows][:, 3:].sum(axis=0)
-        return (
-            *odd, 0 if len(rows) < 3 else ABSTAIN, clean,
-            1 if insults else ABSTAIN, 1 if lexicon else 0, 1 if insults + lexicon > 2 else ABSTAIN,
-        )
+        odd = [0 if x >= least else ABSTAIN for x, least in zip(shares, cuts[0], strict=True)]
+        clean = 1 if len(rows) >= 3 and all(x <= most for x, most in zip(shares, cuts[1], strict=True)) else ABSTAIN
+        toxic = []
+        for n, lexicon in zip(self.flags[rows][:, 3:].sum(axis=0), self.lexicons, strict=True):
+            toxic += [ABSTAIN, ABSTAIN] if not lexicon else [1 if n else 0, 1 if n >= SEVERAL else ABSTAIN]
+        return (*odd, 0 if len(rows) < 3 else ABSTAIN, clean, *toxic)
 
     def hashed(self, rows: np.ndarray) -> np.ndarray:
         """The distinct features of a text."""
         out = np.unique(self.features[np.unique(rows)])
-        level = np.minimum((self.shares(rows) * 8).astype(np.int32), 7) if len(rows) else np.zeros(4, dtype=np.int32)
+        level = np.minimum((self.shares(rows) * 8).astype(np.int32), 7)
         return np.concatenate([np.arange(4, dtype=np.int32) * 8 + level, out[out >= 0]])
 
 
@@ -171,31 +178,64 @@ class Linear:
         return self
 
 
-def _smallest(df: DataFrame, limit: int) -> list[int]:
-    """At most ``limit`` ids: those with the smallest hash."""
-    key = F.xxhash64("doc_id")
-    return [r[0] for r in df.filter("doc_id is not null").select("doc_id", key.alias("k")).distinct().orderBy("k", "doc_id").limit(limit).collect()]
+def _smallest(df: DataFrame, limit: int) -> DataFrame:
+    """At most ``limit`` ids, those with the smallest hash, as _id."""
+    ids = df.filter("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    return ids.withColumnRenamed("doc_id", "_id")
+
 
+def best_cuts(shares: np.ndarray, good: np.ndarray) -> tuple:
+    """From which share on a document is bad (infinite where the share tells nothing), and up to which it is clean.
 
-def toxic_lexicon(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> frozenset[str]:
-    """Words (ending in $) and word beginnings that labelled toxic documents have and others do not."""
-    ids = _smallest(labels, sample)
-    if not ids:
-        return frozenset()
-    toxic = {r[0] for r in labels.filter(F.col("doc_id").isin(ids) & (F.col("toxic") == 1)).select("doc_id").collect()}
+    Of the shares that at most ``WRONG`` of the good documents reach, the one
+    that most of the bad ones reach and few good ones (Youden's index), moved
+    half way to what nine in ten of those bad ones reach.  Up to a third of
+    that is clean.
+    """
+    if not len(good) or good.all() or not good.any():
+        return CUTS
+    cuts, clean = [], []
+    for x in shares.T:
+        values = np.unique(x[x > 0])
+        below = np.searchsorted(np.sort(x[~good]), values), np.searchsorted(np.sort(x[good]), values)
+        wrong = 1 - below[1] / good.sum()
+        index = np.where(wrong <= WRONG, 1 - below[0] / (~good).sum() - wrong, -1.0)
+        if len(values) and index.max() > 0.02:
+            least = values[index.argmax()]
+            cuts.append(float(least + np.quantile(x[~good & (x >= least)], 0.1)) / 2)
+        else:
+            cuts.append(np.inf)
+        clean.append(cuts[-1] / 3)
+    return tuple(cuts), tuple(clean)
+
+
+def labellers(labelled: DataFrame) -> tuple[tuple[frozenset, frozenset], tuple]:
+    """Both lexicons and the cuts, from the labelled sample (doc_id, text, half, quality, toxic)."""
 
     def count(batches):
         for b in batches:
-            found: dict[int, Counter] = {0: Counter(), 1: Counter()}
-            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            found = {(h, t): Counter() for h in (0, 1) for t in (0, 1)}
+            for text, half, toxic in zip(*[b.column(k).to_pylist() for k in range(3)], strict=True):
                 plain = {_PLAIN.sub("", w.lower()) for w in (text or "").split()} - {""}
-                found[i in toxic].update({p for w in plain for p in _parts(w)})
-            keys = sorted(found[0].keys() | found[1].keys())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *[pa.array([found[k][x] for x in keys], pa.int64()) for k in (1, 0)]], ["part", "toxic", "other"])
+                found[half, toxic].update({p for w in plain for p in _parts(w)})
+            for h in (0, 1):
+                keys = sorted(found[h, 0].keys() | found[h, 1].keys())
+                yield pa.RecordBatch.from_arrays([pa.array([h] * len(keys), pa.int32()), pa.array(keys, pa.string()), *[pa.array([found[h, t][x] for x in keys], pa.int64()) for t in (1, 0)]], ["half", "part", "toxic", "other"])
+
+    told = labelled.filter("toxic in (0, 1)").select("text", "half", "toxic")
+    counted = told.mapInArrow(count, "half int, part string, toxic long, other long")
+    odd = counted.groupBy("half", "part").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).filter("toxic >= 4 and toxic >= 50 * other").collect()
+
+    def shares(batches):
+        tokens = Tokens()
+        for b in batches:
+            texts = [t or "" for t in b.column(0).to_pylist()]
+            rows = [tokens.shares(r) for part in small_batches(texts) for r in tokens.rows(texts[part])]
+            yield pa.RecordBatch.from_arrays([b.column(1), *[pa.array(c, pa.float64()) for c in np.array(rows).reshape(-1, 4).T]], ["quality", *"abcd"])
 
-    counted = docs.filter(F.col("doc_id").isin(ids)).mapInArrow(count, "part string, toxic long, other long")
-    odd = counted.groupBy("part").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).filter("toxic >= 5 and toxic >= 50 * other")
-    return frozenset(r[0] for r in odd.orderBy(F.desc("toxic"), "part").limit(LEXICON).collect())
+    judged = labelled.filter("quality in (0, 1)").select("text", "quality").mapInArrow(shares, "quality int, a double, b double, c double, d double").toArrow()
+    cuts = best_cuts(np.stack([judged.column(c).to_numpy() for c in "abcd"], axis=1), judged.column("quality").to_numpy() == 1)
+    return tuple(frozenset(r["part"] for r in odd if r["half"] == h) for h in (0, 1)), cuts
 
 
 def score(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
@@ -204,26 +244,33 @@ def score(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sc = df.sparkSession.sparkContext
     gold = labels.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).cast("int").alias(c) for c in ("quality", "toxic")]).filter("doc_id is not null")
     gold = gold.groupBy("doc_id").agg(*[F.max(c).alias(c) for c in ("quality", "toxic")])
-    lexicon = sc.broadcast(toxic_lexicon(docs, gold, sample))
+    half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).cast("int").alias("half")
+    taken = materialise(gold.join(_smallest(gold, sample), F.col("doc_id") == F.col("_id")).select("doc_id", half, "quality", "toxic"), "weak-labelled")
+    labelled = materialise(docs.join(taken, "doc_id"), "weak-texts")
+    learnt = sc.broadcast(labellers(labelled))
     names = [*[f"q_{x}" for x in QUALITY[:-1]], *[f"t_{x}" for x in TOXIC[:-1]]]
 
     def vote(batches):
-        tokens = Tokens(lexicon.value)
+        lexicons, cuts = learnt.value
+        tokens = Tokens(lexicons)
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
-            votes = [tokens.votes(r) for part in small_batches(texts) for r in tokens.rows(texts[part])]
+            votes = [tokens.votes(r, cuts) for part in small_batches(texts) for r in tokens.rows(texts[part])]
             cols = list(zip(*votes, strict=True)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.int32()) for c in cols]], ["doc_id", *names])
 
-    voted = docs.mapInArrow(vote, "doc_id long, " + ", ".join(f"{n} int" for n in names))
     golden = lambda c: F.coalesce(F.when(F.col(c).isin(0, 1), F.col(c)), F.lit(ABSTAIN))
-    voted = materialise(voted.join(gold, "doc_id", "left").select("doc_id", *names, golden("quality").alias("q_gold"), golden("toxic").alias("t_gold")), "weak-votes")
+    told = gold.join(taken.select("doc_id", "half"), "doc_id", "left").select("doc_id", "half", golden("quality").alias("q_gold"), golden("toxic").alias("t_gold"))
+    voted = docs.mapInArrow(vote, "doc_id long, " + ", ".join(f"{n} int" for n in names)).join(told, "doc_id", "left")
+    own = lambda n: F.when(F.col("half") == int(n[-1]), F.lit(ABSTAIN)).otherwise(F.col(n)).alias(n)
+    voted = voted.select("doc_id", *[own(n) if n[-1] in "01" else n for n in names], *[F.coalesce(c, F.lit(ABSTAIN)).alias(c) for c in ("q_gold", "t_gold")])
+    voted = materialise(voted, "weak-votes")
 
-    ids = _smallest(voted, sample)
+    ids = materialise(_smallest(voted, sample), "weak-sample")
     targets: list[dict[int, float]] = []
-    chosen = voted.filter(F.col("doc_id").isin(ids)).dropDuplicates(["doc_id"]).collect()
-    for prefix, labellers in (("q_", QUALITY), ("t_", TOXIC)):
-        cols = [prefix + x for x in labellers]
+    chosen = voted.join(ids, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"]).collect()
+    for prefix, voters in (("q_", QUALITY), ("t_", TOXIC)):
+        cols = [prefix + x for x in voters]
         rows = voted.groupBy(*cols).count().orderBy(*cols).collect()
         patterns = np.array([r[:-1] for r in rows], dtype=np.int64).reshape(-1, len(cols))
         post, _, _ = estimate(patterns, np.array([r[-1] for r in rows], dtype=float), np.array([0.8] * (len(cols) - 1) + [0.95]))
@@ -237,10 +284,11 @@ def score(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             out = [tokens.hashed(r).astype("<i4").tobytes() for part in small_batches(texts) for r in tokens.rows(texts[part])]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["doc_id", "features"])
 
-    taken = docs.filter(F.col("doc_id").isin(ids)).mapInArrow(features, "doc_id long, features binary").dropDuplicates(["doc_id"]).collect()
-    taken.sort(key=lambda r: ((r["doc_id"] * 2654435761) % 2**32, r["doc_id"]))
-    rows = [np.frombuffer(r["features"], dtype="<i4") for r in taken]
-    weights = [Linear().fit(rows, np.array([t[r["doc_id"]] for r in taken])).weights().astype(np.float32) for t in targets]
+    sampled = docs.join(ids, F.col("doc_id") == F.col("_id"), "left_semi")
+    rows = sampled.mapInArrow(features, "doc_id long, features binary").dropDuplicates(["doc_id"]).collect()
+    rows.sort(key=lambda r: ((r["doc_id"] * 2654435761) % 2**32, r["doc_id"]))
+    found = [np.frombuffer(r["features"], dtype="<i4") for r in rows]
+    weights = [Linear().fit(found, np.array([t[r["doc_id"]] for r in rows])).weights().astype(np.float32) for t in targets]
     model = sc.broadcast(np.stack(weights))
 
     def apply(batches):
@@ -252,7 +300,7 @@ def score(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(both[:, 0]), pa.array(both[:, 1])], ["doc_id", "quality_score", "toxic_score"])
 
     out = docs.mapInArrow(apply, "doc_id long, quality_score double, toxic_score double")
-    return out.withColumn("kept", (F.col("quality_score") >= 0.5) & (F.col("toxic_score") < TOXIC_FROM))
+    return out.withColumn("kept", (F.col("quality_score") >= GOOD_FROM) & (F.col("toxic_score") < TOXIC_FROM))
 
 
 def _scored(tokens: Tokens, texts: list[str], weights: np.ndarray) -> list[tuple[float, float]]:
