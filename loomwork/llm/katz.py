@@ -7,7 +7,14 @@ sends the distinct words (then word pairs) that it has, with its training
 counts, to their parts; a part adds the counts up, keeps its slice of the
 model, and answers every block in the order of its request.  So what is
 shuffled are the distinct words and pairs of whole blocks, sorted, as packed
-numbers, and no row for each token exists.
+numbers, and no row for each token exists; messages are never more than the
+distinct words or pairs that they carry, so their number grows with the corpus.
+
+The model stands in tables partitioned by kind and hash part: ``katz-unigrams``
+(words and counts), ``katz-bigrams`` (pairs and counts) and ``katz-backoff``
+(contexts and their backoff weights).  A token is scored from the longest
+context down: the pair's discounted probability if it was seen, else the
+context's stored weight times the word's.
 
 Model, of order 2.  For a count r up to ``K`` the discount d(r) is Good-Turing's
 (Katz's form; one half is taken off instead where the counts of counts do not
@@ -26,7 +33,10 @@ their sums added up on the driver.
 Defined results: a null or empty text is its end token alone; null ids are
 learnt from like the text '' hashes and scored; repeated rows count as often
 as they stand there; with no training text every token is unknown and has
-probability 1 under the model; an empty table gives an empty result.
+probability 1 under the model, as nothing but the unknown is known; very long
+texts are scored whole; words of equal counts (ties) are numbered by name,
+which changes no score; an empty table gives an empty result; other columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -43,7 +53,7 @@ from loomwork.llm._shared import documents, materialise
 from loomwork.llm.language_id import held_out
 
 K = 5
-BLOCK_TOKENS, PART_WORDS, PART_PAIRS, HOT_SHARE = 1_250_000, 500_000, 1_500_000, 1000
+BLOCK_TOKENS, PART_WORDS, PART_PAIRS, HOT_SHARE, BUCKET_BYTES = 1_250_000, 500_000, 1_500_000, 1000, 32 << 20
 END = b"\n"
 _START, _WIDTH = 2**31 - 2, np.uint64(31)
 
@@ -297,9 +307,9 @@ def _ask_pairs(parts: int, words_parts: int, hot, starts: int):
 def _answer_pairs(hot, first: Discounts, total: int):
     """Adds a part's pair counts up.
 
-    Answers, in the order asked: 2 r + (context without small counts); and for
-    the contexts of unseen pairs the counts 1 to K, the distinct successors,
-    all successors, and the sum of their P(w).
+    Answers, in the order asked: 2 r + (context without small counts), and the
+    contexts of unseen pairs.  Keeps of every context the counts 1 to K, the
+    distinct successors, all successors, and the sum of their P(w).
     """
 
     def run(table: pa.Table) -> pa.Table:
@@ -331,8 +341,9 @@ def _answer_pairs(hot, first: Discounts, total: int):
             mine = inverse[at : at + n]
             at += n
             need = np.unique(ctx[mine[(r[mine] == 0) & ~is_hot[ctx[mine]]]])
-            table_of = np.concatenate([contexts[need, None], small[need], succ[need, None], sums[need, None]], axis=1).astype("<i8")
-            rows.append(("answer", p, block, pack(answer[mine]), squeeze(np.int64(len(need)).tobytes() + table_of.tobytes() + mass[need].astype("<f8").tobytes())))
+            rows.append(("answer", p, block, pack(answer[mine]), pack(contexts[need])))
+        facts = np.concatenate([small, succ[:, None], sums[:, None]], axis=1).astype("<i8")
+        rows.append(("facts", p, None, pack(contexts[~is_hot]), squeeze(facts[~is_hot].tobytes() + mass[~is_hot].astype("<f8").tobytes())))
         rows.append(("table", p, None, pack(np.diff(distinct[seen], prepend=np.uint64(0))), pack(r[seen])))
         rows.append(("stats", p, None, np.array([(r == k).sum() for k in range(1, K + 2)], dtype="<i8").tobytes(), None))
         for i in np.flatnonzero(is_hot):
@@ -343,44 +354,59 @@ def _answer_pairs(hot, first: Discounts, total: int):
     return run
 
 
+def backoff_weights(facts: np.ndarray, mass: np.ndarray, second: Discounts) -> np.ndarray:
+    """alpha of contexts: what discounting leaves, over what P(w) leaves to their unseen successors; 1 without a successor."""
+    rest = second.lost(facts[:, :K].astype(float), facts[:, K].astype(float)) / np.maximum(facts[:, K + 1], 1)
+    return np.where(facts[:, K + 1] > 0, rest / np.maximum(1 - mass, 1e-300), 1.0)
+
+
+def _weigh(second: Discounts):
+    """A part's backoff weights, as the model's table and for every block that asked."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        facts = next(r for r in rows if r["kind"] == "facts")
+        contexts, raw = unpack(facts["a"]), expand(facts["b"])
+        n = len(contexts)
+        alpha = backoff_weights(np.frombuffer(raw, dtype="<i8", count=n * (K + 2)).reshape(n, K + 2), np.frombuffer(raw, dtype="<f8", offset=8 * n * (K + 2)), second)
+        out = [("table", facts["part"], None, facts["a"], squeeze(alpha.astype("<f8").tobytes()))]
+        for r in rows:
+            if r["kind"] == "answer":
+                asked = unpack(r["b"])
+                out.append(("reply", r["part"], r["block"], r["b"], squeeze(alpha[np.searchsorted(contexts, asked)].astype("<f8").tobytes())))
+        return _rows(out)
+
+    return run
+
+
 def _score(parts: int, words_parts: int, hot, starts: int, total: int, types: int, first: Discounts, second: Discounts, left: float, hot_sums):
     """Scores of a block's documents."""
 
     def run(batches):
         for b in batches:
-            for ids, held, lengths, tokens, words, answers, pairs in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            for ids, held, lengths, tokens, words, answers, pairs, replies in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 x = Block(held, lengths, tokens, words, answers, words_parts, starts)
-                value, of = np.zeros(len(x.keys), dtype=np.int64), {r["part"]: r for r in pairs or ()}
-                contexts, facts, masses = [], [], []
+                value, of = np.zeros(len(x.keys), dtype=np.int64), {r["part"]: r["a"] for r in pairs or ()}
                 for p, at in enumerate(x.split(parts, hot.value)):
                     if len(at):
-                        value[at] = unpack(of[p]["a"])
-                        raw = expand(of[p]["b"])
-                        n = int(np.frombuffer(raw, dtype="<i8", count=1)[0])
-                        got = np.frombuffer(raw, dtype="<i8", offset=8, count=n * (K + 3)).reshape(n, K + 3)
-                        contexts.append(got[:, 0])
-                        facts.append(got[:, 1:])
-                        masses.append(np.frombuffer(raw, dtype="<f8", offset=8 + 8 * n * (K + 3)))
-                for c, (f, m) in hot_sums.value.items():
-                    contexts.append(np.array([c]))
-                    facts.append(f[None])
-                    masses.append(np.array([m]))
+                        value[at] = unpack(of[p])
+                contexts = [unpack(r["a"]) for r in replies or ()]
+                weights = [np.frombuffer(expand(r["b"]), dtype="<f8") for r in replies or ()]
                 known, r, half = x.count > 0, np.zeros(len(x.word), dtype=np.int64), np.zeros(len(x.word), dtype=bool)
                 r[x.paired], half[x.paired] = (value >> 1)[x.pair], (value & 1).astype(bool)[x.pair]
-                for c, (f, _) in hot_sums.value.items():
+                for c, (f, m) in hot_sums.value.items():
+                    contexts.append(np.array([c]))
+                    weights.append(backoff_weights(f[None], np.array([m]), second))
                     if not f[:K].sum():
                         half[x.before == c] = True
                 p1 = np.where(known, first(x.count) * x.count / max(total, 1), left)
                 alpha = np.ones(len(p1))
-                if contexts:
-                    contexts, facts, masses = np.concatenate(contexts), np.concatenate(facts), np.concatenate(masses)
+                contexts, weights = np.concatenate([*contexts, []]).astype(np.int64), np.concatenate([*weights, []])
+                if len(contexts):
                     order = np.argsort(contexts)
-                    contexts, facts, masses = contexts[order], facts[order], masses[order]
-                    rest = second.lost(facts[:, :K].astype(float), facts[:, K].astype(float)) / np.maximum(facts[:, K + 1], 1)
-                    weight = np.where(facts[:, K + 1] > 0, rest / np.maximum(1 - masses, 1e-300), 1.0)
-                    if len(contexts):
-                        at = np.minimum(np.searchsorted(contexts, x.before), len(contexts) - 1)
-                        alpha = np.where(contexts[at] == x.before, weight[at], 1.0)
+                    contexts, weights = contexts[order], weights[order]
+                    at = np.minimum(np.searchsorted(contexts, x.before), len(contexts) - 1)
+                    alpha = np.where(contexts[at] == x.before, weights[at], 1.0)
                 out = np.where(r > 0, second(r, half) * r / np.maximum(x.context_count, 1), alpha * p1)
                 logs = np.log10(np.maximum(out, 1e-300))
                 base = np.log10((x.count + 0.1) / (total + 0.1 * (types + 1)))
@@ -394,13 +420,22 @@ def _score(parts: int, words_parts: int, hot, starts: int, total: int, types: in
 def katz_scores(df: DataFrame, held: Column | None = None, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row; rows with ``held`` are not learnt from."""
     spark = df.sparkSession
-    sc = spark.sparkContext
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.select("doc_id", "text", (held if held is not None else held_out(10)).alias("held"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
     name = f"katz_blocks_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows.mapInArrow(_to_blocks(block_tokens), _BLOCK).write.format("parquet").bucketBy(buckets, "block").saveAsTable(name)
-    blocks = spark.table(name)
+    try:
+        rows.mapInArrow(_to_blocks(block_tokens), _BLOCK).write.format("parquet").bucketBy(min(buckets, 100_000), "block").saveAsTable(name)
+        return _scored(spark.table(name))
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def _scored(blocks: DataFrame) -> DataFrame:
+    """The scores of all documents of the blocks, written."""
+    spark = blocks.sparkSession
+    sc = spark.sparkContext
     asked, tokens = blocks.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum("n_train"), F.lit(0))).first()
 
     parts = max(1, -(-asked // PART_WORDS))
@@ -427,14 +462,16 @@ def katz_scores(df: DataFrame, held: Column | None = None, id_col: str = "doc_id
         g, n = hot_sums.get(r["block"], (0, 0.0))
         hot_sums[r["block"]] = (f + g, m + n)
 
-    theirs = pairs.filter("kind = 'answer'").groupBy("block").agg(F.collect_list(F.struct("part", "a", "b")).alias("pairs"))
-    last = joined.join(theirs, "block", "left").select("ids", "held", "lengths", "tokens", "words", "answers", "pairs")
+    facts = pairs.filter("kind in ('facts', 'answer')").select("kind", "part", "block", F.when(F.col("kind") == "facts", F.col("a")).alias("a"), "b")
+    backoff = materialise(facts.groupBy("part").applyInArrow(_weigh(second), _ROW), "katz-backoff", ("kind",))
+    told = pairs.filter("kind = 'answer'").groupBy("block").agg(F.collect_list(F.struct("part", "a")).alias("pairs"))
+    replies = backoff.filter("kind = 'reply'").groupBy("block").agg(F.collect_list(F.struct("a", "b")).alias("replies"))
+    last = joined.join(told, "block", "left").join(replies, "block", "left").select("ids", "held", "lengths", "tokens", "words", "answers", "pairs", "replies")
     scored = last.mapInArrow(
         _score(pair_parts, parts, hot_ids, starts, total, types, first, second, left, sc.broadcast(hot_sums)),
         "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double",
     )
     out = materialise(scored, "katz-scores")
-    spark.sql(f"DROP TABLE {name}")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -175,14 +175,15 @@ def keep_good(df: DataFrame, text_col: str = "text", lang_col: str = "lang", sou
     """The rows of ``df`` that the rules keep, with its own columns.
 
     Rows are written with their counts, so that texts are counted once and not
-    shuffled; the fences are joined to what was written.
+    shuffled; the fences, a row for each group, are written too, so that their
+    size is known when they are joined.
     """
     prefix = "q_"
     while any(c.lower().startswith(prefix) for c in df.columns):
         prefix = "_" + prefix
     marked = materialise(count(df, text_col, prefix).withColumns({f"{prefix}lang": _group(lang_col), f"{prefix}source": _group(source_col)}), "quality-counts")
     names = ["lang", "source", "base_failed", *{n for v in RULES.values() for n in v[:2]}]
-    fences = thresholds(sketches(marked.select([F.col(prefix + n).alias(n) for n in names])))
+    fences = materialise(thresholds(sketches(marked.select([F.col(prefix + n).alias(n) for n in names]))), "quality-fences")
     joined = marked.join(fences.select([F.col(c).alias(prefix + c) for c in fences.columns]), [f"{prefix}lang", f"{prefix}source"], "left")
     return joined.filter(verdict(prefix)).select(*[F.col(f"`{c}`") for c in df.columns])
 
