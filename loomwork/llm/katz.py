@@ -1,6 +1,6 @@
 """Katz backoff scores: Good-Turing counts and exactly normalised backoff weights.
 
-The corpus is read once into *blocks*: about a million tokens as numbers into the
+The corpus is read once into *blocks*: ``BLOCK_TOKENS`` tokens as numbers into the
 block's own list of words, written as a table bucketed by block.  Everything
 after works on blocks and on hash parts, by request and answer: each block
 sends the distinct words (then word pairs) that it has, with its training
@@ -53,7 +53,7 @@ from loomwork.llm._shared import documents, materialise
 from loomwork.llm.language_id import held_out
 
 K = 5
-BLOCK_TOKENS, PART_WORDS, PART_PAIRS, HOT_SHARE, BUCKET_BYTES = 1_250_000, 500_000, 1_500_000, 1000, 32 << 20
+BLOCK_TOKENS, PART_WORDS, PART_PAIRS, HOT_SHARE, BUCKET_BYTES = 600_000, 500_000, 1_250_000, 1000, 16 << 20
 END = b"\n"
 _START, _WIDTH = 2**31 - 2, np.uint64(31)
 
@@ -87,6 +87,12 @@ def expand(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
+def rows_of(batch: pa.RecordBatch):
+    """The rows of a batch, one after the other: a block's row is large."""
+    for i in range(batch.num_rows):
+        yield [c[i].as_py() for c in batch.columns]
+
+
 class Discounts:
     """The discount factor of a count, and what a set of counts loses by it."""
 
@@ -184,7 +190,7 @@ def _ask_words(parts: int):
 
     def run(batches):
         for b in batches:
-            for block, words, counts in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            for block, words, counts in rows_of(b):
                 words, counts = expand(words).split(b" "), unpack(counts)
                 part = _part_of(words, parts)
                 order = np.argsort(part, kind="stable")
@@ -290,7 +296,7 @@ def pair_part(keys: np.ndarray, parts: int, hot: np.ndarray) -> np.ndarray:
 def _ask_pairs(parts: int, words_parts: int, hot, starts: int):
     def run(batches):
         for b in batches:
-            for block, held, lengths, tokens, words, answers in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            for block, held, lengths, tokens, words, answers in rows_of(b):
                 x = Block(held, lengths, tokens, words, answers, words_parts, starts)
                 rows = []
                 for p, at in enumerate(x.split(parts, hot.value)):
@@ -384,7 +390,7 @@ def _score(parts: int, words_parts: int, hot, starts: int, total: int, types: in
 
     def run(batches):
         for b in batches:
-            for ids, held, lengths, tokens, words, answers, pairs, replies in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            for ids, held, lengths, tokens, words, answers, pairs, replies in rows_of(b):
                 x = Block(held, lengths, tokens, words, answers, words_parts, starts)
                 value, of = np.zeros(len(x.keys), dtype=np.int64), {r["part"]: r["a"] for r in pairs or ()}
                 for p, at in enumerate(x.split(parts, hot.value)):
@@ -423,17 +429,17 @@ def katz_scores(df: DataFrame, held: Column | None = None, id_col: str = "doc_id
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.select("doc_id", "text", (held if held is not None else held_out(10)).alias("held"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+    buckets = min(100_000, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES)))
     name = f"katz_blocks_{uuid.uuid4().hex}"
     try:
-        rows.mapInArrow(_to_blocks(block_tokens), _BLOCK).write.format("parquet").bucketBy(min(buckets, 100_000), "block").saveAsTable(name)
-        return _scored(spark.table(name))
+        rows.mapInArrow(_to_blocks(block_tokens), _BLOCK).write.format("parquet").bucketBy(buckets, "block").saveAsTable(name)
+        return _scored(spark.table(name), buckets)
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
-def _scored(blocks: DataFrame) -> DataFrame:
-    """The scores of all documents of the blocks, written."""
+def _scored(blocks: DataFrame, buckets: int) -> DataFrame:
+    """The scores of all documents of the blocks, written; what is joined to blocks is dealt like them."""
     spark = blocks.sparkSession
     sc = spark.sparkContext
     asked, tokens = blocks.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum("n_train"), F.lit(0))).first()
@@ -449,7 +455,7 @@ def _scored(blocks: DataFrame) -> DataFrame:
     hot = words.filter("kind = 'table'").select("part", "b").mapInArrow(_hot(total, parts), "id long")
     hot_ids = sc.broadcast(np.array(sorted({r[0] for r in hot.collect()} | {_START}), dtype=np.int64))
 
-    own = words.filter("kind = 'answer'").groupBy("block").agg(F.collect_list(F.struct("part", "a", "b")).alias("answers"))
+    own = words.filter("kind = 'answer'").repartition(buckets, "block").groupBy("block").agg(F.collect_list(F.struct("part", "a", "b")).alias("answers"))
     joined = blocks.join(own, "block")
     pair_parts = max(1, -(-max(tokens, 1) // PART_PAIRS))
     asks = joined.select("block", "held", "lengths", "tokens", "words", "answers").mapInArrow(_ask_pairs(pair_parts, parts, hot_ids, starts), _ROW)
@@ -464,8 +470,8 @@ def _scored(blocks: DataFrame) -> DataFrame:
 
     facts = pairs.filter("kind in ('facts', 'answer')").select("kind", "part", "block", F.when(F.col("kind") == "facts", F.col("a")).alias("a"), "b")
     backoff = materialise(facts.groupBy("part").applyInArrow(_weigh(second), _ROW), "katz-backoff", ("kind",))
-    told = pairs.filter("kind = 'answer'").groupBy("block").agg(F.collect_list(F.struct("part", "a")).alias("pairs"))
-    replies = backoff.filter("kind = 'reply'").groupBy("block").agg(F.collect_list(F.struct("a", "b")).alias("replies"))
+    told = pairs.filter("kind = 'answer'").repartition(buckets, "block").groupBy("block").agg(F.collect_list(F.struct("part", "a")).alias("pairs"))
+    replies = backoff.filter("kind = 'reply'").repartition(buckets, "block").groupBy("block").agg(F.collect_list(F.struct("a", "b")).alias("replies"))
     last = joined.join(told, "block", "left").join(replies, "block", "left").select("ids", "held", "lengths", "tokens", "words", "answers", "pairs", "replies")
     scored = last.mapInArrow(
         _score(pair_parts, parts, hot_ids, starts, total, types, first, second, left, sc.broadcast(hot_sums)),
