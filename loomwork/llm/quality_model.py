@@ -50,10 +50,6 @@ TOXIC = ("lexicon_0", "several_0", "lexicon_1", "several_1", "gold")
 ABSTAIN, SEVERAL, WRONG = 2, 3, 0.001
 
 
-#: What fills a token's features up to four.
-_NONE = [(-1,) * (4 - k) for k in range(5)]
-
-
 def _parts(plain: str) -> tuple[str, ...]:
     """A word's features: itself and its beginnings."""
     if len(plain) >= 6:
@@ -61,15 +57,46 @@ def _parts(plain: str) -> tuple[str, ...]:
     return (plain + "$", *[plain[:k] for k in (4, 5) if len(plain) >= k])
 
 
+_TIMES = np.random.default_rng(11).integers(0, 2**63, (4, 33), dtype=np.uint64) | np.uint64(1)
+_WIDE = 32
+
+
+def hash_parts(plain: list[str]) -> np.ndarray:
+    """Hashes [words, 4] of the whole words and of their beginnings of 4, 5 and 6 letters; 0 where there is none."""
+    import xxhash
+
+    n = np.fromiter(map(len, plain), dtype=np.int64, count=len(plain))
+    letters = np.array(plain, dtype=f"U{_WIDE}").view(np.uint32).reshape(len(plain), _WIDE).astype(np.uint64) if plain else np.zeros((0, _WIDE), dtype=np.uint64)
+    out = np.zeros((len(plain), 4), dtype=np.uint64)
+    out[:, 0] = (letters * _TIMES[0, :_WIDE]).sum(axis=1) + n.astype(np.uint64) * _TIMES[0, _WIDE]
+    for i in np.flatnonzero(n > _WIDE):
+        out[i, 0] = xxhash.xxh64_intdigest(plain[i])
+    for k in (4, 5, 6):
+        out[:, k - 3] = np.where(n >= k, (letters[:, :k] * _TIMES[k - 3, :k]).sum(axis=1), np.uint64(0))
+    out ^= out >> np.uint64(31)
+    out *= np.uint64(0x9E3779B97F4A7C15)
+    out ^= out >> np.uint64(29)
+    out[n == 0] = 0
+    return out
+
+
+def hash_lexicon(lexicon: frozenset) -> np.ndarray:
+    """The hashes of whole words (that end in $) and of beginnings."""
+    parts = sorted(lexicon)
+    found = hash_parts([p.removesuffix("$") for p in parts])
+    return np.array([h[0 if p[-1] == "$" else len(p) - 3] for p, h in zip(parts, found, strict=True)], dtype=np.uint64)
+
+
 class Tokens:
     """Attributes of tokens by row, with a bounded cache.
 
     Columns: symbol, shouted, without letters, in either lexicon; and, where
-    asked for, the hashed features.
+    asked for, the hashed features (those for which ``useful`` is true, if it
+    is given).
     """
 
-    def __init__(self, lexicons: tuple[frozenset, frozenset] = (frozenset(), frozenset()), features: bool = False):
-        self.lexicons, self.wanted = lexicons, features
+    def __init__(self, lexicons: tuple[frozenset, frozenset] = (frozenset(), frozenset()), features: bool = False, useful: np.ndarray | None = None):
+        self.lexicons, self.wanted, self.useful = tuple(map(hash_lexicon, lexicons)), features, useful
         self.reset()
 
     def reset(self) -> None:
@@ -89,22 +116,27 @@ class Tokens:
         return [np.fromiter(map(find, words), dtype=np.int64, count=len(words)) for words in lists]
 
     def learn(self, new: set[str]) -> None:
-        import xxhash
-
-        hashed, size = xxhash.xxh32_intdigest, (1 << BITS) - SHARES
-        flags, features, (first, second) = [], [], self.lexicons
-        known = first or second
+        plain, bits = [], []
         for w in new:
-            plain = w.lower() if w.isalpha() else _PLAIN.sub("", w.lower())
-            parts = _parts(plain) if plain and (known or self.wanted) else ()
-            flags.extend((not w.isalnum() and not _SYMBOLS.isdisjoint(w), len(w) > 1 and w.isupper(), not plain, not first.isdisjoint(parts), not second.isdisjoint(parts)))
+            if w.isalpha():
+                plain.append(w.lower())
+                bits.append(2 if len(w) > 1 and w.isupper() else 0)
+            else:
+                p = _PLAIN.sub("", w.lower())
+                plain.append(p)
+                bits.append((0 if w.isalnum() or _SYMBOLS.isdisjoint(w) else 1) | (2 if len(w) > 1 and w.isupper() else 0) | (0 if p else 4))
+        flags = (np.array(bits, dtype=np.uint8)[:, None] >> np.arange(5, dtype=np.uint8) & 1).astype(bool)
+        if self.wanted or any(map(len, self.lexicons)):
+            parts = hash_parts(plain)
+            for k, lexicon in enumerate(self.lexicons, 3):
+                flags[:, k] = np.isin(parts, lexicon).any(axis=1)
             if self.wanted:
-                features.extend([SHARES + hashed(p) % size for p in parts])
-                features.extend(_NONE[len(parts)])
+                found = np.where(parts == 0, -1, (parts % np.uint64((1 << BITS) - SHARES)).astype(np.int32) + SHARES).astype(np.int32)
+                if self.useful is not None:
+                    found[~self.useful[found]] = -1
+                self.features = np.concatenate([self.features, found])
         self.row.update(zip(new, range(len(self.row), len(self.row) + len(new)), strict=True))
-        self.flags = np.concatenate([self.flags, np.fromiter(flags, dtype=bool, count=len(flags)).reshape(-1, 5)])
-        if self.wanted:
-            self.features = np.concatenate([self.features, np.fromiter(features, dtype=np.int32, count=len(features)).reshape(-1, 4)])
+        self.flags = np.concatenate([self.flags, flags])
 
     def shares(self, rows: np.ndarray) -> np.ndarray:
         """Shares of symbols, shouted, repeated and letterless tokens."""
@@ -123,14 +155,14 @@ class Tokens:
         clean = 1 if len(rows) >= 3 and all(x <= most for x, most in zip(shares, cuts[1], strict=True)) else ABSTAIN
         toxic = []
         for n, lexicon in zip(self.flags[rows][:, 3:].sum(axis=0), self.lexicons, strict=True):
-            toxic += [ABSTAIN, ABSTAIN] if not lexicon else [1 if n else 0, 1 if n >= SEVERAL else ABSTAIN]
+            toxic += [ABSTAIN, ABSTAIN] if not len(lexicon) else [1 if n else 0, 1 if n >= SEVERAL else ABSTAIN]
         return (*odd, 0 if len(rows) < 3 else ABSTAIN, clean, *toxic)
 
     def hashed(self, rows: np.ndarray) -> np.ndarray:
         """The distinct features of a text."""
-        out = np.unique(self.features[np.unique(rows)])
+        out = self.features[rows]
         level = np.minimum((self.shares(rows) * 8).astype(np.int32), 7)
-        return np.concatenate([np.arange(4, dtype=np.int32) * 8 + level, out[out >= 0]])
+        return np.concatenate([np.arange(4, dtype=np.int32) * 8 + level, np.unique(out[out >= 0])])
 
 
 def estimate(patterns: np.ndarray, counts: np.ndarray, sure: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, float]:
@@ -292,7 +324,7 @@ def score(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     model = sc.broadcast(np.stack(weights))
 
     def apply(batches):
-        tokens = Tokens(features=True)
+        tokens = Tokens(features=True, useful=model.value.any(axis=0))
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
             lists = [r for part in small_batches(texts) for r in _scored(tokens, texts[part], model.value)]

@@ -414,6 +414,22 @@ def test_scorer_equals_plain_steps():
     assert got == pytest.approx([weight(i) for i in range(50)], abs=1e-9) and np.abs(got).max() > 0
 
 
+def test_hashed_parts_follow_the_parts():
+    """Equal parts hash alike, other parts do not, and lexicon words are found by their hashes."""
+    words = ["", "abc", "abcd", "abcde", "abcdef", "abcdefgh", "abcdxx", "öäüß", "x" * 40, "x" * 39 + "y", "日本語テキスト"]
+    hashes, of = quality_model.hash_parts(words), {}
+    for w, h in zip(words, hashes.tolist(), strict=True):
+        parts = quality_model._parts(w) if w else ()
+        assert sum(x != 0 for x in h) == len(parts)
+        for part, x in zip(parts, h, strict=False):
+            assert of.setdefault(part, x) == x
+    assert len(set(of.values())) == len(of)
+    lexicon = frozenset(["abcd", "öäüß$", "x" * 40 + "$"])
+    tokens = quality_model.Tokens((lexicon, frozenset()))
+    (rows,) = tokens.rows(["abcdefgh öäüß! " + "x" * 40 + " abc " + "x" * 39 + "y"])
+    assert tokens.flags[rows, 3].tolist() == [True, True, True, False, False] and not tokens.flags[:, 4].any()
+
+
 def test_cuts_tell_bad_from_good():
     r = np.random.default_rng(6)
     good = np.concatenate([np.ones(2000, bool), np.zeros(200, bool)])
