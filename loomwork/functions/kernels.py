@@ -160,11 +160,11 @@ def diffuse(phi: np.ndarray, theta: np.ndarray, alpha: float = 0.85, rounds: int
 
 
 def divergence(p: np.ndarray, q: np.ndarray) -> tuple[float, float]:
-    """Kullback-Leibler and Jensen-Shannon divergence of two nonnegative vectors scaled to 1."""
-    p, q = p / (p.sum() or 1), q / (q.sum() or 1)
-    kl = lambda a, b: float(np.sum(a[a > 0] * np.log(a[a > 0] / np.maximum(b[a > 0], 1e-12))))
+    """Kullback-Leibler divergence and Jensen-Shannon distance of two nonnegative vectors, 1e-12 added to each and scaled to 1."""
+    p, q = ((x + 1e-12) / (x + 1e-12).sum() for x in (p, q))
+    kl = lambda a, b: float(np.sum(a * np.log(a / b)))
     m = (p + q) / 2
-    return kl(p, q), (kl(p, m) + kl(q, m)) / 2
+    return kl(p, q), max(0.0, (kl(p, m) + kl(q, m)) / 2) ** 0.5
 
 
 def fiedler_order(affinity: np.ndarray) -> np.ndarray:
@@ -260,3 +260,49 @@ def swap_null(pairs: np.ndarray, seed: int, burn: int = 20, thin: int = 8, draws
             yield np.argwhere(grid)
         else:
             yield np.array(edges)
+
+
+def ridge_logit(x: np.ndarray, y: np.ndarray, strength: float = 1.0, rounds: int = 50) -> np.ndarray:
+    """Intercept and coefficients of the standardised columns, with a ridge on the coefficients alone, by Newton steps."""
+    spread = x.std(axis=0)
+    z = np.column_stack([np.ones(len(x)), (x - x.mean(axis=0)) / np.where(spread > 0, spread, 1.0)])
+    penalty, beta = np.diag([0.0, *[1 / strength] * x.shape[1]]), np.zeros(z.shape[1])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(z @ beta, -35, 35)))
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + penalty + 1e-12 * np.eye(len(beta)), z.T @ (y - p) - penalty @ beta)
+        beta = beta + np.clip(step, -4, 4)
+        if np.abs(step).max() < 1e-10:
+            break
+    return beta
+
+
+def longest_path(edges: list[tuple[str, str]]) -> list[str]:
+    """The longest path of a tree or forest, by edges; of equal ones that whose ends come first by name."""
+    near: dict[str, list[str]] = {}
+    for i, j in edges:
+        near.setdefault(i, []).append(j)
+        near.setdefault(j, []).append(i)
+
+    def farthest(start: str) -> list[str]:
+        paths, best = {start: [start]}, [start]
+        order = [start]
+        for node in order:
+            for other in sorted(near.get(node, ())):
+                if other not in paths:
+                    paths[other] = [*paths[node], other]
+                    order.append(other)
+                    if (len(paths[other]), best[-1]) > (len(best), other):
+                        best = paths[other]
+        return best
+
+    leaves = sorted(n for n, others in near.items() if len(others) == 1)
+    return max((farthest(n) for n in leaves), key=len, default=[])
+
+
+def bridging(w: np.ndarray) -> np.ndarray:
+    """The bridging coefficient: a node's inverse degree over the sum of its neighbours' inverse degrees."""
+    linked = w > 0
+    degree = linked.sum(axis=1)
+    inverse = np.divide(1.0, degree, out=np.zeros(len(w)), where=degree > 0)
+    around = linked @ inverse
+    return np.divide(inverse, around, out=np.zeros(len(w)), where=around > 0)

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.functions.kernels import choice_moments, swap_null
+from loomwork.functions.kernels import choice_moments, ridge_logit, swap_null
 from loomwork.sources.store import cut
 
 
@@ -166,3 +166,35 @@ def simulate(panel: DataFrame, coefficients: dict[str, Sequence[float]], simulat
     drawn = draws(panel.withColumn("_p", p), simulations)
     held = (uniform(seed, "draw", "period", "actor", "topic") < F.col("_p")).cast("int")
     return drawn.groupBy(F.col("draw").alias("simulation"), "period", "actor").agg(F.sum(held).alias("breadth"))
+
+
+def group_logits(df: DataFrame, by: Sequence[str], outcome: str, features: Sequence[str]) -> DataFrame:
+    """by, the coefficient of every standardised feature, intercept, rows and hits of a ridge logit for each group with both outcomes.
+
+    Groups without one of the outcomes, and rows with a null, give nothing.
+    """
+    names = list(features)
+    rows = df.select(*by, F.col(outcome).cast("int").alias("_y"), *[F.col(f).cast("double").alias(f) for f in names]).dropna()
+    kinds = dict(rows.dtypes)
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        y = pdf["_y"].to_numpy()
+        if not 0 < y.sum() < len(y):
+            return pd.DataFrame({c: [] for c in [*by, *names, "intercept", "rows", "hits"]})
+        beta = ridge_logit(pdf[names].to_numpy(), y)
+        return pd.DataFrame([[*pdf[list(by)].iloc[0], *beta[1:], beta[0], len(y), int(y.sum())]], columns=[*by, *names, "intercept", "rows", "hits"])
+
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in by] + [f"`{c}` double" for c in names] + ["intercept double", "rows long", "hits long"])
+    return rows.groupBy(*by).applyInPandas(fit, schema)
+
+
+def partial_regression(df: DataFrame, outcome: str, feature: str, controls: Sequence[str]) -> DataFrame:
+    """coefficient of ``feature`` beside the controls, and the slope of the outcome's residuals on the feature's."""
+    whole = {r["term"]: r["coefficient"] for r in ols(df, outcome, [feature, *controls]).collect()}
+    rest = df
+    for name in (outcome, feature):
+        beta = {r["term"]: r["coefficient"] for r in ols(df, name, list(controls)).collect()}
+        fitted = sum((F.col(c) * beta[c] for c in controls), F.lit(beta["intercept"]))
+        rest = rest.withColumn(f"_{name}", F.col(name) - fitted)
+    slope = rest.agg(F.regr_slope(f"_{outcome}", f"_{feature}").alias("partial"), F.corr(f"_{outcome}", f"_{feature}").alias("partial_r"), F.count(F.lit(1)).alias("n"))
+    return slope.select(F.lit(whole[feature]).alias("coefficient"), "partial", "partial_r", "n")

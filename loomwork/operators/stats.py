@@ -84,3 +84,9 @@ def odds(beta: Column, se: Column) -> dict[str, Column]:
 
 def stars(p: Column) -> Column:
     return F.when(p < 0.001, "***").when(p < 0.01, "**").when(p < 0.05, "*").otherwise("")
+
+
+def is_finite(x: Column | str) -> Column:
+    """Neither null, nan nor infinite."""
+    x = (F.col(x) if isinstance(x, str) else x).cast("double")
+    return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))

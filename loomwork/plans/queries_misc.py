@@ -198,6 +198,15 @@ def h16(spark, d):
     return v.filter((F.col("n") > F.coalesce("a", F.lit(-1))) & (F.col("n") >= F.coalesce("b", F.lit(-1)))).select("topic", "n")
 
 
-@query("h17_best_per_bin", "SELECT CAST(floor(c_acctbal / 1000) AS BIGINT) AS bin, max(c_custkey) AS best FROM customer GROUP BY 1")
+@query("h17_best_per_bin", """WITH s AS (SELECT c_custkey AS id, c_acctbal AS x, CAST(floor(c_acctbal / 1000) AS BIGINT) AS bin, count(*) OVER (ORDER BY c_acctbal RANGE BETWEEN 100 PRECEDING AND 100 FOLLOWING) AS score FROM customer),
+k AS (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY score DESC, id) AS r, max(score) OVER () AS most FROM s) SELECT bin, id AS best, score FROM k WHERE r = 1 AND score * 2 >= most""")
 def h17(spark, d):
-    return table(spark, d, "customer").groupBy(F.floor(F.col("c_acctbal") / 1000).alias("bin")).agg(F.max_by("c_custkey", "c_custkey").alias("best"))
+    """The customer with the most others within 100 of its balance, for each bin of 1,000; bins under half of the highest score have none."""
+    x, strip = F.col("x"), F.floor(F.col("x") / 100)
+    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("x"))
+    # each row goes to its own strip of 100 and the two beside it, so that no window holds more than three strips
+    wide = rows.withColumn("near", F.explode(F.array(strip - 1, strip, strip + 1)))
+    score = F.count(F.lit(1)).over(Window.partitionBy("near").orderBy("x").rangeBetween(-100, 100))
+    rows = wide.withColumn("score", score).filter(F.col("near") == strip).select("id", F.floor(x / 1000).alias("bin"), "score")
+    best = rows.groupBy("bin").agg(F.min(F.struct((-F.col("score")).alias("n"), "id")).alias("b")).select("bin", F.col("b.id").alias("best"), (-F.col("b.n")).alias("score"))
+    return best.crossJoin(best.agg(F.max("score").alias("most"))).filter("score * 2 >= most").drop("most")

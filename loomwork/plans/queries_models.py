@@ -81,7 +81,7 @@ def i23(spark, d):
 
 @query("i25_kmeans")
 def i25(spark, d):
-    """Weighted inertia on the first axis for 1 to 7 centres and the gains."""
+    """Inertia on the first axis, topics weighing the same, for 1 to 7 centres and the gains."""
     labels, x, _ = coordinates(spark, d)
     p = x[:, 0]
     out = []
@@ -127,7 +127,7 @@ def i51(spark, d):
 
         x = pdf.set_index("topic")["x"].reindex(names).fillna(0.0).to_numpy(dtype=float)
         theta = x / x.sum()
-        f = kernels.diffuse(shared.value, theta, 0.85, 50)
+        f = kernels.diffuse(shared.value, theta, 0.85, 100, 1e-6)
         kl, js = kernels.divergence(theta, f)
         return pd.DataFrame({"actor": [pdf["actor"].iloc[0]], "kl": [kl], "js": [js], "form": [float(theta @ shared.value @ theta)]})
 

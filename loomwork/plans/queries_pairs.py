@@ -223,18 +223,9 @@ def j13(spark, d):
     return resample.null_summary(reduce(DataFrame.unionByName, null), reduce(DataFrame.unionByName, seen).dropna(), "jaccard", ("start", "end", "basis"))
 
 
-@query("i06_vector_cosine", """WITH e AS (SELECT vec_id, embedding AS v FROM embeddings WHERE vec_id < 60), p AS (SELECT a.vec_id AS i, b.vec_id AS j, list_sum(list_transform(range(1, 65), lambda k: CAST(a.v[k] AS DOUBLE) * b.v[k])) AS d,
+@query("i06_vector_cosine", """WITH e AS (SELECT vec_id, embedding AS v FROM embeddings), p AS (SELECT a.vec_id AS i, b.vec_id AS j, list_sum(list_transform(range(1, 65), lambda k: CAST(a.v[k] AS DOUBLE) * b.v[k])) AS d,
 sqrt(list_sum(list_transform(a.v, lambda x: CAST(x AS DOUBLE) * x))) AS na, sqrt(list_sum(list_transform(b.v, lambda x: CAST(x AS DOUBLE) * x))) AS nb FROM e a JOIN e b ON a.vec_id < b.vec_id)
-SELECT i, j, round(d / (coalesce(nullif(na, 0), 1) * coalesce(nullif(nb, 0), 1)), 5) AS cosine FROM p""")
+SELECT i, j, round(d / (coalesce(nullif(na, 0), 1) * coalesce(nullif(nb, 0), 1)), 5) + 0.0 AS cosine FROM p""")
 def i06(spark, d):
-    e = table(spark, d, "embeddings").filter("vec_id < 60").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    norm = lambda a: F.coalesce(F.nullif(F.sqrt(dot(a, a)), F.lit(0.0)), F.lit(1.0))
-    a, b = (e.select(F.col("vec_id").alias(k), F.col("v").alias(f"v{k}")) for k in "ij")
-    return a.join(b, F.col("i") < F.col("j")).select("i", "j", F.round(dot(F.col("vi"), F.col("vj")) / (norm(F.col("vi")) * norm(F.col("vj"))), 5).alias("cosine"))
-
-
-@query("i06b_vector_cosine_all", ORACLES["i06_vector_cosine"].replace(" WHERE vec_id < 60", ""))
-def i06b(spark, d):
-    """Every pair of embeddings; i06 keeps the ids that its SQL names."""
+    """Every pair of embeddings, in blocks."""
     return pairs.cosine_pairs(table(spark, d, "embeddings"), "vec_id", "embedding").select("i", "j", "cosine")

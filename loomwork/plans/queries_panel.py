@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from loomwork.operators import cube, panel, space
 from loomwork.plans.facts import SQL, activity
-from loomwork.plans.queries_space import edges, rounded, yearly
+from loomwork.plans.queries_space import rounded, yearly
 from loomwork.plans.registry import query
+from loomwork.sources.store import cut
 
 PANEL = SQL + """, steps AS (SELECT year AS period, lag(year) OVER (ORDER BY year) AS prev FROM (SELECT DISTINCT year FROM ysup)),
 prior AS (SELECT prev, period, actor, topic FROM ysup JOIN steps ON ysup.year = prev),
@@ -23,14 +24,28 @@ panel AS (
 """
 
 
+def written(spark, d):
+    """The yearly cube, written once: a row for each year, actor and topic, from which all parts of a panel follow."""
+    return cut(yearly(spark, d), "yearly")
+
+
+def held_in(cells):
+    return space.support(cells, ["year"]).withColumnRenamed("year", "period")
+
+
+def edges_in(cells):
+    """The proximities over all years; every document has one year, so that its cells add up."""
+    return space.similarity(space.support(cells.groupBy("actor", "topic").agg(F.sum("x").alias("x"))))
+
+
 def held(spark, d):
-    return space.support(yearly(spark, d), ["year"]).withColumnRenamed("year", "period")
+    return held_in(yearly(spark, d))
 
 
 def adoption(spark, d, lag=1):
-    rows = activity(spark, d)
-    entities = rows.agg(F.count_distinct("actor")).first()[0]
-    return panel.adoption_panel(held(spark, d), edges(spark, d), cube.distinct_values(rows, "topic"), entities, lag)
+    cells = written(spark, d)
+    entities = cells.agg(F.count_distinct("actor")).first()[0]
+    return panel.adoption_panel(held_in(cells), edges_in(cells), cube.distinct_values(cells, "topic"), entities, lag)
 
 
 COLUMNS = "prev, period, actor, topic, adopted, round(closeness, 6) AS closeness, prev_diversity, round(popularity, 6) AS popularity"
@@ -58,7 +73,8 @@ def i14(spark, d):
 SELECT p.prev, p.period, p.actor, p.topic, CAST(s.actor IS NOT NULL AS INTEGER) AS persisted, round(closeness, 6) AS closeness, prev_diversity
 FROM prior p JOIN size USING (prev, period, actor) LEFT JOIN ob USING (prev, period, actor, topic) LEFT JOIN ysup s ON s.year = p.period AND s.actor = p.actor AND s.topic = p.topic""")
 def i12(spark, d):
-    return panel.persistence_panel(held(spark, d), edges(spark, d)).select("prev", "period", "actor", "topic", "persisted", *rounded("closeness"), "prev_diversity")
+    cells = written(spark, d)
+    return panel.persistence_panel(held_in(cells), edges_in(cells)).select("prev", "period", "actor", "topic", "persisted", *rounded("closeness"), "prev_diversity")
 
 
 CUMULATIVE = """, firsts AS (SELECT actor, topic, min(year) AS f FROM ycube GROUP BY ALL),
@@ -135,8 +151,9 @@ spell AS (SELECT gap, actor, topic, CAST(s AS INTEGER) AS start, CAST(CASE WHEN
 
 
 def all_spells(spark, d):
-    first, last = activity(spark, d).agg(F.min("year"), F.max("year")).first()
-    active = held(spark, d).select("actor", "topic", (F.col("period") - (first or 0)).alias("step"))
+    cells = written(spark, d)
+    first, last = cells.agg(F.min("year"), F.max("year")).first()
+    active = cut(held_in(cells).select("actor", "topic", (F.col("period") - (first or 0)).alias("step")), "active")
     out = None
     for gap in range(1, 6):
         part = panel.spells(active, (last or 0) - (first or 0), gap).withColumn("gap", F.lit(gap))

@@ -97,22 +97,12 @@ def h15(spark, d):
     return sequence.gaussian_smooth(signal, "excess", "topic", 1.15, 3).select("topic", *rounded("smooth"))
 
 
-@query("k10_merge_near", """WITH c AS (SELECT c_nationkey AS g, c_acctbal AS x, c_custkey AS id FROM customer WHERE c_nationkey < 5), n AS (SELECT *, coalesce(CAST(x - lag(x) OVER (PARTITION BY g ORDER BY x) > 40 AS INTEGER), 1) AS s FROM c),
+@query("k10_merge_near", """WITH c AS (SELECT c_nationkey AS g, c_acctbal AS x, c_custkey AS id FROM customer), n AS (SELECT *, coalesce(CAST(x - lag(x) OVER (PARTITION BY g ORDER BY x) > 40 AS INTEGER), 1) AS s FROM c),
 k AS (SELECT *, sum(s) OVER (PARTITION BY g ORDER BY x) AS cluster FROM n)
 SELECT g, CAST(cluster AS BIGINT) AS cluster, round(sum(x * id) / nullif(sum(id), 0), 4) AS position, CAST(sum(id) AS BIGINT) AS weight, CAST(max(id) AS BIGINT) AS label, count(*) AS members FROM k GROUP BY ALL""")
 def k10(spark, d):
     from loomwork.plans.facts import table
 
-    rows = table(spark, d, "customer").filter("c_nationkey < 5").select(F.col("c_nationkey").alias("g"), F.col("c_acctbal").alias("x"), F.col("c_custkey").alias("id"), F.col("c_custkey").alias("weight"))
-    out = sequence.merge_near(rows, "x", 40, "weight", "id", ["g"])
-    return out.select("g", "cluster", F.round("x", 4).alias("position"), "weight", F.col("id").alias("label"), "members")
-
-
-@query("k10b_merge_near_all", ORACLES["k10_merge_near"].replace(" WHERE c_nationkey < 5", ""))
-def k10b(spark, d):
-    """Every nation; k10 keeps the five that its SQL names."""
-    from loomwork.plans.facts import table
-
     rows = table(spark, d, "customer").select(F.col("c_nationkey").alias("g"), F.col("c_acctbal").alias("x"), F.col("c_custkey").alias("id"), F.col("c_custkey").alias("weight"))
     out = sequence.merge_near(rows, "x", 40, "weight", "id", ["g"])
     return out.select("g", "cluster", F.round("x", 4).alias("position"), "weight", F.col("id").alias("label"), "members")
