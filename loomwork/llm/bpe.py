@@ -180,10 +180,10 @@ class Encoder:
     #: Cached pre-tokens and their longest length; cells of one matrix; bytes from which a piece is folded into a matrix of its own.
     CACHED, CACHED_LENGTH, CELLS, LONG = 500_000, 64, 1 << 20, 2048
 
-    def __init__(self, table: PairTable):
+    def __init__(self, table: PairTable, cached: int = CACHED):
         import regex
 
-        self.table, self.cache = table, {}
+        self.table, self.cache, self.cached = table, {}, cached
         pattern = regex.compile(table.pattern)
         self.find, self.findall = pattern.finditer, pattern.findall
 
@@ -212,7 +212,7 @@ class Encoder:
         byte = {p: p.encode() for p in new}
         done = self.encode_pieces(byte.values())
         fresh = {p: done[b] for p, b in byte.items()}
-        if len(self.cache) + len(fresh) > self.CACHED:
+        if len(self.cache) + len(fresh) > self.cached:
             self.cache = {}
         elif max(map(len, fresh)) <= self.CACHED_LENGTH:
             self.cache.update(fresh)

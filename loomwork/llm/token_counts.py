@@ -34,6 +34,8 @@ from loomwork.llm._shared import documents, id_text, vocabulary_path
 from loomwork.llm.bpe import Encoder, load_table, small_batches
 
 BLOCK, CONTEXT = 64, 3
+#: Cached pre-tokens of each of the two encoders that a worker pair holds.
+CACHED = 250_000
 VOCABULARY = "byte_bpe_50k.tiktoken"
 EDITS = "array<struct<start:bigint,remove:bigint,insert:string>>"
 
@@ -195,7 +197,7 @@ def build_trees(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     rows = id_text(df, id_col, text_col) if not edits_col else df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), edits.alias("edits"))
 
     def run(batches):
-        encoder = Encoder(table.value)
+        encoder = Encoder(table.value, CACHED)
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
             for part in small_batches(texts):
@@ -222,7 +224,7 @@ def apply_edits(trees: DataFrame, path: str) -> DataFrame:
     table = trees.sparkSession.sparkContext.broadcast(load_table(path))
 
     def run(batches):
-        encoder = Encoder(table.value)
+        encoder = Encoder(table.value, CACHED)
         for b in batches:
             sizes = [len(t) for t in b.column(1).to_pylist()]
             start = 0
