@@ -212,12 +212,12 @@ class Encoder:
         byte = {p: p.encode() for p in new}
         done = self.encode_pieces(byte.values())
         fresh = {p: done[b] for p, b in byte.items()}
-        if len(self.cache) + len(fresh) > self.cached:
+        old, short = self.cache, {p: x for p, x in fresh.items() if len(p) <= self.CACHED_LENGTH}
+        if len(old) + len(short) > self.cached:
             self.cache = {}
-        elif max(map(len, fresh)) <= self.CACHED_LENGTH:
-            self.cache.update(fresh)
-            return self.cache
-        return _Both(fresh, self)
+        if len(short) <= self.cached:
+            self.cache.update(short)
+        return self.cache if self.cache is old and len(short) == len(fresh) else _Both(fresh, old)
 
     def pieces(self, text: str, at_once: int = 1 << 16) -> Iterator[list[str]]:
         """The pre-tokens in order, in lists of a bounded number."""
@@ -237,18 +237,14 @@ class Encoder:
 
 
 class _Both(dict):
-    """Fresh pieces, then the cache, then encoding once more."""
+    """Fresh pieces, then those that the cache held before."""
 
-    def __init__(self, fresh: dict, encoder: Encoder):
+    def __init__(self, fresh: dict, rest: dict):
         super().__init__(fresh)
-        self.encoder = encoder
+        self.rest = rest
 
     def __missing__(self, piece: str) -> bytes:
-        got = self.encoder.cache.get(piece)
-        if got is None:
-            b = piece.encode()
-            got = self[piece] = self.encoder.encode_pieces([b])[b]
-        return got
+        return self.rest[piece]
 
 
 class Decoder:
