@@ -34,8 +34,6 @@ from loomwork.llm._shared import documents, id_text, vocabulary_path
 from loomwork.llm.bpe import Encoder, load_table, small_batches
 
 BLOCK, CONTEXT = 64, 3
-#: Cached pre-tokens of each of the two encoders that a worker pair holds.
-CACHED = 250_000
 VOCABULARY = "byte_bpe_50k.tiktoken"
 EDITS = "array<struct<start:bigint,remove:bigint,insert:string>>"
 
@@ -190,25 +188,22 @@ def leaves_of(texts: list[str], encoder: Encoder) -> list[np.ndarray]:
     return out
 
 
-def build_trees(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", edits_col: str | None = None) -> DataFrame:
-    """doc_id, text, tree (lengths and counts of pre-tokens as 32-bit pairs), n_tokens and, where named, edits."""
-    table = df.sparkSession.sparkContext.broadcast(load_table(path))
-    edits = F.col(edits_col).cast(EDITS) if edits_col else F.array().cast(EDITS)
-    rows = id_text(df, id_col, text_col) if not edits_col else df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), edits.alias("edits"))
+def _build(batches, encoder: Encoder):
+    """For batches (doc_id, text and, if there, edits): doc_id, text, tree, n_tokens and edits."""
+    for b in batches:
+        texts = [t or "" for t in b.column(1).to_pylist()]
+        for part in small_batches(texts):
+            leaves = leaves_of(texts[part], encoder)
+            trees = pa.array([x.astype("<u4").tobytes() for x in leaves], pa.binary())
+            counts = pa.array([int(x[:, 1].sum()) for x in leaves], pa.int64())
+            own = [b.column(k).slice(part.start, part.stop - part.start) for k in range(b.num_columns)]
+            yield pa.RecordBatch.from_arrays([own[0], pa.array(texts[part], pa.string()), trees, counts, *own[2:]], ["doc_id", "text", "tree", "n_tokens", "edits"][: 2 + len(own)])
 
-    def run(batches):
-        encoder = Encoder(table.value, CACHED)
-        for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            for part in small_batches(texts):
-                leaves = leaves_of(texts[part], encoder)
-                n = part.stop - part.start
-                trees = pa.array([x.astype("<u4").tobytes() for x in leaves], pa.binary())
-                counts = pa.array([int(x[:, 1].sum()) for x in leaves], pa.int64())
-                own = [b.column(k).slice(part.start, n) for k in range(b.num_columns)]
-                yield pa.RecordBatch.from_arrays([own[0], pa.array(texts[part], pa.string()), trees, counts, *own[2:]], ["doc_id", "text", "tree", "n_tokens", "edits"][: 4 + len(own) - 2])
 
-    return rows.mapInArrow(run, "doc_id long, text string, tree binary, n_tokens long" + (f", edits {EDITS}" if edits_col else ""))
+def build_trees(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text, tree (lengths and counts of pre-tokens as 32-bit pairs) and n_tokens."""
+    table = df.sparkSession.sparkContext.broadcast(load_table(path))
+    return id_text(df, id_col, text_col).mapInArrow(lambda batches: _build(batches, Encoder(table.value)), "doc_id long, text string, tree binary, n_tokens long")
 
 
 def attach_edits(trees: DataFrame, edits: DataFrame) -> DataFrame:
@@ -219,40 +214,55 @@ def attach_edits(trees: DataFrame, edits: DataFrame) -> DataFrame:
     return trees.join(lists.withColumn("edits", each), "doc_id", "left")
 
 
+_EDITED = "doc_id long, text string, tree binary, n_tokens long, n_tokens_before long, n_edits long, n_pretokens long, n_reencoded long"
+
+
+def _apply(batches, encoder: Encoder):
+    """For batches (doc_id, text, tree, n_tokens, edits): what ``apply_edits`` gives."""
+    kinds = (pa.int64(), pa.string(), pa.binary(), *[pa.int64()] * 5)
+    names = [x.split()[0] for x in _EDITED.split(", ")]
+    for b in batches:
+        sizes = [len(t) for t in b.column(1).to_pylist()]
+        start = 0
+        while start < b.num_rows:
+            stop = start + 1
+            chars = sizes[start]
+            while stop < b.num_rows and chars + sizes[stop] <= 1 << 21 and stop - start < 512:
+                chars += sizes[stop]
+                stop += 1
+            out, made = [], []
+            for doc_id, text, tree, before, edits in zip(*[c.to_pylist() for c in b.slice(start, stop - start).columns], strict=True):
+                counted = CountedText(text, np.frombuffer(tree, dtype="<u4").astype(np.int64).reshape(-1, 2), encoder)
+                for e in edits or ():
+                    if e is not None:
+                        counted.replace(e["start"] or 0, e["remove"] or 0, e["insert"] or "")
+                made.append((doc_id, counted, before, edits))
+            ids = encoder.known(set().union(*[m[1].pending for m in made]))
+            for doc_id, counted, before, edits in made:
+                counted.settle(ids)
+                leaves = counted.leaves
+                out.append((doc_id, counted.text, leaves.astype("<u4").tobytes(), counted.tree.tokens, before, len(edits or ()), len(leaves), counted.reencoded))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+            start = stop
+
+
 def apply_edits(trees: DataFrame, path: str) -> DataFrame:
     """The trees after their ``edits``: doc_id, text, tree, n_tokens, n_tokens_before, n_edits, n_pretokens, n_reencoded."""
     table = trees.sparkSession.sparkContext.broadcast(load_table(path))
+    rows = trees.select("doc_id", "text", "tree", "n_tokens", F.col("edits").cast(EDITS).alias("edits"))
+    return rows.mapInArrow(lambda batches: _apply(batches, Encoder(table.value)), _EDITED)
+
+
+def edit_counts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", edits_col: str = "edits") -> DataFrame:
+    """``build_trees`` and ``apply_edits`` of rows that have their edits, in one worker with one cache."""
+    table = df.sparkSession.sparkContext.broadcast(load_table(path))
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(edits_col).cast(EDITS).alias("edits"))
 
     def run(batches):
-        encoder = Encoder(table.value, CACHED)
-        for b in batches:
-            sizes = [len(t) for t in b.column(1).to_pylist()]
-            start = 0
-            while start < b.num_rows:
-                stop = start + 1
-                chars = sizes[start]
-                while stop < b.num_rows and chars + sizes[stop] <= 1 << 21 and stop - start < 512:
-                    chars += sizes[stop]
-                    stop += 1
-                out, made = [], []
-                for doc_id, text, tree, before, edits in zip(*[c.to_pylist() for c in b.slice(start, stop - start).columns], strict=True):
-                    counted = CountedText(text, np.frombuffer(tree, dtype="<u4").astype(np.int64).reshape(-1, 2), encoder)
-                    for e in edits or ():
-                        if e is not None:
-                            counted.replace(e["start"] or 0, e["remove"] or 0, e["insert"] or "")
-                    made.append((doc_id, counted, before, edits))
-                ids = encoder.known(set().union(*[m[1].pending for m in made]))
-                for doc_id, counted, before, edits in made:
-                    counted.settle(ids)
-                    leaves = counted.leaves
-                    out.append((doc_id, counted.text, leaves.astype("<u4").tobytes(), counted.tree.tokens, before, len(edits or ()), len(leaves), counted.reencoded))
-                kinds = (pa.int64(), pa.string(), pa.binary(), *[pa.int64()] * 5)
-                names = ["doc_id", "text", "tree", "n_tokens", "n_tokens_before", "n_edits", "n_pretokens", "n_reencoded"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
-                start = stop
+        encoder = Encoder(table.value)
+        yield from _apply(_build(batches, encoder), encoder)
 
-    rows = trees.select("doc_id", "text", "tree", "n_tokens", F.col("edits").cast(EDITS).alias("edits"))
-    return rows.mapInArrow(run, "doc_id long, text string, tree binary, n_tokens long, n_tokens_before long, n_edits long, n_pretokens long, n_reencoded long")
+    return rows.mapInArrow(run, _EDITED)
 
 
 def standard_edits(docs: DataFrame, edits: int = 4) -> DataFrame:
@@ -274,6 +284,5 @@ def standard_edits(docs: DataFrame, edits: int = 4) -> DataFrame:
 def op10_edit_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of every document before and after four edits, with a checksum of the edited text."""
     path = vocabulary_path(VOCABULARY)
-    trees = build_trees(standard_edits(id_text(documents(spark, sf_dir))), path, edits_col="edits")
-    done = apply_edits(trees, path)
+    done = edit_counts(standard_edits(id_text(documents(spark, sf_dir))), path)
     return done.select("doc_id", "n_tokens_before", "n_edits", "n_tokens", "n_pretokens", "n_reencoded", F.sha2("text", 256).alias("text_sha256"))

@@ -33,6 +33,18 @@ def test_encoding_equals_tiktoken(tokenizer):
         assert decoder.decode(ids) == text.encode()
 
 
+def test_a_small_cache_changes_nothing(tokenizer):
+    table, other = tokenizer
+    random.seed(7)
+    texts = [" ".join("".join(random.choice("abcdeé") for _ in range(random.randint(1, 90))) for _ in range(40)) for _ in range(30)]
+    for cached in (0, 3, 50, 500):
+        encoder = bpe.Encoder(table, cached)
+        for k in range(0, 30, 5):
+            for text, ids in zip(texts[k : k + 5] + texts[:2], encoder.encode(texts[k : k + 5] + texts[:2]), strict=True):
+                assert np.frombuffer(ids, "<u4").tolist() == other.encode_ordinary(text)
+        assert len(encoder.cache) <= max(cached, 0)
+
+
 def test_long_pieces_merge_alike(tokenizer):
     table, _ = tokenizer
     random.seed(2)
@@ -70,6 +82,14 @@ def test_attached_edits(spark):
     got = {r["doc_id"]: r for r in token_counts.apply_edits(token_counts.attach_edits(trees, edits), path).collect()}
     assert got[1]["text"] == "BA two" and got[1]["n_edits"] == 3
     assert got[2]["n_tokens"] == 0 and got[2]["n_edits"] == 0
+    rows = [(None, "one two three", 1), (None, "one two three", 1), (5, None, 1), (6, "long text " * 20_000, 1), (7, "", 1)]
+    docs = token_counts.standard_edits(spark.createDataFrame(rows, "doc_id long, text string, tree int"))
+    encoder = bpe.Encoder(bpe.load_table(path))
+    done = token_counts.edit_counts(docs, path).collect()
+    assert len(done) == 5
+    for r in done:
+        assert r["n_tokens"] == int(token_counts.leaves_of([r["text"]], encoder)[0][:, 1].sum()) and r["n_edits"] == 4
+    assert token_counts.edit_counts(docs.limit(0), path).count() == 0
 
 
 PAGE = """<html><head><title>T</title><script>var a="<p>no</p>"</script></head><body class="has-sidebar"><header>Site</header><nav><ul><li>Home</li></ul></nav>
