@@ -193,15 +193,16 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = r"""
-WITH d AS (
-  SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text,
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS rowid, doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text,
          regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
          list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
   FROM documents),
+each AS (SELECT rowid AS r, unnest(range(len(w))) AS i, unnest(w) AS x FROM d),
 win AS (
-  SELECT rowid AS r, unnest(range(len(w) - 4)) AS i, w FROM (SELECT *, row_number() OVER () AS rowid FROM d) WHERE len(w) >= 5),
-hashed AS (SELECT r, i, w[i + 1 : i + 5] AS g FROM win),
-twice AS (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM hashed),
+  SELECT r, i, [x, lead(x, 1) OVER o, lead(x, 2) OVER o, lead(x, 3) OVER o, lead(x, 4) OVER o] AS g, lead(x, 4) OVER o AS x5
+  FROM each WINDOW o AS (PARTITION BY r ORDER BY i)),
+twice AS (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM win WHERE x5 IS NOT NULL),
 rep AS (
   SELECT r, sum(least(5, coalesce(nxt - i, 5))) AS n_repeat_words
   FROM (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS nxt FROM twice WHERE c > 1) GROUP BY r),
@@ -211,7 +212,7 @@ c AS (
          CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
          CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
          CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words
-  FROM (SELECT *, row_number() OVER () AS rowid FROM d) LEFT JOIN rep ON rep.r = rowid),
+  FROM d LEFT JOIN rep ON rep.r = rowid),
 m AS (
   SELECT *, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
          (word_chars * 100) // greatest(n_words, 1) AS x1, (n_symbols * 1000) // greatest(n_words, 1) AS x2,
