@@ -306,3 +306,106 @@ def bridging(w: np.ndarray) -> np.ndarray:
     inverse = np.divide(1.0, degree, out=np.zeros(len(w)), where=degree > 0)
     around = linked @ inverse
     return np.divide(inverse, around, out=np.zeros(len(w)), where=around > 0)
+
+
+def smooth(values: np.ndarray, sigma: float = 1.15, radius: int = 3) -> np.ndarray:
+    """Gaussian weighted means over neighbouring places; places past an end take the end's value."""
+    weight = np.exp(-(np.arange(-radius, radius + 1) ** 2) / (2 * sigma**2))
+    wide = np.pad(np.asarray(values, dtype=float), radius, mode="edge")
+    return np.lib.stride_tricks.sliding_window_view(wide, 2 * radius + 1) @ (weight / weight.sum())
+
+
+def average_ranks(x: np.ndarray, places: int = 9) -> np.ndarray:
+    """Ranks from 1; values equal after rounding share their mean."""
+    _, group, size = np.unique(np.round(x, places), return_inverse=True, return_counts=True)
+    return (np.cumsum(size) - (size - 1) / 2)[group]
+
+
+def rank_correlation(x: np.ndarray, y: np.ndarray) -> float:
+    """Spearman's coefficient; nan where either side is constant."""
+    a, b = (r - r.mean() for r in map(average_ranks, (x, y)))
+    size = np.sqrt((a @ a) * (b @ b))
+    return float(a @ b / size) if size else float("nan")
+
+
+def cosines(rows: np.ndarray) -> np.ndarray:
+    """The cosines of all rows of a table of entities."""
+    unit = rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
+    return unit @ unit.T
+
+
+def transport(p: np.ndarray, q: np.ndarray, cost: np.ndarray, tiny: float = 1e-12) -> float:
+    """The least cost of moving the shares p onto the shares q; nan where either has no mass.
+
+    Successive cheapest paths: each round sends what fits from the sources that
+    have mass left to the cheapest sink that lacks some, and may take back what
+    earlier rounds sent.
+    """
+    if p.sum() <= 0 or q.sum() <= 0:
+        return float("nan")
+    left, need = p / p.sum(), q / q.sum()
+    sent = np.zeros(cost.shape)
+    while (left > tiny).any() and (need > tiny).any():
+        reach, taken_back = np.where(left > tiny, 0.0, np.inf), np.full(len(left), -1)
+        least, via = np.full(len(need), np.inf), np.zeros(len(need), dtype=int)
+        while True:
+            # a way changes only where the new one is cheaper by more than rounding, so that ways never run in circles
+            arrive = reach[:, None] + cost
+            nearer = arrive.min(axis=0) < least - tiny
+            least[nearer], via[nearer] = arrive.min(axis=0)[nearer], arrive.argmin(axis=0)[nearer]
+            undo = np.where(sent > tiny, least - cost, np.inf)
+            better = undo.min(axis=1) < reach - tiny
+            if not better.any():
+                break
+            reach[better], taken_back[better] = undo.min(axis=1)[better], undo.argmin(axis=1)[better]
+        sink = int(np.where(need > tiny, least, np.inf).argmin())
+        amount, path, at = need[sink], [], sink
+        while True:
+            source = int(via[at])
+            path.append((source, at, 1))
+            at = int(taken_back[source])
+            if at < 0:
+                amount = min(amount, left[source])
+                break
+            amount = min(amount, sent[source, at])
+            path.append((source, at, -1))
+        for i, j, sign in path:
+            sent[i, j] += sign * amount
+        left[path[-1][0]] -= amount
+        need[sink] -= amount
+    return float((sent * cost).sum())
+
+
+def peaks(values: np.ndarray, most: int, apart: int = 1) -> list[int]:
+    """Places higher than the one before and no lower than the one after, highest first, each at least ``apart`` from those taken."""
+    y = np.concatenate([[-np.inf], values, [-np.inf]])
+    taken: list[int] = []
+    for k in sorted(np.flatnonzero((y[1:-1] > y[:-2]) & (y[1:-1] >= y[2:])).tolist(), key=lambda k: (-values[k], k)):
+        if len(taken) < most and all(abs(k - t) >= apart for t in taken):
+            taken.append(k)
+    return taken
+
+
+def best_of_bins(values: np.ndarray, x: np.ndarray, bins: int, floor: float) -> list[int]:
+    """The highest place of each equal bin of x, where it reaches ``floor`` of the highest of all; ties: the first."""
+    if not len(values) or values.max() <= 0:
+        return []
+    spread = np.ptp(x)
+    at = np.minimum((x - x.min()) / spread * bins, bins - 1).astype(int) if spread else np.zeros(len(x), dtype=int)
+    best = [max(np.flatnonzero(at == b).tolist(), key=lambda k: (values[k], -k)) for b in np.unique(at)]
+    return [k for k in best if values[k] >= floor * values.max()]
+
+
+def spread_selection(values: np.ndarray, x: np.ndarray, liked: dict[int, float], target: int, gaps: tuple[float, ...]) -> list[int]:
+    """Up to ``target`` places in order of x: the best of ``liked`` (place: bonus) whose x keeps a gap from all that are taken.
+
+    The gaps are tried one after the other, each over all that is left, until
+    the target is reached; ties: the first place.
+    """
+    order = sorted(liked, key=lambda k: (-(values[k] + liked[k]), k))
+    taken: list[int] = []
+    for gap in gaps:
+        for k in order:
+            if len(taken) < target and k not in taken and all(abs(x[k] - x[t]) >= gap for t in taken):
+                taken.append(k)
+    return sorted(taken, key=lambda k: (x[k], k))

@@ -43,15 +43,19 @@ def longest_run(df: DataFrame, key: str, order: str, label: str) -> DataFrame:
     return runs.withColumn("_b", best).filter("_b = 1").select(key, label, "length", "start")
 
 
-def flows(sup: DataFrame, period: str = "period", entity: str = "actor", category: str = "topic") -> DataFrame:
-    """Between consecutive periods the mass from each category to each: 1 / (n0 n1) for every held pair of an entity, and the entities."""
+def flows(sup: DataFrame, period: str = "period", entity: str = "actor", category: str = "topic", with_entities: bool = False) -> DataFrame:
+    """Between consecutive periods the mass from each category to each: 1 / (n0 n1) for every held pair of an entity, and the entities.
+
+    ``with_entities`` lists them too, as held_by.
+    """
     w = Window.orderBy(period)
     steps = sup.select(period).distinct().withColumn("following", F.lead(period).over(w)).dropna()
     sized = sup.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(period, entity)))
     a = sized.join(steps, period).select(F.col(period).alias("prev"), F.col("following").alias("next"), entity, F.col(category).alias("source"), F.col("n").alias("n0"))
     b = sized.select(F.col(period).alias("next"), entity, F.col(category).alias("target"), F.col("n").alias("n1"))
     mass = F.sum(F.lit(1.0) / (F.col("n0") * F.col("n1")))
-    return a.join(b, ["next", entity]).groupBy("prev", "next", "source", "target").agg(mass.alias("mass"), F.count(F.lit(1)).alias("entities"))
+    listed = [F.sort_array(F.collect_list(entity)).alias("held_by")] if with_entities else []
+    return a.join(b, ["next", entity]).groupBy("prev", "next", "source", "target").agg(mass.alias("mass"), F.count(F.lit(1)).alias("entities"), *listed)
 
 
 def turnover(sup: DataFrame, period: str = "period", entity: str = "actor", category: str = "topic") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from loomwork.functions import kernels
 from loomwork.operators import cube, models, pairs, panel, space, stats
-from loomwork.plans.facts import activity, table
+from loomwork.plans.facts import SQL, activity, table
 from loomwork.plans.queries_pairs import distances, held, overlap
 from loomwork.plans.queries_panel import adoption
 from loomwork.plans.queries_panel import held as held_yearly
@@ -72,9 +72,12 @@ def l10(spark, d):
 
 @query("i23_partition")
 def i23(spark, d):
+    """Three regions of the first axis; topics weigh their excess, smoothed along it."""
     labels, x, _ = coordinates(spark, d)
     excess = {r["topic"]: r["excess"] for r in space.excess(space.specialization(counts(spark, d)), ["topic"]).collect()}
-    weight = np.array([excess.get(t, 0.0) for t in labels])
+    order = np.argsort(x[:, 0], kind="stable")
+    weight = np.empty(len(labels))
+    weight[order] = kernels.smooth(np.array([excess.get(labels[k], 0.0) for k in order]))
     _, cuts = kernels.centre_partition(x[:, 0], weight, 3)
     return spark.createDataFrame([(t, float(p), float(w), int(np.searchsorted(cuts, p, side="right")) + 1) for t, p, w in zip(labels, x[:, 0], weight, strict=True)], "topic string, position double, weight double, region int")
 
@@ -180,13 +183,19 @@ def l04b(spark, d):
     return models.simulate(rows, values, 64).groupBy("period", "actor").agg(F.avg("breadth").alias("simulated"))
 
 
-@query("g23_quadratic_fit")
+@query("g23_quadratic_fit", """WITH u AS (SELECT p_brand AS k, CAST(p_size AS DOUBLE) AS x, CAST(p_retailprice AS DOUBLE) AS y, x - avg(x) OVER (PARTITION BY p_brand) AS u FROM part),
+s AS (SELECT k, avg(x) AS m, avg(y) AS a, avg(u * u) AS s2, sum(u * u * u) / sum(u * u) AS s3, sum(u * y) / sum(u * u) AS b FROM u GROUP BY k),
+c AS (SELECT k, sum((u * u - s2 - s3 * u) * y) / sum(pow(u * u - s2 - s3 * u, 2)) AS c2 FROM u JOIN s USING (k) GROUP BY k)
+SELECT k, round(a - c2 * s2 - (b - c2 * s3) * m + c2 * m * m, 4) AS c0, round(b - c2 * s3 - 2 * c2 * m, 4) AS c1, round(c2, 4) AS c2 FROM s JOIN c USING (k)""")
 def g23(spark, d):
+    """Price by size for each brand; the SQL takes what the line leaves of the square instead of the normal equations."""
     rows = table(spark, d, "part").select(F.col("p_brand").alias("k"), F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").alias("y"))
-    return stats.quadratic_fit(rows, "x", "y", ["k"])
+    return stats.quadratic_fit(rows, "x", "y", ["k"]).select("k", *[F.round(c, 4).alias(c) for c in ("c0", "c1", "c2")])
 
 
-@query("b04_graph_json")
+@query("b04_graph_json", SQL + """, nr AS (SELECT i AS topic, j AS id, round(phi, 6) AS phi FROM phi UNION ALL SELECT j, i, round(phi, 6) FROM phi), l AS (SELECT topic, list({'phi': phi, 'id': id} ORDER BY phi DESC, id DESC) AS links FROM nr GROUP BY topic),
+v AS (SELECT topic, CAST(sum(x) AS BIGINT) AS volume FROM cube GROUP BY topic)
+SELECT topic, CAST(CASE WHEN links IS NULL THEN to_json({'id': topic, 'volume': volume}) ELSE to_json({'id': topic, 'volume': volume, 'links': links}) END AS VARCHAR) AS json FROM v LEFT JOIN l USING (topic)""")
 def b04(spark, d):
     """One document for each topic: its weight and its neighbours, heaviest first."""
     volume = counts(spark, d).groupBy("topic").agg(F.sum("x").alias("volume"))
@@ -194,7 +203,8 @@ def b04(spark, d):
     return volume.join(near, "topic", "left").select("topic", F.to_json(F.struct(F.col("topic").alias("id"), "volume", "links")).alias("json"))
 
 
-@query("b06_actor_json")
+@query("b06_actor_json", SQL + """, r AS (SELECT actor, topic, c, rca, CAST(row_number() OVER (PARTITION BY actor ORDER BY round(rca, 9) DESC, topic) AS INTEGER) AS k FROM rca)
+SELECT actor, CAST(to_json({'actor': actor, 'volume': max(c), 'top': list({'rank': k, 'topic': topic, 'rca': round(rca, 6)} ORDER BY k)}) AS VARCHAR) AS json FROM r WHERE k <= 8 GROUP BY actor""")
 def b06(spark, d):
     """One document for each actor: its eight strongest topics and its share of all."""
     w = Window.partitionBy("actor")

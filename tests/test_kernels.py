@@ -188,3 +188,29 @@ def test_graph_queries_follow_the_networks(spark):
     fits = q["j02_group_logits"](spark, sf).toPandas()
     assert m["group_median"] == pytest.approx(fits.distance.median()) and m["models"] == len(fits)
     assert m["median_of_medians"] == pytest.approx(fits.groupby("period").distance.median().median())
+
+
+def test_transport(r):
+    """Equal masses against all assignments; masses on a line against the cumulated shares."""
+    for _ in range(30):
+        n = int(r.integers(1, 6))
+        cost = r.random((n, n))
+        least = min(sum(cost[i, p[i]] for i in range(n)) for p in itertools.permutations(range(n))) / n
+        assert kernels.transport(np.ones(n), np.ones(n), cost) == pytest.approx(least)
+    x, y, p, q = r.random(20), r.random(15), r.random(20), r.random(15)
+    z = np.sort(np.r_[x, y])
+    upto = lambda at, w: np.array([w[at <= v].sum() for v in z]) / w.sum()
+    assert kernels.transport(p, q, np.abs(x[:, None] - y)) == pytest.approx((np.abs(upto(x, p) - upto(y, q))[:-1] * np.diff(z)).sum())
+    assert np.isnan(kernels.transport(np.zeros(2), np.ones(2), np.ones((2, 2))))
+
+
+def test_selections(r):
+    y = np.array([1.0, 3, 3, 2, 5, 1, 4])
+    assert kernels.peaks(y, 5) == [4, 6, 1] and kernels.peaks(y, 5, apart=3) == [4, 1] and kernels.peaks(y, 1) == [4]
+    x = np.arange(7) / 6
+    assert kernels.best_of_bins(y, x, 2, 0.7) == [4] and kernels.best_of_bins(y, x, 2, 0.2) == [1, 4]
+    liked = dict.fromkeys(range(7), 0.0)
+    assert kernels.spread_selection(y, x, liked, 3, (0.5,)) == [1, 4] and len(kernels.spread_selection(y, x, liked, 3, (0.5, 0.3))) == 3
+    v = r.integers(0, 5, 30).astype(float)
+    assert kernels.average_ranks(v) == pytest.approx(pd.Series(v).rank().to_numpy())
+    assert kernels.smooth(np.full(9, 2.0)) == pytest.approx(np.full(9, 2.0))
