@@ -74,3 +74,15 @@ def vocabulary_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+def finite_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(id, v array<double>) of the rows whose vector is there, not empty and holds neither null, nan nor infinity.
+
+    Vectors must be of one length to be compared: those of the most frequent
+    length stay (of equally frequent ones, the longest).
+    """
+    whole = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v")).filter(F.col("v").isNotNull() & (F.size("v") > 0) & whole)
+    lengths = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
+    return rows.filter(F.size("v") == (lengths[0]["d"] if lengths else 0))

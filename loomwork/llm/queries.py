@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomwork.llm import bpe, decontaminate, html_text, katz, language_id, near_dedup, quality_model, quality_rules, sharding, token_counts
+from loomwork.llm import bpe, decontaminate, html_text, katz, language_id, near_dedup, quality_model, quality_rules, sharding, token_counts, whitening
 
 QUERIES = {
     "op9_quality_rules": quality_rules.op9_quality_rules,
@@ -15,6 +15,7 @@ QUERIES = {
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_quality_model": quality_model.op7_quality_model,
     "op4_bpe_round_trip": bpe.op4_bpe_round_trip,
+    "op13_whitening": whitening.op13_whitening,
 }
 
 ORACLES: dict[str, str] = {
