@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomwork.llm import bpe, decontaminate, html_text, katz, language_id, near_dedup, quality_model, quality_rules, sharding, token_counts, version_tree, whitening
+from loomwork.llm import bpe, decontaminate, html_text, katz, language_id, near_dedup, nearest, quality_model, quality_rules, sharding, token_counts, version_tree, whitening
 
 QUERIES = {
     "op9_quality_rules": quality_rules.op9_quality_rules,
@@ -15,6 +15,7 @@ QUERIES = {
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_quality_model": quality_model.op7_quality_model,
     "op4_bpe_round_trip": bpe.op4_bpe_round_trip,
+    "op11_nearest": nearest.op11_nearest,
     "op13_whitening": whitening.op13_whitening,
     "op12_version_tree": version_tree.op12_version_tree,
 }
@@ -22,5 +23,6 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op3_near_dedup": near_dedup.ORACLE,
     "op9_quality_rules": quality_rules.ORACLE,
+    "op11_nearest": nearest.ORACLE,
     "op12_version_tree": version_tree.ORACLE,
 }
