@@ -135,13 +135,19 @@ k AS (SELECT keep, replicate, v, row_number() OVER (PARTITION BY keep, replicate
 m AS (SELECT keep, replicate, avg(v) AS mean, stddev_samp(v) AS spread FROM k WHERE k * 100 <= n * keep GROUP BY ALL), u AS (SELECT keep, replicate, 'mean' AS measure, mean AS value FROM m UNION ALL SELECT keep, replicate, 'spread', spread FROM m)
 SELECT CAST(keep AS INTEGER) AS keep, measure, round(avg(value), 4) AS mean, round(stddev_samp(value), 4) AS sd, count(*) AS replicates FROM u GROUP BY ALL""")
 def g19(spark, d):
-    """Mean and deviation over replicates of thinned data, stacked by measure, with the full data as one row each."""
+    """Mean and deviation over replicates of thinned data, stacked by measure, with the full data as one row each.
+
+    Every document is ranked once for each replicate and counts for all shares side by side; no document is copied.
+    """
     rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc"), F.year("o_orderdate").alias("year"), F.col("o_totalprice").alias("v"))
-    each = resample.draws(rows, 5).withColumnRenamed("draw", "replicate").withColumn("keep", F.explode(F.array(*map(F.lit, (40, 60, 80, 100))))).filter("keep < 100 or replicate = 1")
-    w = Window.partitionBy("keep", "replicate", "year")
-    ranked = each.withColumns({"k": F.row_number().over(w.orderBy(resample.draw_key(19, "replicate", "doc"), "doc")), "n": F.count(F.lit(1)).over(w)}).filter("k * 100 <= n * keep")
-    measured = ranked.groupBy("keep", "replicate").agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("spread"))
-    long = measured.unpivot(["keep", "replicate"], ["mean", "spread"], "measure", "value")
+    year = Window.partitionBy("year")
+    rows = rows.withColumn("n", F.count(F.lit(1)).over(year))
+    for r in range(1, 6):
+        rows = rows.withColumn(f"k{r}", F.row_number().over(year.orderBy(resample.draw_key(19, F.lit(r), "doc"), "doc")))
+    kept = lambda share, r: F.when(F.col(f"k{r}") * 100 <= F.col("n") * share, F.col("v"))
+    cells = [(share, r) for share in (40, 60, 80, 100) for r in range(1, 6) if share < 100 or r == 1]
+    wide = rows.agg(*[f(kept(share, r)).alias(f"{name}_{share}_{r}") for share, r in cells for name, f in (("mean", F.avg), ("spread", F.stddev_samp))])
+    long = wide.unpivot([], [c for c in wide.columns], "name", "value").withColumn("part", F.split("name", "_")).select(F.col("part")[1].cast("int").alias("keep"), F.col("part")[0].alias("measure"), "value")
     return long.groupBy("keep", "measure").agg(F.round(F.avg("value"), 4).alias("mean"), F.round(F.stddev_samp("value"), 4).alias("sd"), F.count(F.lit(1)).alias("replicates"))
 
 
