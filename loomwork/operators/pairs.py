@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomwork.sources.store import cut
+
 
 def pair_overlap(sup: DataFrame, by: tuple[str, ...] = (), entity: str = "actor", category: str = "topic") -> DataFrame:
     """a < b over all entities with a portfolio: k_a, k_b, shared, union and jaccard.
@@ -76,23 +78,68 @@ def emd_1d(shares: DataFrame, positions: DataFrame, entity: str = "actor", categ
     return a.join(b, category).filter("a < b").groupBy("a", "b").agg(F.sum(F.abs(F.col("ca") - F.col("cb")) * F.col("gap")).alias("emd"))
 
 
-def matched_residual(df: DataFrame, key: str, features: list[str], value: str, neighbours: int) -> DataFrame:
-    """``value`` less its mean over the nearest rows (other than itself) in z-scored ``features``; ties by key.
+def nearest_in_space(df: DataFrame, key: str, features: list[str], k: int, value: str | None = None) -> DataFrame:
+    """key, value, near: the k nearest other rows in z-scored ``features``, as an array of (distance, key, value), nearest first; equal distances by key.
 
-    Every row meets every other one: for sets of pairs or triples of actors,
-    whose number does not grow with the documents.
+    Exact, by grids of cells whose width doubles from level to level.  A row
+    looks for its neighbours on the first level where its cell and the cells
+    around it hold k + 1 rows: none of these is farther than twice a cell's
+    diagonal, which tells how many cells around can hold anything nearer.
+    Rows on one spot are one query, and only the k + 1 first keys of a spot can
+    be anyone's neighbours, so that neither a crowded spot nor the number of
+    rows multiplies with itself.  z-scores and squared distances are rounded to
+    nine digits.  Keys are unique.
     """
     from loomwork.operators.stats import z_score
 
-    scaled = df
+    scaled = df.select(F.col(key).alias("_k"), (F.col(value) if value else F.lit(None).cast("double")).alias("_v"), *features)
     for f in features:
         scaled = z_score(scaled, f).withColumnRenamed("z", f"_z_{f}")
     zs = [f"_z_{f}" for f in features]
-    q = scaled.select(F.col(key).alias("_q"), F.col(value).alias("_own"), *[F.col(z).alias(f"{z}_q") for z in zs])
-    d = sum(((F.round(F.col(z), 9) - F.round(F.col(f"{z}_q"), 9)) ** 2 for z in zs[1:]), (F.round(F.col(zs[0]), 9) - F.round(F.col(f"{zs[0]}_q"), 9)) ** 2)
-    near = q.join(scaled.select(F.col(key).alias("_k"), F.col(value).alias("_v"), *zs), F.col("_q") != F.col("_k")).withColumn("_d", F.round(d, 9))
-    ranked = near.withColumn("_r", F.row_number().over(Window.partitionBy("_q").orderBy("_d", "_k"))).filter(F.col("_r") <= neighbours)
-    return ranked.groupBy("_q").agg(F.first("_own").alias(value), F.avg("_v").alias("expected")).select(F.col("_q").alias(key), value, "expected", (F.col(value) - F.col("expected")).alias("residual"))
+    # 0.0 is added so that no spot is at minus zero
+    rows = cut(scaled.select("_k", "_v", F.array(*[F.round(F.col(z), 9) + 0.0 for z in zs]).alias("_at")), "spots")
+    dims = len(features)
+    ends = rows.agg(F.count(F.lit(1)).alias("n"), *[f(F.col("_at")[i]).alias(f"{f.__name__}{i}") for i in range(dims) for f in (F.min, F.max)]).first()
+    span = max([(ends[f"max{i}"] - ends[f"min{i}"]) if ends["n"] else 0.0 for i in range(dims)] + [1e-9])
+    bins = max(1, int((ends["n"] * 3**dims / (4 * (k + 1))) ** (1 / dims)))
+    levels = bins.bit_length() + 1
+    width = span / bins
+    cell = lambda level: F.transform("_at", lambda x: F.floor(x / (width * 2**level)).cast("long"))
+    every = F.explode(F.array(*[F.struct(F.lit(level).alias("level"), cell(level).alias("cell")) for level in range(levels)]))
+    first = F.row_number().over(Window.partitionBy("_at").orderBy("_k"))
+    candidates = cut(rows.withColumn("_r", first).filter(F.col("_r") <= k + 1).drop("_r").select("_k", "_v", "_at", every.alias("c")).select("_k", "_v", "_at", "c.*"), "candidates")
+    spots = candidates.select("_at", "level", "cell").distinct()
+    held = candidates.groupBy("level", "cell").agg(F.count(F.lit(1)).alias("rows"))
+
+    def around(cells: DataFrame, reach: int) -> DataFrame:
+        """level, cell and every cell ``near`` it that holds rows."""
+        steps = F.array(*map(F.lit, range(-reach, reach + 1)))
+        near = cells
+        for i in range(dims):
+            near = near.withColumn(f"_s{i}", F.explode(steps))
+        near = near.select(*cells.columns, F.array(*[F.col("cell")[i] + F.col(f"_s{i}") for i in range(dims)]).alias("near"))
+        return near.join(held.withColumnRenamed("cell", "near"), ["level", "near"])
+
+    crowded = around(held.select("level", "cell"), 1).groupBy("level", "cell").agg(F.sum("rows").alias("rows"))
+    enough = (F.col("rows") > k) | (F.col("level") == levels - 1)
+    own = spots.join(crowded, ["level", "cell"]).filter(enough).groupBy("_at").agg(F.min_by(F.struct("level", "cell"), "level").alias("c")).select(F.col("_at").alias("_q"), "c.*")
+    own = cut(own, "levels")
+    # the last level is as wide as everything, so its ring of one holds all
+    reach = int(2 * dims**0.5) + 1
+    pairs = around(own.select("level", "cell").distinct(), reach).select("level", "cell", "near")
+    found = own.join(pairs, ["level", "cell"]).join(candidates.withColumnRenamed("cell", "near"), ["level", "near"])
+    gap = sum(((F.col("_at")[i] - F.col("_q")[i]) ** 2 for i in range(1, dims)), (F.col("_at")[0] - F.col("_q")[0]) ** 2)
+    ranked = found.select("_q", F.round(gap, 9).alias("distance"), "_k", "_v").withColumn("_r", F.row_number().over(Window.partitionBy("_q").orderBy("distance", "_k"))).filter(F.col("_r") <= k + 1)
+    lists = ranked.groupBy(F.col("_q").alias("_at")).agg(F.array_sort(F.collect_list(F.struct("distance", F.col("_k").alias("key"), F.col("_v").alias("value")))).alias("_near"))
+    others = F.slice(F.filter("_near", lambda x: x["key"] != F.col("_k")), 1, k)
+    return rows.join(lists, "_at").select(F.col("_k").alias(key), F.col("_v").alias(value or "value"), others.alias("near"))
+
+
+def matched_residual(df: DataFrame, key: str, features: list[str], value: str, neighbours: int) -> DataFrame:
+    """``value`` less its mean over the nearest rows (other than itself) in z-scored ``features``; ties by key."""
+    near = nearest_in_space(df, key, features, neighbours, value).filter(F.size("near") > 0)
+    mean = F.aggregate("near", F.lit(0.0), lambda s, x: s + x["value"]) / F.size("near")
+    return near.select(key, value, mean.alias("expected")).withColumn("residual", F.col(value) - F.col("expected"))
 
 
 def cosine_pairs(df: DataFrame, key: str, vector: str, block: int = 2048) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomwork.sources.store import cut
+
 
 def emergence(volume: DataFrame, percents: Sequence[int], least_volume: int = 10, key: str = "topic", time: str = "year", value: str = "n") -> DataFrame:
     """For each share (in per cent) the first time at which a key's running sum reaches it; keys of small volume are left out."""
@@ -94,3 +96,46 @@ def merge_near(df: DataFrame, position: str, gap: float, weight: str, label: str
         F.try_divide(F.sum(F.col(position) * F.col(weight)), F.sum(weight)).alias(position), F.sum(weight).alias(weight),
         F.max_by(label, F.struct(F.col(weight), F.col(label))).alias(label), F.count(F.lit(1)).alias("members"),
     )
+
+
+def separated_maxima(df: DataFrame, value: str, order: str, gap: int, top: int, by: Sequence[str] = ()) -> DataFrame:
+    """The highest local maxima that stand at least ``gap`` places apart, ``top`` of each group at most; equal heights by place.
+
+    ``order`` is a whole number for each row of a group.  A maximum is no lower
+    than the rows before and after it, and neither end is one; a group without
+    any offers all its rows, one of fewer than three rows its first ``top``.
+    What a greedy pass in falling height would take is found in rounds: a
+    maximum stays if none that is left within its reach is higher, and those
+    that it covers go.  A round looks at strips of ``gap`` places, so no task
+    holds a whole axis.
+    """
+    by = list(by)
+    beside = lambda k: df.select(*by, (F.col(order) + k).alias(order), F.col(value).alias(f"_v{k}"))
+    sized = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min(order).alias("_first")) if by else df.agg(F.count(F.lit(1)).alias("_n"), F.min(order).alias("_first"))
+    rows = df.select(*by, order, value)
+    rows = rows.join(sized, by) if by else rows.crossJoin(sized)
+    rows = rows.join(beside(1), [*by, order], "left").join(beside(-1), [*by, order], "left")
+    rows = cut(rows.withColumn("_peak", (F.col(value) >= F.col("_v1")) & (F.col(value) >= F.col("_v-1"))).drop("_v1", "_v-1"), "maxima")
+    found = rows.groupBy(*by).agg(F.max(F.coalesce("_peak", F.lit(False))).alias("_any"))
+    rows = rows.join(found, by) if by else rows.crossJoin(found)
+    few = F.col("_n") < 3
+    short = rows.filter(few).filter(F.col(order) < F.col("_first") + top).select(*by, order, value)
+    left = rows.filter(~few & (F.col("_peak") | ~F.col("_any"))).select(*by, order, value)
+    kept, strip = None, F.floor(F.col(order) / gap)
+    left = cut(left, "maxima-left")
+    while left.limit(1).count():
+        near = Window.partitionBy(*by, "_strip").orderBy(order).rangeBetween(-gap + 1, gap - 1)
+        best = F.max(F.struct(F.col(value), -F.col(order))).over(near)
+        wide = left.withColumn("_strip", F.explode(F.array(strip - 1, strip, strip + 1))).withColumn("_best", best).filter(F.col("_strip") == strip)
+        wide = wide.withColumn("_wins", F.struct(F.col(value), -F.col(order)) == F.col("_best"))
+        # whoever wins covers all within its reach; a second pass over the strips marks the covered
+        marked = cut(wide.drop("_strip", "_best"), "maxima-round")
+        covers = F.max(F.col("_wins")).over(near)
+        left = marked.withColumn("_strip", F.explode(F.array(strip - 1, strip, strip + 1))).withColumn("_covered", covers).filter((F.col("_strip") == strip) & ~F.col("_covered")).select(*by, order, value)
+        left = cut(left, "maxima-left")
+        won = marked.filter("_wins").select(*by, order, value)
+        kept = won if kept is None else kept.unionByName(won)
+    if kept is None:
+        return short
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(value), order))
+    return short.unionByName(kept.withColumn("_r", place).filter(F.col("_r") <= top).drop("_r"))
