@@ -220,7 +220,13 @@ def choice_moments(x: np.ndarray, chosen: int, beta: np.ndarray) -> tuple[float,
 
 
 def swap_null(pairs: np.ndarray, seed: int, burn: int = 20, thin: int = 8, draws: int = 1):
-    """Bipartite edge sets with the same margins on both sides, by random swaps; yields one edge array for each draw.
+    """The edge sets of ``swap_walk``."""
+    for edges, _ in swap_walk(pairs, seed, burn, thin, draws):
+        yield edges
+
+
+def swap_walk(pairs: np.ndarray, seed: int, burn: int = 20, thin: int = 8, draws: int = 1):
+    """Bipartite edge sets with the same margins on both sides, by random swaps; yields the edges and the swaps accepted for each draw.
 
     ``burn`` accepted swaps an edge come first and ``thin`` before each draw.
     Of a table more than half full the empty cells are swapped, which is the
@@ -257,9 +263,9 @@ def swap_null(pairs: np.ndarray, seed: int, burn: int = 20, thin: int = 8, draws
             grid[:] = True
             if edges:
                 grid[tuple(np.array(edges).T)] = False
-            yield np.argwhere(grid)
+            yield np.argwhere(grid), done
         else:
-            yield np.array(edges)
+            yield np.array(edges), done
 
 
 def ridge_logit(x: np.ndarray, y: np.ndarray, strength: float = 1.0, rounds: int = 50) -> np.ndarray:

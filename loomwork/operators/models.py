@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.functions.kernels import choice_moments, ridge_logit, swap_null
+from loomwork.functions.kernels import choice_moments, ridge_logit, swap_walk
 from loomwork.sources.store import cut
 
 
@@ -122,32 +122,45 @@ def ols(df: DataFrame, outcome: str, features: Sequence[str]) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "term string, coefficient double, se double, low double, high double, r2 double, n long")
 
 
-def swap_null_jaccard(sup: DataFrame, draws: int, seed: int = 7, entity: str = "actor", category: str = "topic", burn: int = 20, thin: int = 8, chains: int = 8) -> DataFrame:
-    """draw, jaccard: mean pair overlap in random supports with both margins kept.
+def swap_chains(sup: DataFrame, by: Sequence[str], draws: int, chains: int = 8, seed: int = 7, burn: int = 20, thin: int = 8, entity: str = "actor", category: str = "topic", label: str | None = None) -> DataFrame:
+    """by, draw, labels, jaccard, pairs, accepted: mean overlap of the pairs of entities in random supports that keep both margins, by the labels of the two.
 
-    Chains run side by side, one a task, each with its own seed; what they
-    start from is the support, which is broadcast: at most actors x topics.
+    Chains run side by side: the edges of a group are sent to each of its
+    chains, so every group and chain is a task of its own and nothing goes
+    through the driver.  A group is a support, no larger than entities x
+    categories.  ``accepted``: the swaps made for the draw; a group that allows
+    none repeats itself.  Without a label the labels are empty; pairs are those
+    of entities that hold anything.
     """
-    pairs = sup.select(entity, category).orderBy(entity, category).toPandas()
-    codes = np.stack([pairs[c].astype("category").cat.codes.to_numpy() for c in (entity, category)], axis=1)
-    shared = sup.sparkSession.sparkContext.broadcast(codes)
-    each = -(-draws // chains)
-
-    def run(batches):
-        for b in batches:
-            for chain in b["chain"]:
-                n, m = (shared.value.max(axis=0) + 1) if len(shared.value) else (0, 0)
-                out = []
-                for k, edges in enumerate(swap_null(shared.value, seed + int(chain), burn, thin, each)):
-                    x = np.zeros((n, m))
-                    x[edges[:, 0], edges[:, 1]] = 1
-                    both, size = x @ x.T, x.sum(axis=1)
-                    i, j = np.triu_indices(n, 1)
-                    out.append((int(chain) * each + k, float(np.mean(both[i, j] / (size[i] + size[j] - both[i, j])))))
-                yield pd.DataFrame(out, columns=["draw", "jaccard"])
-
-    start = sup.sparkSession.range(0, chains, 1, chains).select(F.col("id").alias("chain"))
-    return start.mapInPandas(run, "draw long, jaccard double").filter(F.col("draw") < draws)
+    by, each = list(by), -(-draws // chains)
+    rows = sup.select(*by, F.col(entity).cast("string").alias("_e"), F.col(category).cast("string").alias("_c"), (F.col(label).cast("string") if label else F.lit("")).alias("_l")).distinct()
+    kinds = dict(rows.dtypes)
+    sent = rows.withColumn("_chain", F.explode(F.sequence(F.lit(0), F.lit(chains - 1))))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, chain = pdf.sort_values(["_e", "_c"], kind="stable"), int(pdf["_chain"].iloc[0])
+        rows_, columns = pdf["_e"].astype("category"), pdf["_c"].astype("category")
+        codes = np.stack([rows_.cat.codes.to_numpy(), columns.cat.codes.to_numpy()], axis=1).astype(int)
+        names = pdf.groupby("_e", observed=True)["_l"].first().reindex(rows_.cat.categories).to_numpy()
+        i, j = np.triu_indices(len(names), 1)
+        pair = np.array(["-".join(sorted((names[a], names[b]))) if label else "" for a, b in zip(i, j, strict=True)], dtype=object)
+        out = []
+        for k, (edges, accepted) in enumerate(swap_walk(codes, seed + chain, burn, thin, each)):
+            x = np.zeros((len(names), len(columns.cat.categories)))
+            x[edges[:, 0], edges[:, 1]] = 1
+            both, size = x @ x.T, x.sum(axis=1)
+            value = both[i, j] / (size[i] + size[j] - both[i, j])
+            found = pd.DataFrame({"labels": pair, "v": value}).groupby("labels")["v"].agg(["mean", "size"])
+            out += [(*pdf[by].iloc[0], chain * each + k, l, float(m), int(n), accepted) for l, m, n in found.itertuples()]
+        return pd.DataFrame(out, columns=[*by, "draw", "labels", "jaccard", "pairs", "accepted"])
+
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in by] + ["draw long, labels string, jaccard double, pairs long, accepted long"])
+    return sent.groupBy(*by, "_chain").applyInPandas(run, schema).filter(F.col("draw") < draws)
+
+
+def swap_null_jaccard(sup: DataFrame, draws: int, seed: int = 7, entity: str = "actor", category: str = "topic", burn: int = 20, thin: int = 8, chains: int = 8) -> DataFrame:
+    """draw, jaccard: mean pair overlap in random supports with both margins kept."""
+    return swap_chains(sup, (), draws, chains, seed, burn, thin, entity, category).select("draw", "jaccard")
 
 
 def retain_adopt(panel: DataFrame, rounds: int = 25) -> tuple[DataFrame, DataFrame]:

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.operators import cube, models, pairs, resample, space, stats
 from loomwork.plans.facts import SQL, activity, table
 from loomwork.plans.queries_space import counts, edges, rounded, yearly
 from loomwork.plans.registry import ORACLES, query
+from loomwork.sources.store import cut
 
 PAIRS = SQL + """, k AS (SELECT actor, count(*) AS k FROM sup GROUP BY actor), shd AS (SELECT a.actor AS a, b.actor AS b, count(*) AS n FROM sup a JOIN sup b ON a.topic = b.topic AND a.actor < b.actor GROUP BY ALL),
 po AS (SELECT x.actor AS a, y.actor AS b, x.k AS k_a, y.k AS k_b, coalesce(n, 0) AS shared, x.k + y.k - coalesce(n, 0) AS "union", coalesce(n, 0) * 1.0 / (x.k + y.k - coalesce(n, 0)) AS jaccard
@@ -205,22 +203,23 @@ def j12(spark, d):
     return resample.weighted_row_null(held(spark, d), 5, seed=7)
 
 
+def both_bases(spark, d):
+    """start, end, basis, actor, topic: what actors hold in every block of ten years, by support (rpa) and by any activity (presence)."""
+    facts = activity(spark, d)
+    first, last = facts.agg(F.min("year"), F.max("year")).first()
+    by = ["period_start", "period_end"]
+    x = cut(cube.count_cube(cube.assign_blocks(facts, "year", 10, first or 0, last or 0), [*by, "actor", "topic"]), "blocks")
+    of = lambda sup, basis: sup.select(F.col("period_start").alias("start"), F.col("period_end").alias("end"), F.lit(basis).alias("basis"), "actor", "topic")
+    return of(space.support(x, by), "rpa").unionByName(of(x, "presence"))
+
+
 @query("j13_null_summary", None)
 def j13(spark, d):
     """By block of ten years and basis (support, any activity), against 400 tables with both margins kept."""
-    facts = activity(spark, d)
-    first, last = facts.agg(F.min("year"), F.max("year")).first()
-    null, seen = [], []
-    for start, end in cube.block_periods(first, last, 10) if first is not None else []:
-        x = cube.count_cube(facts.filter(F.col("year").between(start, end)), ["actor", "topic"])
-        for basis, sup in (("rpa", space.support(x)), ("presence", x)):
-            sup = sup.select("actor", "topic")
-            named = [F.lit(start).alias("start"), F.lit(end).alias("end"), F.lit(basis).alias("basis")]
-            null.append(models.swap_null_jaccard(sup, draws=400).select(*named, "jaccard"))
-            seen.append(pairs.pair_overlap(sup).agg(F.avg("jaccard").alias("jaccard")).select(*named, "jaccard"))
-    if not null:
-        null = seen = [spark.createDataFrame([], "start int, end int, basis string, jaccard double")]
-    return resample.null_summary(reduce(DataFrame.unionByName, null), reduce(DataFrame.unionByName, seen).dropna(), "jaccard", ("start", "end", "basis"))
+    by = ("start", "end", "basis")
+    sup = both_bases(spark, d)
+    seen = pairs.pair_overlap(sup, by).groupBy(*by).agg(F.avg("jaccard").alias("jaccard"))
+    return resample.null_summary(models.swap_chains(sup, by, 400).select(*by, "jaccard"), seen, "jaccard", by)
 
 
 @query("i06_vector_cosine", """WITH e AS (SELECT vec_id, embedding AS v FROM embeddings), p AS (SELECT a.vec_id AS i, b.vec_id AS j, list_sum(list_transform(range(1, 65), lambda k: CAST(a.v[k] AS DOUBLE) * b.v[k])) AS d,
