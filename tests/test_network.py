@@ -69,7 +69,7 @@ def test_swap_chains_keep_margins_and_count_swaps(spark):
     got = models.swap_chains(sup, ["g"], 20, chains=3, burn=3, thin=2, label="region").toPandas()
     for g, e in groups.items():
         mine = got[got.g == g]
-        assert sorted(mine["draw"].unique()) == list(range(20)) and set(mine["labels"]) == {"even-even", "even-odd", "odd-odd"}
+        assert sorted(mine["draw"].unique()) == list(range(20)) and set(mine["labels"]) == {"even-even", "even-odd"} | ({"odd-odd"} if g != "full" else set())
         n = len(set(e[:, 0]))
         assert (mine.groupby("draw")["pairs"].sum() == n * (n - 1) // 2).all()
         assert ((mine["accepted"] >= 2 * len(e)) if g != "full" else (mine["accepted"] == 0) & (mine["jaccard"] == 1)).all()
