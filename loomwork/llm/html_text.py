@@ -5,12 +5,13 @@ between block boundaries.  Each line has its text-to-tag ratio, weighed by
 features: text in links does not count, elements that are boilerplate by tag,
 role, class or id keep ``FAINT`` of it, and an article or main element has
 ``STRONG`` times it.  The ratios of a page are smoothed with a Gaussian (over
-lines that are alike in being boilerplate), and a threshold of ``LAMBDA``
-standard deviations makes two clusters of lines.  Regions are the innermost
-sections, divisions, cells and boilerplate elements.  From the page down, the
-element that still holds ``HELD`` of the content cluster's (weighted) text is
-taken; in it the regions most of whose text is in the cluster are kept whole, so a short
-paragraph between long ones is not lost.
+lines that are alike in being boilerplate or nothing but links), and a threshold of ``LAMBDA``
+standard deviations makes two clusters.  Regions are the innermost sections,
+divisions, cells and boilerplate elements; an article or main element is one
+region with all that is in it but boilerplate, so that neither its short
+paragraphs nor its tables are judged alone.  A region is content if the mean
+smoothed ratio of its text reaches the threshold, and is then kept whole.  If
+none reaches it, the region of the greatest mean is kept.
 
 Defined results: null or empty html gives the empty string; broken markup is
 read as far as the parser goes; of regions with equal content (ties) the first
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from loomwork.llm._shared import documents
 
 LAMBDA, SIGMA = 0.5, 1.0
-FAINT, STRONG, HELD = 0.02, 1.5, 0.75
+FAINT, STRONG = 0.002, 1.5
 #: Elements without readable text, and those that are boilerplate by their tag.
 MUTE = frozenset("script style noscript template svg math iframe object select option button textarea canvas audio video head title label datalist".split())
 BOILERPLATE = frozenset("nav aside footer header form dialog menu".split())
@@ -52,17 +53,25 @@ MARKS = frozenset(
     "footer header masthead cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup login share sharing social comment "
     "comments commentlist disqus respond reply replies related recommended popup modal overlay widget pagination pager search toolbar complementary contentinfo".split()
 )
+#: Words that only say what shape an element has.
+LAYOUT = frozenset("area bar block body box button buttons column container content form group holder icons inner item items left link links list panel right row section slot top bottom unit wrap wrapper".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _NAME = re.compile(r"[A-Za-z]+")
 
 
+def _is_mark(name: str) -> bool:
+    """A mark by itself, at the end of a compound name (site-footer), or before a word of layout (ad-box); a share-price is none."""
+    parts = _NAME.findall(name)
+    if not parts or parts[0] in ("has", "with", "no", "without"):
+        return False
+    return "".join(parts) in MARKS or parts[-1] in MARKS or (parts[0] in MARKS and LAYOUT.issuperset(parts[1:]))
+
+
 def _marked(attrs: list) -> bool:
     for key, value in attrs:
         if key in ("class", "id", "role") and value:
-            for name in value.split():
-                parts = _NAME.findall(name.lower())
-                if parts and parts[0] not in ("has", "with", "no", "without") and not MARKS.isdisjoint(parts):
-                    return True
+            if any(map(_is_mark, value.lower().split())):
+                return True
         elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and value and "display:none" in value.replace(" ", "").lower()):
             return True
     return False
@@ -84,12 +93,12 @@ class Line:
 
 
 class Lines(HTMLParser):
-    """The lines of one page, and the region that holds each region."""
+    """The lines of one page, each with its region."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self.parents = [0]
+        self.regions = 1
         #: Open elements: tag and what held outside: mute, boilerplate, own (article or main), link, region.
         self.stack: list[tuple] = []
         self.mute = self.bad = self.own = self.link = False
@@ -121,15 +130,14 @@ class Lines(HTMLParser):
             while self.stack and self.stack[-1][0] in ("head", "title"):
                 self.pop()
         self.stack.append((tag, self.mute, self.bad, self.own, self.link, self.region))
-        own_header = tag == "header" and self.own
+        own_header, within = tag == "header" and self.own, self.own
         marked = tag not in ("html", "body") and not own_header and bool(attrs) and _marked(attrs)
         self.bad = self.bad or marked or (tag in BOILERPLATE and not own_header)
         self.mute = self.mute or tag in MUTE
         self.own = self.own or tag in ("article", "main")
         self.link = self.link or tag == "a"
-        if tag in REGIONS or marked:
-            self.parents.append(self.region)
-            self.region = len(self.parents) - 1
+        if marked or tag in BOILERPLATE - ({"header"} if own_header else set()) or (tag in REGIONS and not within):
+            self.region, self.regions = self.regions, self.regions + 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -179,34 +187,19 @@ def smoothed(ratios: list[float], alike: list, sigma: float = SIGMA) -> list[flo
     return out
 
 
-def content_lines(lines: list[Line]) -> list[bool]:
-    """Which lines are in the content cluster: those whose smoothed ratio reaches the threshold."""
-    level = smoothed([x.ratio for x in lines], [x.weight == FAINT for x in lines])
+def chosen_regions(lines: list[Line]) -> set[int]:
+    """The regions in the content cluster: the mean smoothed ratio of their text reaches the threshold."""
+    level = smoothed([x.ratio for x in lines], [x.weight == FAINT or x.linked >= len(x.text) for x in lines])
     mean = sum(level) / len(level)
     threshold = LAMBDA * math.sqrt(sum((x - mean) ** 2 for x in level) / len(level))
-    return [x > 0 and x >= threshold for x in level]
-
-
-def chosen_regions(lines: list[Line], content: list[bool], parents: list[int]) -> set[int]:
-    """The regions that the content cluster chooses."""
-    size, good = [0.0] * len(parents), [0.0] * len(parents)
-    for x, c in zip(lines, content, strict=True):
-        size[x.region] += x.weight * len(x.text)
-        good[x.region] += x.weight * len(x.text) if c else 0
-    below = list(good)
-    for r in range(len(parents) - 1, 0, -1):
-        below[parents[r]] += below[r]
-    children: dict[int, list[int]] = {}
-    for r in range(1, len(parents)):
-        children.setdefault(parents[r], []).append(r)
-    top = 0
-    while heirs := [r for r in children.get(top, ()) if below[r] >= HELD * below[top] > good[top]]:
-        top = heirs[0]
-    inside = [r == top for r in range(len(parents))]
-    for r in range(top + 1, len(parents)):
-        inside[r] = inside[parents[r]]
-    best = max((r for r in range(len(parents)) if inside[r]), key=lambda r: good[r])
-    return {r for r in range(len(parents)) if inside[r] and good[r] and (r == best or (2 * good[r] >= size[r] and 10 * good[r] >= good[best]))}
+    size: dict[int, int] = {}
+    total: dict[int, float] = {}
+    for x, height in zip(lines, level, strict=True):
+        size[x.region] = size.get(x.region, 0) + len(x.text)
+        total[x.region] = total.get(x.region, 0.0) + height * len(x.text)
+    means = {r: total[r] / size[r] for r in size}
+    found = {r for r, m in means.items() if m > 0 and m >= threshold}
+    return found or {max(means, key=means.get)}
 
 
 def main_text(html: str | None) -> str:
@@ -215,7 +208,7 @@ def main_text(html: str | None) -> str:
     lines = page.read(html) if html else []
     if not lines:
         return ""
-    chosen = chosen_regions(lines, content_lines(lines), page.parents)
+    chosen = chosen_regions(lines)
     return " ".join(x.text for x in lines if x.region in chosen)
 
 
