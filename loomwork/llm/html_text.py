@@ -5,7 +5,7 @@ between block boundaries.  Each line has its text-to-tag ratio, weighed by
 features: text in links does not count, elements that are boilerplate by tag,
 role, class or id keep ``FAINT`` of it, and an article or main element has
 ``STRONG`` times it.  The ratios of a page are smoothed with a Gaussian (over
-lines that are alike in being boilerplate or nothing but links), and a threshold of ``LAMBDA``
+lines that are alike in being boilerplate or mostly links), and a threshold of ``LAMBDA``
 standard deviations makes two clusters.  Regions are the innermost sections,
 divisions, cells and boilerplate elements; an article or main element is one
 region with all that is in it but boilerplate, so that neither its short
@@ -189,7 +189,7 @@ def smoothed(ratios: list[float], alike: list, sigma: float = SIGMA) -> list[flo
 
 def chosen_regions(lines: list[Line]) -> set[int]:
     """The regions in the content cluster: the mean smoothed ratio of their text reaches the threshold."""
-    level = smoothed([x.ratio for x in lines], [x.weight == FAINT or x.linked >= len(x.text) for x in lines])
+    level = smoothed([x.ratio for x in lines], [x.weight == FAINT or 2 * x.linked >= len(x.text) for x in lines])
     mean = sum(level) / len(level)
     threshold = LAMBDA * math.sqrt(sum((x - mean) ** 2 for x in level) / len(level))
     size: dict[int, int] = {}

@@ -32,7 +32,7 @@ def test_what_is_inside_an_article(inner, text):
 def plain_choice(lines):
     """The same by matrices: a dense Gaussian among like lines, then means of regions weighed by text."""
     n = len(lines)
-    faint = np.array([x.weight == FAINT or x.linked >= len(x.text) for x in lines])
+    faint = np.array([x.weight == FAINT or 2 * x.linked >= len(x.text) for x in lines])
     ratio = np.array([x.weight * max(0, len(x.text) - x.linked) / max(1, x.tags) for x in lines])
     gap = np.abs(np.arange(n)[:, None] - np.arange(n))
     w = np.exp(-(gap**2) / (2 * SIGMA**2)) * (gap <= np.ceil(3 * SIGMA)) * (faint[:, None] == faint)
