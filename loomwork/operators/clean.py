@@ -76,14 +76,59 @@ def slug(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(c), r"[^a-z0-9]+", "-"), r"^-+|-+$", "")
 
 
+def _bare_letters() -> tuple[str, str]:
+    """Every character whose compatibility decomposition is one ASCII character and marks, and that character; and the rest of its kind."""
+    from sys import maxunicode
+    from unicodedata import combining, normalize
+
+    plain = {}
+    for code in range(128, maxunicode + 1):
+        c = chr(code)
+        parts = [x for x in normalize("NFKD", c) if not combining(x)]
+        if len(parts) == 1 and parts[0] < "\x80":
+            plain[c] = parts[0]
+    return "".join(plain), "".join(plain.values())
+
+
+def ascii_letters(c: Column) -> Column:
+    """NFKD without what is not ASCII: letters lose their marks, wide and stylised forms become plain ones, all else beyond ASCII goes.
+
+    Characters that decompose into several (ligatures, fractions) go too, but
+    for the ligatures of f and the digraphs listed.
+    """
+    for long, short in {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ĳ": "ij", "Ĳ": "IJ", "…": "...", "™": "TM", "№": "No"}.items():
+        c = F.replace(c, F.lit(long), F.lit(short))
+    return F.regexp_replace(F.translate(c, *_bare_letters()), r"[^\x00-\x7F]", "")
+
+
 def plain_name(c: Column) -> Column:
     """A name for matching: no accents, ``&`` as and, no quotes, brackets or signs."""
-    accents = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ", "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY")
-    flat = F.lower(F.translate(c, *accents))
+    flat = F.lower(ascii_letters(c))
     flat = F.regexp_replace(F.regexp_replace(F.replace(flat, F.lit("&"), F.lit(" and ")), r"\([^)]*\)", " "), r"['’`\"]", "")
     return F.trim(F.regexp_replace(flat, r"[^a-z0-9]+", " "))
 
 
+def wrapped(c: Column, width: int, lines: int) -> Column:
+    """The words in lines of at most ``width`` characters (a longer word has its own), joined by newlines; words beyond ``lines`` lines become an ellipsis.
+
+    The last line then ends in three dots, and loses its own end if it has no room for them.
+    """
+    words = F.filter(F.split(F.trim(c), r"\s+"), lambda w: w != "")
+    empty = F.array().cast("array<string>")
+
+    def add(state: Column, w: Column) -> Column:
+        last = F.element_at(state, -1)
+        joined = F.concat(last, F.lit(" "), w)
+        fits = F.length(joined) <= width
+        return F.when(F.size(state) == 0, F.array(w)).when(fits, F.concat(F.slice(state, 1, F.size(state) - 1), F.array(joined))).otherwise(F.concat(state, F.array(w)))
+
+    folded = F.aggregate(words, empty, add)
+    last = folded[lines - 1]
+    cut = F.when(F.length(last) >= width - 1, F.rtrim(F.substring(last, 1, max(1, width - 2)))).otherwise(last)
+    short = F.concat(F.slice(folded, 1, lines - 1), F.array(F.concat(F.regexp_replace(cut, r"\.+$", ""), F.lit("..."))))
+    return F.array_join(F.when(F.size(folded) <= lines, folded).otherwise(short), "\n")
+
+
 def short_label(c: Column, words: Mapping[str, str], width: int) -> Column:
     """Words replaced by shorter ones in order, then cut to ``width`` characters with an ellipsis."""
     for long, short in words.items():

@@ -48,6 +48,30 @@ def adoption_panel(sup: DataFrame, edges: DataFrame, categories: DataFrame, enti
     )
 
 
+def lookback_panel(sup: DataFrame, edges: DataFrame, categories: DataFrame, entities: int, lags: Sequence[int], weight: str = "phi") -> DataFrame:
+    """The adoption panel for every lag at once, with the column ``lookback``: ``lag`` periods lie between prev and period.
+
+    What an entity holds, its closeness and the popularity belong to the
+    earlier period alone: they are made once and joined to the pairs of
+    periods, so the facts are read once for all lags.
+    """
+    places = sup.select("period").distinct().withColumn("_n", F.row_number().over(Window.orderBy("period")))
+    steps = places.select(F.col("period").alias("prev"), F.col("_n").alias("_m"), F.explode(F.array(*map(F.lit, lags))).alias("lookback"))
+    steps = steps.join(places, F.col("_n") == F.col("_m") + F.col("lookback")).select("lookback", "prev", "period")
+    prior = sup.withColumnRenamed("period", "prev")
+    held = prior.groupBy("prev", "actor").agg(F.count(F.lit(1)).alias("prev_diversity"))
+    near = both_ways(edges, weight).select(F.col("i").alias("topic"), F.col("j").alias("_held"), weight)
+    best = prior.withColumnRenamed("topic", "_held").join(near, "_held").groupBy("prev", "actor", "topic").agg(F.max(weight).alias("closeness"))
+    pop = popularity(sup, F.lit(entities)).withColumnRenamed("period", "prev")
+    at = ["prev", "actor", "topic"]
+    risk = held.crossJoin(categories).join(prior, at, "left_anti").join(best, at, "left").join(pop, ["prev", "topic"], "left")
+    out = risk.join(steps, "prev").join(sup.withColumn("adopted", F.lit(1)), ["period", "actor", "topic"], "left")
+    return out.select(
+        "lookback", "prev", "period", "actor", "topic", F.coalesce("adopted", F.lit(0)).alias("adopted"), F.coalesce("closeness", F.lit(0.0)).alias("closeness"),
+        "prev_diversity", F.coalesce("popularity", F.lit(0.0)).alias("popularity"),
+    )
+
+
 def persistence_panel(sup: DataFrame, edges: DataFrame, lag: int = 1, weight: str = "phi") -> DataFrame:
     """One row for each held category: whether it is held in the next period, and its closeness to the *other* held ones (null if there are none linked)."""
     steps = transitions(sup.select("period").distinct(), lag=lag)
@@ -118,6 +142,18 @@ def spells(activity: DataFrame, last: int, gap: int, keys: Sequence[str] = ("act
     return rows.filter(entry).select(*keys, F.col(time).alias("start"), length.cast("int").alias("duration"), ended.cast("int").alias("event"))
 
 
+def every_step(curve: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """A survival curve with a row for each whole t from 0 to its last: those without an exit have no events and what survives before them."""
+    by = list(by)
+    last = curve.groupBy(*by).agg(F.max("t").alias("_last"))
+    steps = last.select(*by, F.explode(F.sequence(F.lit(0), F.col("_last").cast("int"))).alias("t"))
+    w = Window.partitionBy(*by).orderBy("t")
+    joined = steps.join(curve, [*by, "t"], "left")
+    after = F.first("at_risk", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    before = F.coalesce(F.last("survival", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(1.0))
+    return joined.select(*by, "t", after.alias("at_risk"), F.coalesce("events", F.lit(0).cast("long")).alias("events"), before.alias("survival"))
+
+
 def kaplan_meier(spell: DataFrame, by: Sequence[str] = (), duration: str = "duration", event: str = "event") -> DataFrame:
     """t, at_risk, events and survival at every distinct duration."""
     at = spell.groupBy(*by, F.col(duration).alias("t")).agg(F.count(F.lit(1)).alias("leaving"), F.sum(F.col(event).cast("long")).alias("events"))

@@ -81,18 +81,24 @@ def both_ways(edges: DataFrame, *weights: str) -> DataFrame:
     return edges.select("i", "j", *kept).unionByName(edges.select(F.col("j").alias("i"), F.col("i").alias("j"), *kept))
 
 
-def shortest_paths(edges: DataFrame, nodes: DataFrame, weight: Column, fill_factor: float = 1.25, rounds: int = 6) -> DataFrame:
+def shortest_paths(edges: DataFrame, nodes: DataFrame, weight: Column, fill_factor: float = 1.25, rounds: int | None = None) -> DataFrame:
     """i, j, distance over all ordered pairs of different nodes: least sums of ``weight``.
 
-    Min-plus squaring: after k rounds paths of 2^k edges are covered.  Pairs
-    that no path joins get ``fill_factor`` times the greatest distance.
+    Min-plus squaring: after k rounds paths of 2^k edges are covered; it ends
+    when a round shortens nothing, or after ``rounds``.  Pairs that no path joins get ``fill_factor`` times the greatest distance.
     ``nodes`` is the category universe, column ``node``.
     """
     d = cut(both_ways(edges.withColumn("d", weight), "d"))
-    for _ in range(rounds):
+    state, done = None, 0
+    while rounds is None or done < rounds:
+        done += 1
         via = d.select(F.col("i"), F.col("j").alias("_v"), "d").join(d.select(F.col("i").alias("_v"), "j", F.col("d").alias("_e")), "_v")
         d = d.unionByName(via.filter("i <> j").select("i", "j", (F.col("d") + F.col("_e")).alias("d"))).groupBy("i", "j").agg(F.min("d").alias("d"))
         d = cut(d)
+        # to nine digits: the order of a sum does not count as a change
+        before, state = state, tuple(d.agg(F.count(F.lit(1)), F.sum(F.round("d", 9).cast("decimal(38,9)"))).first())
+        if state == before or not state[0]:
+            break
     grid = nodes.select(F.col("node").alias("i")).crossJoin(nodes.select(F.col("node").alias("j"))).filter("i <> j")
     most = d.agg(F.max("d").alias("_most"))
     return grid.join(d, ["i", "j"], "left").crossJoin(most).select("i", "j", F.coalesce("d", F.col("_most") * fill_factor).alias("distance"))

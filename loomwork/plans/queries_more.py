@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomwork.functions import kernels
-from loomwork.operators import cube, models, pairs, resample, space, stats
+from loomwork.operators import cube, models, pairs, panel, resample, space, stats
 from loomwork.plans.facts import SQL, activity, table
 from loomwork.plans.queries_pairs import PAIRS, distances, held, overlap, places
-from loomwork.plans.queries_panel import PANEL, adoption
+from loomwork.plans.queries_panel import PANEL, adoption, edges_in, held_in, written
 from loomwork.plans.queries_space import REGIONS, edges, regions, rounded, yearly
 from loomwork.plans.registry import query
 
@@ -113,12 +113,11 @@ def _lookback(lag: int) -> str:
 
 @query("i13b_lookback_lags", " UNION ALL ".join(_lookback(k) for k in range(1, 7)))
 def i13b(spark, d):
-    """Lookbacks of one to six years."""
-    def one(lag):
-        rows = adoption(spark, d, lag=lag).filter("closeness > 0")
-        return rows.select(F.lit(lag).alias("lookback"), "prev", "period", "actor", "topic", "adopted", *rounded("closeness"), "prev_diversity", F.round(F.log("closeness"), 6).alias("log_phi"))
-
-    return reduce(DataFrame.unionByName, map(one, range(1, 7)))
+    """Lookbacks of one to six years, from one reading of the facts."""
+    cells = written(spark, d)
+    entities = cells.agg(F.count_distinct("actor")).first()[0]
+    rows = panel.lookback_panel(held_in(cells), edges_in(cells), cube.distinct_values(cells, "topic"), entities, range(1, 7)).filter("closeness > 0")
+    return rows.select("lookback", "prev", "period", "actor", "topic", "adopted", *rounded("closeness"), "prev_diversity", F.round(F.log("closeness"), 6).alias("log_phi"))
 
 
 @query("g18_mean_weights", REGIONS + """, yw AS (SELECT year, actor, region, sum(rca) AS w FROM yrca JOIN reg USING (topic) GROUP BY ALL), ys AS (SELECT *, w / sum(w) OVER (PARTITION BY year, actor) AS share FROM yw)
