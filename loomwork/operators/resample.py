@@ -107,3 +107,39 @@ def folded_permutations(df: DataFrame, key: str, chosen: str, attributes: Sequen
     each = counted.filter("k > 0 and k < n").select(F.inline(rows))
     far = F.abs(F.round("drawn", 9)) >= F.abs(F.round("observed", 9))
     return each.groupBy("attribute").agg(F.first("observed").alias("observed"), F.avg("drawn").alias("null_mean"), ((F.count(F.when(far, 1)) + 1) / (F.count(F.lit(1)) + 1)).alias("p"), F.count(F.lit(1)).alias("draws"))
+
+
+def class_pair_permutations(pairs: DataFrame, classes: DataFrame, values: Sequence[str], count: int, seed: int = 0, entity: str = "actor", label: str = "class") -> DataFrame:
+    """classes, n, and for each value its mean over the pairs of two classes, the mean of draws and the two-sided add-one p, under classes dealt anew.
+
+    ``pairs``: a, b, values.  ``classes``: entity, class.  A draw orders the
+    entities by md5 of (seed, draw, entity) and gives each the class of the
+    entity in its place.  Both tables are universes and are one row of arrays;
+    a draw folds all pairs into a row for each pair of classes that it has.
+    A mean counts as far out if it is so far from 0.
+    """
+    names = list(values)
+    known = classes.select(F.col(entity).cast("string").alias("entity"), F.col(label).cast("string").alias("class"))
+    own = known.agg(F.sort_array(F.collect_list(F.struct("entity", "class"))).alias("own"))
+    kept = pairs.join(known.toDF("a", "_x"), "a", "left_semi").join(known.toDF("b", "_y"), "b", "left_semi")
+    rows = kept.agg(F.sort_array(F.collect_list(F.struct("a", "b", F.array(*[F.col(v).cast("double") for v in names]).alias("v")))).alias("pairs"))
+    code = lambda x, y: F.concat_ws("|", F.least(x, y), F.greatest(x, y))
+    spark = pairs.sparkSession
+    draw = spark.range(0, count + 1, 1, spark.sparkContext.defaultParallelism * 4).select(F.col("id").alias("draw"))
+    key = lambda o: F.md5(F.concat(F.lit(f"{seed}:"), F.col("draw").cast("string"), F.lit(":"), o["entity"]).cast("binary"))
+    order = F.when(F.col("draw") == 0, F.col("own.entity")).otherwise(F.transform(F.array_sort(F.transform("own", lambda o: F.struct(key(o).alias("m"), o["entity"].alias("entity")))), lambda o: o["entity"]))
+    dealt = draw.crossJoin(own).crossJoin(rows).withColumn("_of", F.map_from_arrays(order, F.col("own.class")))
+    coded = dealt.withColumn("_c", F.transform("pairs", lambda p: F.struct(code(F.element_at("_of", p["a"]), F.element_at("_of", p["b"])).alias("c"), p["v"].alias("v"))))
+    zeros = F.array(*[F.lit(0.0)] * len(names))
+
+    def mean_of(c):
+        mine = F.filter("_c", lambda p: p["c"] == c)
+        total = F.aggregate(mine, zeros, lambda s, p: F.zip_with(s, p["v"], lambda x, y: x + y))
+        return F.struct(c.alias("classes"), F.size(mine).cast("long").alias("n"), F.transform(total, lambda t: t / F.size(mine)).alias("m"))
+
+    each = coded.select("draw", F.inline(F.transform(F.array_distinct(F.transform("_c", lambda p: p["c"])), mean_of)))
+    seen = each.filter("draw = 0").select("classes", "n", F.col("m").alias("o"))
+    null = each.filter("draw > 0").select("classes", "m")
+    far = lambda i: F.abs(F.round(F.col("m")[i], 9)) >= F.abs(F.round(F.col("o")[i], 9))
+    found = [(F.first(F.col("o")[i]).alias(v), F.avg(F.col("m")[i]).alias(f"{v}_null"), ((F.count(F.when(far(i), 1)) + 1) / (F.count("m") + 1)).alias(f"{v}_p")) for i, v in enumerate(names)]
+    return seen.join(null, "classes", "left").groupBy("classes", "n").agg(*[c for three in found for c in three])
