@@ -234,9 +234,11 @@ def _labelled(df: DataFrame, folds: int, held: bool) -> DataFrame:
 
 
 def _sample(rows: DataFrame, limit: int) -> DataFrame:
-    """The rows (doc_id, text, lang) of at most ``limit`` ids, those with the smallest hash."""
-    ids = rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    return rows.join(ids.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("doc_id", "text", "lang")
+    """(doc_id, text, lang) of at most ``limit`` rows of different id or text, those with the smallest hash of the id; repeated rows count once, by their first language."""
+    keyed = rows.select("doc_id", "text", "lang", F.xxhash64("text").alias("_text"))
+    keys = keyed.select("doc_id", "_text").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "_text").limit(limit).toDF("_id", "_hash")
+    taken = keyed.join(keys, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash")), "left_semi")
+    return taken.groupBy("doc_id", "_text").agg(F.min("lang").alias("lang"), F.first("text").alias("text")).select("doc_id", "text", "lang")
 
 
 def fit(df: DataFrame, folds: int = 5, sample_docs: int = SAMPLE_DOCS) -> Network:
@@ -304,7 +306,9 @@ def keep_identified(df: DataFrame, net: Network, least: float | None = None, tex
                 langs, scores = reader.label(part.column(at).to_pylist())
                 yield part.filter(pa.array([x != "und" and s >= least for x, s in zip(langs, scores, strict=True)], pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    # by number: a name with a dot in it could not be resolved
+    plain = df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
