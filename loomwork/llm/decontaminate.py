@@ -5,10 +5,11 @@ laid over every position of every benchmark item and of every text, the words
 under its ones are hashed and those under its zeros ignored.  Test and training
 hashes are joined; a text sends only the hashes that pass a bitmap of the
 test hashes, whose size is fixed (``FILTER_WORDS`` longs at most), so that a
-larger benchmark lets more through and nothing is lost.  A hit gives a diagonal
-(text position less item position).  The texts that have any are joined with
-their items and diagonals, and along each diagonal the whole item is compared:
-the best run of matches and substitutions is kept.  The masks find every run of
+larger benchmark lets more through and nothing is lost.  Test hashes that the
+same items hold at the same distances are one passage, and a text's hits on it
+one row.  A hit gives a diagonal (text position less item position).  The texts
+that have any are joined with their passages' items, and along each diagonal the
+whole item is compared: the best run of matches and substitutions is kept.  The masks find every run of
 13 words with two substitutions, of 15 with three and of 8 with none.  A run counts if it has
 ``LEAST`` matches, or four fifths of a shorter item, and at least ``IDENTITY``
 of its positions match.
@@ -84,21 +85,38 @@ def best_run(equal: np.ndarray) -> tuple[int, int, int]:
 
 
 def _seed_rows(items: DataFrame) -> DataFrame:
-    """seed, item_id, item_hash, place for every mask at every position of the items (doc_id, text, item_hash)."""
+    """seed, item_hash, place for every mask at every position of the items (text, item_hash)."""
 
     def run(batches):
         hashed = Words()
         for b in batches:
-            for item, text, name in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            for text, name in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 w = hashed(text)
                 if len(w) < LEAST_ITEM:
                     continue
                 for m in MASKS:
                     s = _seeds(w, m)
                     n = len(s)
-                    yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array([item] * n, pa.int64()), pa.array([name] * n, pa.int64()), pa.array(range(n), pa.int32())], ["seed", "item_id", "item_hash", "place"])
+                    yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array([name] * n, pa.int64()), pa.array(range(n), pa.int32())], ["seed", "item_hash", "place"])
 
-    return items.mapInArrow(run, "seed long, item_id long, item_hash long, place int")
+    return items.mapInArrow(run, "seed long, item_hash long, place int")
+
+
+def _passages(seeds: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(seed, p, q, origin) and (p, q, item_hash, delta, leads).
+
+    Seeds that the same items hold at the same distances are one passage,
+    named by two hashes of its (item, distance) pairs, so that a text meets the
+    items of a passage once and not once for each of its seeds.  The item with
+    the least hash leads; ``origin`` is the seed's place in it.
+    """
+    least = seeds.groupBy("seed").agg(F.min(F.struct("item_hash", "place")).alias("least"))
+    far = seeds.join(least, "seed").withColumn("delta", F.col("place") - F.col("least.place"))
+    named = far.groupBy("seed").agg(*[F.bit_xor(F.xxhash64(F.lit(n), "item_hash", "delta")).alias(n) for n in "pq"], F.min("least.place").alias("origin"))
+    named = materialise(named, "seed-passages")
+    leads = ((F.col("delta") == 0) & (F.col("item_hash") == F.col("least.item_hash"))).alias("leads")
+    members = far.join(named, "seed").select("p", "q", "item_hash", "delta", leads).distinct()
+    return named, materialise(members, "passage-items")
 
 
 def _bitmap(seeds: DataFrame) -> tuple[np.ndarray, int]:
@@ -161,49 +179,70 @@ def verified(words: np.ndarray, own: np.ndarray, diagonals: list[int]) -> tuple[
     return best
 
 
-def _overlaps(rows: DataFrame, items: DataFrame) -> DataFrame:
-    """_doc_id, _text_hash, times (rows that repeat both) and what ``overlaps`` gives, for rows and items (doc_id, text)."""
-    items = items.filter("text <> ''").withColumn("item_hash", F.xxhash64("text"))
-    seeds = materialise(_seed_rows(items), "seeds")
-    hits = _text_hits(rows, seeds).join(seeds, "seed")
-    each = hits.groupBy("_doc_id", "_text_hash", "item_id", "item_hash").agg(F.collect_set(F.col("at") - F.col("place")).alias("diagonals"))
-    each = materialise(each, "seed-hits")
-    names = ["n_matched", "n_compared", "item_words", "doc_start", "item_start"]
+class Hits:
+    """What the texts of ``rows`` share with ``items`` (doc_id, text), before it is verified.
 
-    def run(batches):
-        hashed, known, words = Words(), None, None
-        for b in batches:
-            found = []
-            for i, (text, item, diagonals) in enumerate(zip(*[b.column(k).to_pylist() for k in (4, 5, 6)], strict=True)):
-                if text != known:
-                    known, words = text, hashed(text)
-                if (best := verified(words, hashed(item), diagonals)) is not None:
-                    found.append((i, *best))
-            cols = list(zip(*found, strict=True)) or [()] * 6
-            take = pa.array(cols[0], pa.int64())
-            yield pa.RecordBatch.from_arrays([*[b.column(k).take(take) for k in range(4)], *[pa.array(c, pa.int32()) for c in cols[1:]]], [*b.schema.names[:4], *names])
-
-    texts = rows.join(each.select("_doc_id", "_text_hash").distinct(), same_text("doc_id", "text"), "left_semi")
-    texts = texts.groupBy("doc_id", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("times"))
-    own = items.select(F.col("doc_id").alias("i"), F.col("item_hash").alias("ih"), F.col("text").alias("item")).dropDuplicates(["i", "ih"])
-    full = each.join(texts, F.col("_doc_id").eqNullSafe(F.col("doc_id")) & (F.col("_text_hash") == F.col("h")))
-    full = full.join(own, F.col("item_id").eqNullSafe(F.col("i")) & (F.col("item_hash") == F.col("ih")))
-    schema = "_doc_id long, _text_hash long, times long, item_id long, " + ", ".join(f"{n} int" for n in names)
-    return full.select("_doc_id", "_text_hash", "times", "item_id", "text", "item", "diagonals").mapInArrow(run, schema)
+    ``shared``: _doc_id, _text_hash, p, q and how far the passage lies from its
+    origin; ``members``: the passages' items; ``texts``: the texts with a hit and
+    ``times``, the rows that repeat both id and text.
+    """
+
+    def __init__(self, rows: DataFrame, items: DataFrame):
+        items = items.filter("text <> ''").withColumn("item_hash", F.xxhash64("text"))
+        self.ids = items.select(F.col("doc_id").alias("item_id"), "item_hash").distinct()
+        self.own = items.groupBy(F.col("item_hash").alias("ih")).agg(F.first("text").alias("item"))
+        seeds = materialise(_seed_rows(items.dropDuplicates(["item_hash"]).select("text", "item_hash")), "seeds")
+        named, self.members = _passages(seeds)
+        hits = _text_hits(rows, named).join(named, "seed")
+        self.shared = materialise(hits.select("_doc_id", "_text_hash", "p", "q", (F.col("at") - F.col("origin")).alias("off")).distinct(), "seed-hits")
+        texts = rows.join(self.shared.select("_doc_id", "_text_hash").distinct(), same_text("doc_id", "text"), "left_semi")
+        texts = texts.groupBy("doc_id", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("times"))
+        self.texts = materialise(texts, "hit-texts")
+
+    def verified(self, shared: DataFrame, members: DataFrame) -> DataFrame:
+        """_doc_id, _text_hash, times, item_hash and the best run of each text and item of the passages that count."""
+        each = shared.join(members, ["p", "q"]).groupBy("_doc_id", "_text_hash", "item_hash").agg(F.collect_set(F.col("off") - F.col("delta")).alias("diagonals"))
+        names = ["n_matched", "n_compared", "item_words", "doc_start", "item_start"]
+
+        def run(batches):
+            hashed, known, words = Words(), None, None
+            for b in batches:
+                found = []
+                for i, (text, item, diagonals) in enumerate(zip(*[b.column(k).to_pylist() for k in (4, 5, 6)], strict=True)):
+                    if text != known:
+                        known, words = text, hashed(text)
+                    if (best := verified(words, hashed(item), diagonals)) is not None:
+                        found.append((i, *best))
+                cols = list(zip(*found, strict=True)) or [()] * 6
+                take = pa.array(cols[0], pa.int64())
+                yield pa.RecordBatch.from_arrays([*[b.column(k).take(take) for k in range(4)], *[pa.array(c, pa.int32()) for c in cols[1:]]], [*b.schema.names[:4], *names])
+
+        full = each.join(self.texts, F.col("_doc_id").eqNullSafe(F.col("doc_id")) & (F.col("_text_hash") == F.col("h")))
+        full = full.join(self.own, F.col("item_hash") == F.col("ih"))
+        schema = "_doc_id long, _text_hash long, times long, item_hash long, " + ", ".join(f"{n} int" for n in names)
+        return full.select("_doc_id", "_text_hash", "times", "item_hash", "text", "item", "diagonals").mapInArrow(run, schema)
 
 
 def overlaps(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row for each text and item that overlap: doc_id, item_id, n_matched, n_compared, item_words, doc_start, item_start."""
-    found = _overlaps(id_text(df, id_col, text_col), id_text(benchmark, item_col, item_text_col))
+    hits = Hits(id_text(df, id_col, text_col), id_text(benchmark, item_col, item_text_col))
+    found = hits.verified(hits.shared, hits.members).join(hits.ids, "item_hash")
     each = found.withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
     return each.select(F.col("_doc_id").alias("doc_id"), "item_id", "n_matched", "n_compared", "item_words", "doc_start", "item_start")
 
 
 def clean(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` whose text overlaps no item, with all their columns."""
-    found = _overlaps(id_text(df, id_col, text_col), id_text(benchmark, item_col, item_text_col))
+    """The rows of ``df`` whose text overlaps no item, with all their columns.
+
+    A text is first compared with the leading item of each passage that it
+    shares; only what overlaps none of these meets the passages' other items.
+    """
+    hits = Hits(id_text(df, id_col, text_col), id_text(benchmark, item_col, item_text_col))
+    gone = materialise(hits.verified(hits.shared, hits.members.filter("leads")).select("_doc_id", "_text_hash").distinct(), "overlaps")
+    left = hits.shared.alias("s").join(gone.alias("g"), F.col("s._doc_id").eqNullSafe(F.col("g._doc_id")) & (F.col("s._text_hash") == F.col("g._text_hash")), "left_anti")
+    more = materialise(hits.verified(left, hits.members.filter("not leads")).select("_doc_id", "_text_hash").distinct(), "overlaps")
     key, text_hash = unlike(df, "_doc_id"), unlike(df, "_text_hash")
-    gone = materialise(found.select(F.col("_doc_id").alias(key), F.col("_text_hash").alias(text_hash)).distinct(), "overlaps")
+    gone = gone.union(more).select(F.col("_doc_id").alias(key), F.col("_text_hash").alias(text_hash))
     return df.join(gone, same_text(id_col, text_col, key, text_hash), "left_anti")
 
 

@@ -525,3 +525,21 @@ def test_pipeline_with_odd_rows(spark):
     assert texts.count(one) == texts.count(two) == texts.count(three) == 1
     assert last.count() == kept[-1].count()
     assert [f(spark, docs.limit(0), folder).count() for _, f in corpus_pipeline.STAGES] == [0] * 5
+
+
+def test_a_passage_of_many_texts_and_items_is_one_hit_a_text(spark):
+    rng = np.random.default_rng(17)
+    words = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**9, n))
+    passage, phrase = words(20), words(9)
+    items = [(i, f"{words(15)} {passage} {words(i % 7)}") for i in range(40)] + [(100 + i, f"{phrase} {words(30)}") for i in range(40)]
+    items.append((200, f"{words(12)} {passage} {items[50][1]}"))
+    docs = [(i, f"{words(30 + i)} {passage} {words(20)}") for i in range(50)] + [(100 + i, f"{words(20)} {phrase} {words(30)}") for i in range(50)]
+    docs.append((200, f"{words(10)} {items[60][1]} {words(5)}"))
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    hits = decontaminate.Hits(d, b.select(F.col("item_id").alias("doc_id"), "text"))
+    on_text = {r["_doc_id"]: r["n"] for r in hits.shared.groupBy("_doc_id").agg(F.count("*").alias("n")).collect()}
+    assert max(n for i, n in on_text.items() if i < 100) == 1
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.overlaps(d, b).collect()}
+    shared = [i for i, t in items if passage in t]
+    assert found == {(i, k) for i in range(50) for k in shared} | {(200, items[60][0])}
+    assert {r["doc_id"] for r in decontaminate.clean(d, b).collect()} == set(range(100, 150))
