@@ -6,11 +6,11 @@ over the counts of all vote patterns estimates each labeller's accuracies and
 the class prior, and so the probability of the class given the votes.  These
 probabilities are the targets of a linear scorer over hashed features (words,
 their beginnings, and shares of odd tokens), trained by follow-the-regularised-leader
-on at most ``SAMPLE`` documents, the ones with the smallest hash of their id.
+on at most ``SAMPLE`` documents (different id or text), the ones with the smallest hash of their id.
 The scorer then reads the whole text of every document.
 
-The labellers are learnt from at most ``SAMPLE`` labelled documents, again
-those with the smallest hash.  For quality, each share of odd tokens has a cut
+The labellers are learnt from at most ``SAMPLE`` labelled documents (different
+id or text), again those with the smallest hash.  For quality, each share of odd tokens has a cut
 that bad documents reach and good ones hardly do (without labels ``CUTS``).  For
 toxicity, each half of the sample gives a lexicon of words and word beginnings
 that its toxic documents have and the others do not; on the documents of its
@@ -19,7 +19,8 @@ own half a lexicon abstains, as their labels vote already.
 Defined results: a null or empty text has quality 0, toxicity 0 and is not
 kept; very long texts are read whole; documents without labels get the gold
 labeller's abstention; of labels that repeat an id the greatest count; rows that
-repeat an id are scored one by one; null ids are scored like any other; without
+repeat an id are scored one by one, and those with other texts are learnt from
+as documents of their own; null ids are scored like any other; without
 any label the lexicons are empty and the heuristics decide alone; scores at a
 threshold (ties) are good and toxic; an empty table gives an empty result;
 other columns, whatever their names, are ignored.
@@ -210,10 +211,10 @@ class Linear:
         return self
 
 
-def _smallest(df: DataFrame, limit: int) -> DataFrame:
-    """At most ``limit`` ids, those with the smallest hash, as _id."""
-    ids = df.filter("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    return ids.withColumnRenamed("doc_id", "_id")
+def _smallest(df: DataFrame, limit: int, *columns: str) -> DataFrame:
+    """At most ``limit`` different values of doc_id and ``columns``, those of the ids with the smallest hash; doc_id as _id."""
+    rows = df.filter("doc_id is not null").select("doc_id", *columns).distinct().orderBy(F.xxhash64("doc_id"), "doc_id", *columns).limit(limit)
+    return rows.withColumnRenamed("doc_id", "_id")
 
 
 def best_cuts(shares: np.ndarray, good: np.ndarray) -> tuple:
@@ -278,7 +279,11 @@ def score(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     gold = gold.groupBy("doc_id").agg(*[F.max(c).alias(c) for c in ("quality", "toxic")])
     half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).cast("int").alias("half")
     taken = materialise(gold.join(_smallest(gold, sample), F.col("doc_id") == F.col("_id")).select("doc_id", half, "quality", "toxic"), "weak-labelled")
-    labelled = materialise(docs.join(taken, "doc_id"), "weak-texts")
+    named = docs.withColumn("h", F.xxhash64("text"))
+    told = materialise(named.join(taken, "doc_id"), "weak-texts")
+    learnt_from = _smallest(told, sample, "h").withColumnRenamed("h", "_h")
+    sampled = (F.col("doc_id") == F.col("_id")) & (F.col("h") == F.col("_h"))
+    labelled = materialise(told.join(learnt_from, sampled, "left_semi").dropDuplicates(["doc_id", "h"]), "weak-texts")
     learnt = sc.broadcast(labellers(labelled))
     names = [*[f"q_{x}" for x in QUALITY[:-1]], *[f"t_{x}" for x in TOXIC[:-1]]]
 
@@ -289,38 +294,37 @@ def score(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             texts = [t or "" for t in b.column(1).to_pylist()]
             votes = [tokens.votes(r, cuts) for part in small_batches(texts) for r in tokens.rows(texts[part])]
             cols = list(zip(*votes, strict=True)) or [()] * len(names)
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.int32()) for c in cols]], ["doc_id", *names])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *[pa.array(c, pa.int32()) for c in cols]], ["doc_id", "h", *names])
 
     golden = lambda c: F.coalesce(F.when(F.col(c).isin(0, 1), F.col(c)), F.lit(ABSTAIN))
     told = gold.join(taken.select("doc_id", "half"), "doc_id", "left").select("doc_id", "half", golden("quality").alias("q_gold"), golden("toxic").alias("t_gold"))
-    voted = docs.mapInArrow(vote, "doc_id long, " + ", ".join(f"{n} int" for n in names)).join(told, "doc_id", "left")
+    voted = named.mapInArrow(vote, "doc_id long, h long, " + ", ".join(f"{n} int" for n in names)).join(told, "doc_id", "left")
     own = lambda n: F.when(F.col("half") == int(n[-1]), F.lit(ABSTAIN)).otherwise(F.col(n)).alias(n)
-    voted = voted.select("doc_id", *[own(n) if n[-1] in "01" else n for n in names], *[F.coalesce(c, F.lit(ABSTAIN)).alias(c) for c in ("q_gold", "t_gold")])
+    voted = voted.select("doc_id", "h", *[own(n) if n[-1] in "01" else n for n in names], *[F.coalesce(c, F.lit(ABSTAIN)).alias(c) for c in ("q_gold", "t_gold")])
     voted = materialise(voted, "weak-votes")
 
-    ids = materialise(_smallest(voted, sample), "weak-sample")
-    targets: list[dict[int, float]] = []
-    chosen = voted.join(ids, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"]).collect()
+    ids = materialise(_smallest(voted, sample, "h").withColumnRenamed("h", "_h"), "weak-sample")
+    targets: list[dict[tuple[int, int], float]] = []
+    chosen = voted.join(ids, sampled, "left_semi").dropDuplicates(["doc_id", "h"]).collect()
     for prefix, voters in (("q_", QUALITY), ("t_", TOXIC)):
         cols = [prefix + x for x in voters]
         rows = voted.groupBy(*cols).count().orderBy(*cols).collect()
         patterns = np.array([r[:-1] for r in rows], dtype=np.int64).reshape(-1, len(cols))
         post, _, _ = estimate(patterns, np.array([r[-1] for r in rows], dtype=float), np.array([0.8] * (len(cols) - 1) + [0.95]))
         of = {tuple(p): q for p, q in zip(patterns.tolist(), post.tolist(), strict=True)}
-        targets.append({r["doc_id"]: of[tuple(r[c] for c in cols)] for r in chosen})
+        targets.append({(r["doc_id"], r["h"]): of[tuple(r[c] for c in cols)] for r in chosen})
 
     def features(batches):
         tokens = Tokens(features=True)
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
             out = [tokens.hashed(r).astype("<i4").tobytes() for part in small_batches(texts) for r in tokens.rows(texts[part])]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["doc_id", "features"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(out, pa.binary())], ["doc_id", "h", "features"])
 
-    sampled = docs.join(ids, F.col("doc_id") == F.col("_id"), "left_semi")
-    rows = sampled.mapInArrow(features, "doc_id long, features binary").dropDuplicates(["doc_id"]).collect()
-    rows.sort(key=lambda r: ((r["doc_id"] * 2654435761) % 2**32, r["doc_id"]))
+    rows = named.join(ids, sampled, "left_semi").dropDuplicates(["doc_id", "h"]).mapInArrow(features, "doc_id long, h long, features binary").collect()
+    rows.sort(key=lambda r: ((r["doc_id"] * 2654435761) % 2**32, r["doc_id"], r["h"]))
     found = [np.frombuffer(r["features"], dtype="<i4") for r in rows]
-    weights = [Linear().fit(found, np.array([t[r["doc_id"]] for r in rows])).weights().astype(np.float32) for t in targets]
+    weights = [Linear().fit(found, np.array([t[r["doc_id"], r["h"]] for r in rows])).weights().astype(np.float32) for t in targets]
     model = sc.broadcast(np.stack(weights))
 
     def apply(batches):

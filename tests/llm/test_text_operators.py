@@ -477,6 +477,24 @@ def test_quality_model(spark):
     assert quality_model.score(docs.limit(0), labels).count() == 0
 
 
+def test_texts_that_repeat_an_id_are_learnt_from_as_their_own(spark, monkeypatch):
+    sizes = {"fit": [], "cuts": []}
+    fit, cuts = quality_model.Linear.fit, quality_model.best_cuts
+    monkeypatch.setattr(quality_model.Linear, "fit", lambda self, rows, target, *a: (sizes["fit"].append(len(rows)), fit(self, rows, target, *a))[1])
+    monkeypatch.setattr(quality_model, "best_cuts", lambda shares, good: (sizes["cuts"].append(len(good)), cuts(shares, good))[1])
+    r = random.Random(29)
+    text = lambda k: " ".join(r.choice(["river", "stone", "cloud"]) + str(k) for _ in range(20))
+    rows = [(i % 12, text(i)) for i in range(60)] + [(i % 12, " ".join(["%%%", "x#"] * 15) + f" {i}") for i in range(60)] + [(3, None), (None, "a b c d")]
+    rows += rows[:30]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(12)], "doc_id long, quality int, toxic int")
+    scored = []
+    for order in (rows, rows[::-1]):
+        out = quality_model.score(spark.createDataFrame(order, "doc_id long, text string").repartition(3), labels, sample=50).collect()
+        scored.append(sorted((x["doc_id"] or -1, x["quality_score"], x["toxic_score"]) for x in out))
+    assert scored[0] == scored[1] and len(scored[0]) == len(rows)
+    assert set(sizes["fit"]) == {50} and set(sizes["cuts"]) == {50}
+
+
 def test_held_out_labels(spark):
     """Labels of a quarter of the documents are kept back."""
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
