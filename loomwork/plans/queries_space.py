@@ -106,10 +106,14 @@ def i39(spark, d):
     return ends.crossJoin(n).select("topic", "degree", *rounded("strength"), F.round(F.col("degree") / (F.col("_n") - 1), 6).alias("centrality"))
 
 
-@query("i08_shortest_path", SQL + """, u AS (SELECT DISTINCT topic FROM fact), e0 AS (SELECT i, j, -ln(phi) AS d FROM phi UNION ALL SELECT j, i, -ln(phi) FROM phi),
+PATHS = SQL + """, u AS (SELECT DISTINCT topic FROM fact), e0 AS (SELECT i, j, -ln(phi) AS d FROM phi UNION ALL SELECT j, i, -ln(phi) FROM phi),
 """ + ",\n".join(
     f"e{k} AS (SELECT i, j, min(d) AS d FROM (SELECT i, j, d FROM e{k - 1} UNION ALL SELECT a.i, b.j, a.d + b.d FROM e{k - 1} a JOIN e{k - 1} b ON a.j = b.i WHERE a.i <> b.j) GROUP BY i, j)" for k in range(1, 7)
-) + """ SELECT a.topic AS i, b.topic AS j, round(coalesce(d, 1.25 * (SELECT max(d) FROM e6)), 6) AS distance FROM u a JOIN u b ON a.topic <> b.topic LEFT JOIN e6 ON i = a.topic AND j = b.topic""")
+) + """
+"""
+
+
+@query("i08_shortest_path", PATHS + """SELECT a.topic AS i, b.topic AS j, round(coalesce(d, 1.25 * (SELECT max(d) FROM e6)), 6) AS distance FROM u a JOIN u b ON a.topic <> b.topic LEFT JOIN e6 ON i = a.topic AND j = b.topic""")
 def i08(spark, d):
     nodes = cube.distinct_values(activity(spark, d), "topic").withColumnRenamed("topic", "node")
     return space.shortest_paths(edges(spark, d), nodes, -F.log("phi")).select("i", "j", *rounded("distance"))
