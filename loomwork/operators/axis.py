@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomwork.operators.stats import spearman
 from loomwork.sources.store import cut
 
 
@@ -151,3 +152,45 @@ def least_inertia(points: DataFrame, most: int, key: str = "topic", x: str = "po
     by = Window.orderBy("k")
     gained = out.withColumn("gain", F.lag("inertia").over(by) - F.col("inertia"))
     return gained.withColumns({"relative_gain": F.try_divide("gain", F.lag("inertia").over(by)), "elbow": F.lag("gain").over(by) - F.col("gain")})
+
+
+def _pair_cosines(rows: DataFrame, by: Sequence[str], feature: str, value: str) -> DataFrame:
+    """by, a, b, cosine of the actors a < b that share a feature; an actor's pairs are those of the entity universe."""
+    by = list(by)
+    size = rows.groupBy(*by, "actor").agg(F.sqrt(F.sum(F.col(value) * F.col(value))).alias("_n"))
+    unit = rows.join(size, [*by, "actor"]).select(*by, feature, "actor", (F.col(value) / F.col("_n")).alias("u"))
+    other = unit.select(*by, feature, F.col("actor").alias("b"), F.col("u").alias("_u"))
+    both = unit.withColumnRenamed("actor", "a").join(other, [*by, feature]).filter("a < b")
+    return both.groupBy(*by, "a", "b").agg(F.sum(F.col("u") * F.col("_u")).alias("cosine"))
+
+
+def region_validation(spec: DataFrame, regions: DataFrame, anchored: float = 0.7) -> DataFrame:
+    """k and how well its regions stand for the portfolios: one row for each number of centres.
+
+    ``spec``: actor, topic, rca.  ``regions``: what ``centre_regions`` gives, with
+    each topic's unsmoothed ``excess``.  inertia: weighted squares around the
+    centres; rho: rank correlation, over all pairs of actors, of the cosines of
+    their excess by topic and by region (to nine digits); mean_dominant,
+    median_dominant, anchored: of the actors' greatest shares, and how many reach
+    ``anchored``; least_topics, least_signal: of the smallest region; regions: how
+    many are left.  Actors without excess take no part.
+    """
+    over = cut(spec.filter("rca > 1").select("actor", "topic", (F.col("rca") - 1).alias("e")), "over")
+    mass = over.join(regions.select("k", "topic", "region"), "topic").groupBy("k", "actor", "region").agg(F.sum("e").alias("m"))
+    total = over.groupBy("actor").agg(F.sum("e").alias("_t"))
+    share = cut(mass.join(total, "actor").select("k", "actor", "region", (F.col("m") / F.col("_t")).alias("share")), "shares")
+    actors = total.select("actor")
+    pairs = actors.select(F.col("actor").alias("a")).join(actors.select(F.col("actor").alias("b")), F.col("a") < F.col("b"))
+    grid = pairs.crossJoin(regions.select("k").distinct())
+    by_topic = _pair_cosines(over, [], "topic", "e").withColumnRenamed("cosine", "full")
+    both = grid.join(by_topic, ["a", "b"], "left").join(_pair_cosines(share, ["k"], "region", "share"), ["k", "a", "b"], "left")
+    nine = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 9).alias(c)
+    rho = spearman(both.select("k", nine("full"), nine("cosine")), "full", "cosine", ["k"]).select("k", "rho")
+    most = share.groupBy("k", "actor").agg(F.max("share").alias("s")).groupBy("k").agg(
+        F.avg("s").alias("mean_dominant"), F.median("s").alias("median_dominant"), F.avg((F.round("s", 9) >= anchored).cast("double")).alias("anchored")
+    )
+    sizes = regions.groupBy("k", "region").agg(F.count(F.lit(1)).alias("n"), F.sum("excess").alias("x")).groupBy("k").agg(
+        F.min("n").alias("least_topics"), F.try_divide(F.min("x"), F.sum("x")).alias("least_signal"), F.count(F.lit(1)).alias("regions")
+    )
+    apart = regions.groupBy("k").agg(F.sum(F.col("weight") * F.pow(F.col("position") - F.col("centre"), F.lit(2.0))).alias("inertia"))
+    return apart.join(sizes, "k").join(most, "k", "left").join(rho, "k", "left")

@@ -156,3 +156,30 @@ SELECT k, round(inertia, 6) AS inertia, round(before - inertia, 6) AS gain, roun
 def i25b(spark, d):
     """The least weighted inertia of 1 to 7 centres on the first axis, topics weighing their smoothed excess; gains and elbow scores."""
     return axis.least_inertia(smoothed_places(spark, d), MOST, x="x").select("k", *rounded("inertia", "gain", "relative_gain", "elbow"))
+
+
+KS = range(2, 7)
+CLOSEST = "list_position(list_transform(cs, lambda y: abs(p.x - y)), list_min(list_transform(cs, lambda y: abs(p.x - y)))) = c"
+
+
+@query("i24b_region_validation", PLACED[: PLACED.index("ll AS")] + f"""lk AS (SELECT k, 0 AS r, list_transform(range(0, k), lambda c: c * 1.0 / (k - 1)) AS cs FROM (SELECT unnest(range({KS[0]}, {KS[-1] + 1})) AS k) UNION ALL
+  SELECT k, r + 1, list_transform(range(1, k + 1), lambda c: coalesce(list_sum(list_transform(list_filter(ps, lambda p: {CLOSEST}), lambda p: p.x * p.w)) / nullif(list_sum(list_transform(list_filter(ps, lambda p: {CLOSEST}), lambda p: p.w)), 0), cs[c])) FROM lk, pt WHERE r < 50),
+ak AS MATERIALIZED (SELECT DISTINCT k, a.topic, a.x FROM (SELECT ck.k, arg_min(struct_pack(topic := topic, x := x), (abs(x - c), x, topic)) AS a FROM sm, (SELECT k, unnest(cs) AS c FROM lk WHERE r = 50) ck GROUP BY ck.k, c)),
+cc AS (SELECT k, x AS centre, row_number() OVER (PARTITION BY k ORDER BY x) AS region FROM ak), cu AS (SELECT k, (x + lag(x) OVER (PARTITION BY k ORDER BY x)) / 2 AS cut FROM ak),
+tk AS MATERIALIZED (SELECT ks.k, sm.topic, any_value(x) AS x, any_value(excess) AS excess, any_value(weight) AS weight, count(*) FILTER (cut <= x) + 1 AS region FROM sm, (SELECT DISTINCT k FROM ak) ks JOIN cu ON cu.k = ks.k GROUP BY ks.k, sm.topic),
+ov AS (SELECT actor, topic, rca - 1 AS e FROM rca WHERE rca > 1), ms AS (SELECT k, actor, region, sum(e) / sum(sum(e)) OVER (PARTITION BY k, actor) AS s FROM ov JOIN tk USING (topic) GROUP BY k, actor, region),
+fu AS (SELECT a.actor AS a, b.actor AS b, sum(a.u * b.u) AS c FROM (SELECT *, e / sqrt(sum(e * e) OVER (PARTITION BY actor)) AS u FROM ov) a JOIN (SELECT *, e / sqrt(sum(e * e) OVER (PARTITION BY actor)) AS u FROM ov) b USING (topic) WHERE a.actor < b.actor GROUP BY ALL),
+mu AS (SELECT *, s / sqrt(sum(s * s) OVER (PARTITION BY k, actor)) AS u FROM ms), rc AS (SELECT k, a.actor AS a, b.actor AS b, sum(a.u * b.u) AS c FROM mu a JOIN mu b USING (k, region) WHERE a.actor < b.actor GROUP BY ALL),
+pg AS (SELECT k, x.actor AS a, y.actor AS b FROM (SELECT DISTINCT actor FROM ov) x JOIN (SELECT DISTINCT actor FROM ov) y ON x.actor < y.actor, (SELECT DISTINCT k FROM ak)),
+pc AS (SELECT pg.k, round(coalesce(fu.c, 0), 9) AS f, round(coalesce(rc.c, 0), 9) AS g FROM pg LEFT JOIN fu ON fu.a = pg.a AND fu.b = pg.b LEFT JOIN rc ON rc.k = pg.k AND rc.a = pg.a AND rc.b = pg.b),
+rk AS (SELECT k, rank() OVER (PARTITION BY k ORDER BY f) + (count(*) OVER (PARTITION BY k, f) - 1) / 2.0 AS rf, rank() OVER (PARTITION BY k ORDER BY g) + (count(*) OVER (PARTITION BY k, g) - 1) / 2.0 AS rg FROM pc),
+dm AS (SELECT k, avg(s) AS me, median(s) AS md, avg(CASE WHEN round(s, 9) >= 0.7 THEN 1.0 ELSE 0 END) AS an FROM (SELECT k, actor, max(s) AS s FROM ms GROUP BY ALL) GROUP BY k),
+sz AS (SELECT k, min(n) AS n, min(x) / sum(x) AS x, count(*) AS m FROM (SELECT k, region, count(*) AS n, sum(excess) AS x FROM tk GROUP BY ALL) GROUP BY k)
+SELECT CAST(q.k AS INTEGER) AS k, round(q.inertia, 6) AS inertia, round(z.rho, 6) AS rho, round(me, 6) AS mean_dominant, round(md, 6) AS median_dominant, round(an, 6) AS anchored, sz.n AS least_topics, round(sz.x, 6) AS least_signal, m AS regions
+FROM (SELECT k, sum(weight * pow(x - centre, 2)) AS inertia FROM tk JOIN cc USING (k, region) GROUP BY k) q JOIN dm USING (k) JOIN sz USING (k) JOIN (SELECT k, corr(rf, rg) AS rho FROM rk GROUP BY k) z USING (k)""")
+def i24b(spark, d):
+    """How two to six regions of the first axis stand for the portfolios: inertia, rank correlation of the similarities, anchoring, sizes."""
+    places = smoothed_places(spark, d)
+    found = cut(axis.centre_regions(places.withColumnRenamed("x", "position"), list(KS)).join(places.select("topic", "excess"), "topic"), "regions")
+    out = axis.region_validation(space.specialization(counts(spark, d)), found)
+    return out.select("k", *rounded("inertia", "rho", "mean_dominant", "median_dominant", "anchored"), "least_topics", *rounded("least_signal"), "regions")

@@ -71,3 +71,29 @@ def test_inertia_is_the_least_of_all_cuts(spark):
     assert sorted(got) == list(range(1, 10))
     assert [got[k]["inertia"] for k in range(1, 10)] == pytest.approx(want, abs=1e-9)
     assert got[1]["gain"] is None and got[3]["elbow"] == pytest.approx(want[0] - 2 * want[1] + want[2], abs=1e-9)
+
+
+def test_validation_of_regions_equals_matrices(spark):
+    r = np.random.default_rng(11)
+    rca = np.where(r.random((8, 12)) < 0.5, r.random((8, 12)) * 3, 0.0)
+    rca[7] = 0.5  # an actor without excess
+    x, e = np.sort(r.random(12)), np.maximum(rca - 1, 0)
+    name = lambda k: f"t{k:02}"
+    spec = spark.createDataFrame([(f"a{a}", name(t), float(rca[a, t])) for a in range(8) for t in range(12)], "actor string, topic string, rca double")
+    points = spark.createDataFrame([(name(t), float(x[t]), float(e[:, t].sum())) for t in range(12)], "topic string, position double, weight double")
+    regions = axis.centre_regions(points, [2, 4])
+    got = {g["k"]: g for g in axis.region_validation(spec, regions.withColumn("excess", regions["weight"])).collect()}
+    full = e[e.sum(axis=1) > 0]
+    assert 3 < len(full) < 8
+    full = full / full.sum(axis=1, keepdims=True)
+    upper = np.triu_indices(len(full), 1)
+    for k in (2, 4):
+        centres, cuts = kernels.centre_partition(x, e.sum(axis=0), k)
+        region = np.searchsorted(cuts, x, side="right")
+        share = full @ np.eye(k)[region]
+        assert got[k]["rho"] == pytest.approx(kernels.rank_correlation(kernels.cosines(full)[upper], kernels.cosines(share)[upper]), abs=1e-9)
+        assert got[k]["inertia"] == pytest.approx(float((e.sum(axis=0) * (x - centres[region]) ** 2).sum()))
+        assert (got[k]["mean_dominant"], got[k]["median_dominant"]) == pytest.approx((share.max(axis=1).mean(), np.median(share.max(axis=1))))
+        assert got[k]["anchored"] == pytest.approx((share.max(axis=1) >= 0.7).mean())
+        assert (got[k]["least_topics"], got[k]["regions"]) == (np.bincount(region).min(), k)
+        assert got[k]["least_signal"] == pytest.approx(np.bincount(region, weights=e.sum(axis=0)).min() / e.sum())
