@@ -99,5 +99,5 @@ SELECT attribute, round(observed, 6) AS observed, round(null_mean, 6) AS null_me
 @query("j09b_attribute_permutation_20000", _folded(20000))
 def j09b(spark, d):
     """Six attributes of the pairs between the first and the last region less those of the others, under 20,000 permutations."""
-    out = resample.folded_permutations(six_attributes(spark, d), "pair", "chosen", SIX, 20000, seed=9)
+    out = resample.folded_permutations(six_attributes(spark, d), "pair", "chosen", SIX, 20000, seed=9, whole=True)
     return out.select("attribute", *rounded("observed", "null_mean", "p"), "draws")
