@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomwork.operators.space import both_ways
+from loomwork.operators.stats import exact_percentiles
 
 
 def transitions(periods: DataFrame, period: str = "period", lag: int = 1) -> DataFrame:
@@ -112,7 +113,7 @@ def wilson(hits: Column, n: Column, z: float = 1.959963984540054) -> tuple[Colum
 
 def quantile_edges(df: DataFrame, x: str, bins: int) -> DataFrame:
     """One row: the sorted distinct quantile edges of x."""
-    return df.agg(F.array_sort(F.array_distinct(F.percentile(x, F.array(*[F.lit(k / bins) for k in range(bins + 1)])))).alias("edges"))
+    return exact_percentiles(df, x, [k / bins for k in range(bins + 1)]).select(F.array_sort(F.array_distinct("q")).alias("edges"))
 
 
 def quantile_bin(x: Column, edges: Column) -> Column:

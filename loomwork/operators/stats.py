@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomwork.sources.store import cut
+
 
 def average_rank(x: str, by: Sequence[str] = ()) -> Column:
     """Ranks from 1, ties sharing their mean."""
@@ -58,6 +60,31 @@ def quadratic_fit(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> Data
     return s.select(*by, F.expr("_a - _b * m + c2 * m * m").alias("c0"), F.expr("_b - 2 * c2 * m").alias("c1"), "c2")
 
 
+def exact_percentiles(df: DataFrame, x: str, at: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """by, q: the percentiles of x at the given shares, linear between neighbours, for each group (without ``by``: one row); null without a value.
+
+    Rows are sorted over all tasks and written with their place; the places
+    wanted follow from how many rows of each group a task has, so that no group's
+    values are held by one task.
+    """
+    by, known = list(by), df.filter(F.col(x).isNotNull())
+    placed = known.select(*by, x).orderBy(*by, x).select(*by, x, F.spark_partition_id().alias("_task"), F.monotonically_increasing_id().alias("_at"))
+    rows = cut(placed, "sorted")
+    tasks = rows.groupBy(*by, "_task").agg(F.count(F.lit(1)).alias("_k"), F.min("_at").alias("_first"))
+    whole = Window.partitionBy(*by)
+    tasks = tasks.withColumns({"_n": F.sum("_k").over(whole), "_before": F.sum("_k").over(whole.orderBy("_task")) - F.col("_k")})
+    share = F.posexplode(F.array(*[F.lit(float(p)) for p in at])).alias("_i", "_p")
+    place = F.col("_p") * (F.col("_n") - 1)
+    ends = tasks.select("*", share).withColumn("_place", place).withColumn("_rank", F.explode(F.array_distinct(F.array(F.floor("_place"), F.ceil("_place")))))
+    inside = (F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_k"))
+    wanted = ends.filter(inside).select(*by, "_i", "_place", "_rank", (F.col("_first") + F.col("_rank") - F.col("_before")).alias("_at"))
+    found = wanted.join(rows.select("_at", F.col(x).alias("_x")), "_at")
+    weight = 1 - F.abs(F.col("_place") - F.col("_rank"))
+    values = found.groupBy(*by, "_i").agg(F.sum(weight * F.col("_x")).alias("_v"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("_i", "_v"))), lambda s: s["_v"])
+    return values.groupBy(*by).agg(F.when(F.count(F.lit(1)) > 0, listed).alias("q"))
+
+
 def z_score(df: DataFrame, value: str, by: Sequence[str] = (), sample: bool = False) -> DataFrame:
     """``z``: 0 where there is no spread."""
     sd = F.stddev_samp if sample else F.stddev_pop

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomwork.operators import cube, panel, space
+from loomwork.operators import cube, panel, space, stats
 from loomwork.plans.facts import SQL, activity
 from loomwork.plans.queries_space import rounded, yearly
 from loomwork.plans.registry import query
@@ -102,7 +102,7 @@ def i12b(spark, d):
 
 @query("i15_popularity", PANEL + "SELECT prev AS period, topic, round(popularity, 6) AS popularity FROM pop")
 def i15(spark, d):
-    entities = activity(spark, d).agg(F.count_distinct("actor")).first()[0]
+    entities = yearly(spark, d).agg(F.count_distinct("actor")).first()[0]
     return panel.popularity(held(spark, d), F.lit(entities)).select("period", "topic", *rounded("popularity"))
 
 
@@ -137,8 +137,12 @@ def i18(spark, d):
     from loomwork.plans.facts import table
 
     rows = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_totalprice").alias("x"), F.col("c_acctbal").alias("y"))
-    binned = rows.crossJoin(panel.quantile_edges(rows, "x", 4)).withColumn("bin", panel.quantile_bin(F.col("x"), F.col("edges")))
-    return binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.round(F.median("x"), 4).alias("x"), F.round(F.median("y"), 4).alias("y"))
+    rows = cut(rows, "rows")
+    binned = rows.crossJoin(cut(panel.quantile_edges(rows, "x", 4), "edges")).withColumn("bin", panel.quantile_bin(F.col("x"), F.col("edges")))
+    out = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
+    for c in "xy":
+        out = out.join(stats.exact_percentiles(binned, c, [0.5], ["bin"]).select("bin", F.round(F.col("q")[0], 4).alias(c)), "bin", "left")
+    return out
 
 
 SPELLS = SQL + """, a AS (SELECT actor, topic, CAST(year - (SELECT min(year) FROM fact) AS INTEGER) AS s FROM ysup), m AS (SELECT CAST(max(year) - min(year) AS INTEGER) AS e FROM fact),
