@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Lines that one task joins and groups: tasks grow in number with the tables, not in memory.
+TASK_LINES = 200_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -13,14 +17,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each order line: doc, year, quarter, actor, topic.
 
-    Dimensions join on keys; whether they are broadcast is left to their size.
+    Dimensions join on keys.  Parts and orders grow with the lines and are
+    hashed part by part, so that no task sorts lines and none holds more than
+    its share.  Rows lie by document, in tasks of about ``TASK_LINES``.
     """
     t = lambda n: table(spark, sf_dir, n)
+    rows = t("lineitem").select("l_orderkey", "l_suppkey", "l_partkey")
     return (
-        t("lineitem").select("l_orderkey", "l_suppkey", "l_partkey")
+        rows
         .join(t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name"), F.col("l_suppkey") == F.col("s_suppkey"))
-        .join(t("part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
-        .join(t("orders").select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(t("part").select("p_partkey", "p_name").hint("shuffle_hash"), F.col("l_partkey") == F.col("p_partkey"))
+        .select("l_orderkey", "n_name", "p_name").repartition(1 + rows.count() // TASK_LINES, "l_orderkey")
+        .join(t("orders").select("o_orderkey", "o_orderdate").hint("shuffle_hash"), F.col("l_orderkey") == F.col("o_orderkey"))
         .select(
             F.col("l_orderkey").alias("doc"), F.year("o_orderdate").alias("year"), F.quarter("o_orderdate").alias("quarter"),
             F.col("n_name").alias("actor"), F.col("p_name").alias("topic"),

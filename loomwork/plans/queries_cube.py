@@ -161,4 +161,8 @@ def e13(spark, d):
 
 @query("i57_coverage", SQL + """SELECT year, count(DISTINCT doc) AS documents, count(DISTINCT actor) AS actors, count(DISTINCT topic) AS topics, count(*) AS n FROM fact GROUP BY year""")
 def i57(spark, d):
-    return activity(spark, d).groupBy("year").agg(F.count_distinct("doc").alias("documents"), F.count_distinct("actor").alias("actors"), F.count_distinct("topic").alias("topics"), F.count(F.lit(1)).alias("n"))
+    """A document is counted with the first of its facts, so that one reading makes the cube from which the rest is counted."""
+    docs = lines(spark, d).groupBy("year", "doc").agg(F.collect_set(F.struct("actor", "topic")).alias("_facts"))
+    facts = docs.select("year", F.posexplode("_facts").alias("_k", "_f")).groupBy("year", "_f.actor", "_f.topic")
+    held = facts.agg(F.count(F.lit(1)).alias("x"), F.count(F.when(F.col("_k") == 0, 1)).alias("d"))
+    return held.groupBy("year").agg(F.sum("d").alias("documents"), F.count_distinct("actor").alias("actors"), F.count_distinct("topic").alias("topics"), F.sum("x").alias("n"))

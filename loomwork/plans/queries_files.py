@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loomwork.operators import space
 from loomwork.plans.facts import SQL, activity, table
-from loomwork.plans.queries_space import counts, edges, rounded
+from loomwork.plans.queries_space import counts, edges, rounded, yearly
 from loomwork.plans.registry import query
 from loomwork.sources import store
 
@@ -67,7 +67,7 @@ def a06(spark, d):
 SELECT count(*) AS placed, (SELECT count(*) FROM v) AS topics, 0.0 AS mean_x, 1.0 AS deviation_y FROM p""")
 def a06b(spark, d):
     """How many topics the saved document places, by names in another spelling; the places are centred and scaled."""
-    topics = activity(spark, d).select("topic").distinct()
+    topics = yearly(spark, d).select("topic").distinct()
     places = store.saved_places(store.read_graph(spark, written_graph(spark, d))[0], topics, least_share=0.5)
     n = topics.agg(F.count(F.lit(1)).alias("topics"))
     if places is None:

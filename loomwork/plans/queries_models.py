@@ -12,13 +12,13 @@ from loomwork.plans.facts import SQL, activity, table
 from loomwork.plans.queries_pairs import distances, held, overlap
 from loomwork.plans.queries_panel import adoption
 from loomwork.plans.queries_panel import held as held_yearly
-from loomwork.plans.queries_space import counts, edges
+from loomwork.plans.queries_space import counts, edges, yearly
 from loomwork.plans.registry import query
 
 
 def space_matrix(spark, d):
     """The labels of all topics and the proximity matrix: as large as the topic universe."""
-    labels = sorted(r[0] for r in activity(spark, d).select("topic").distinct().collect())
+    labels = sorted(r[0] for r in yearly(spark, d).select("topic").distinct().collect())
     return labels, kernels.matrix(labels, [tuple(r) for r in edges(spark, d).select("i", "j", "phi").collect()])
 
 
@@ -34,7 +34,7 @@ def i37(spark, d):
 @query("i40_centralities")
 def i40(spark, d):
     """Centralities of every year's network; each year is one task."""
-    per_year = space.similarity(space.support(cube.count_cube(activity(spark, d), ["year", "actor", "topic"]), ["year"]), ["year"]).select("year", "i", "j", "phi")
+    per_year = space.similarity(space.support(yearly(spark, d), ["year"]), ["year"]).select("year", "i", "j", "phi")
 
     def run(pdf):
         import pandas as pd
@@ -162,7 +162,7 @@ def j11(spark, d):
 
 def both_panels(spark, d):
     adopt = adoption(spark, d).select("period", "actor", "topic", F.lit("adopt").alias("kind"), F.col("adopted").alias("outcome"), "closeness", "popularity")
-    n = activity(spark, d).agg(F.count_distinct("actor")).first()[0]
+    n = yearly(spark, d).agg(F.count_distinct("actor")).first()[0]
     keep = panel.persistence_panel(held_yearly(spark, d), edges(spark, d))
     pop = panel.popularity(held_yearly(spark, d), F.lit(n)).withColumnRenamed("period", "prev")
     kept = keep.join(pop, ["prev", "topic"], "left").select("period", "actor", "topic", F.lit("retain").alias("kind"), F.col("persisted").alias("outcome"), F.coalesce("closeness", F.lit(0.0)).alias("closeness"), "popularity")

@@ -14,7 +14,7 @@ from loomwork.operators import cube, models, pairs, panel, resample, space, stat
 from loomwork.plans.facts import SQL, activity, table
 from loomwork.plans.queries_pairs import PAIRS, distances, held, overlap, places
 from loomwork.plans.queries_panel import PANEL, adoption, edges_in, held_in, written
-from loomwork.plans.queries_space import REGIONS, edges, regions, rounded, yearly
+from loomwork.plans.queries_space import REGIONS, counts, edges, regions, rounded, yearly
 from loomwork.plans.registry import query
 
 ATTRIBUTES = ("mixed", "both", "one_of", "same_bloc")
@@ -185,7 +185,7 @@ def f15(spark, d):
 SELECT topic, CAST(row_number() OVER (ORDER BY region, run DESC, round(top, 9) DESC, topic) AS INTEGER) AS place FROM dm""")
 def k05(spark, d):
     """Topics by region, then falling run, then falling strength, then name; the universe of topics is ranked, not the facts."""
-    spec = space.specialization(cube.count_cube(activity(spark, d), ["actor", "topic"])).join(regions(spark, d), "topic")
+    spec = space.specialization(counts(spark, d)).join(regions(spark, d), "topic")
     each = spec.groupBy("topic").agg(F.first("region").alias("region"), F.count(F.when(F.col("active"), 1)).alias("run"), F.round(F.max("rca"), 9).alias("top"))
     return each.select("topic", F.row_number().over(Window.orderBy("region", F.desc("run"), F.desc("top"), "topic")).alias("place"))
 
@@ -264,7 +264,7 @@ def i47(spark, d):
 @query("i41_bridging")
 def i41(spark, d):
     """Betweenness times the bridging coefficient of every topic."""
-    labels = sorted(r[0] for r in activity(spark, d).select("topic").distinct().collect())
+    labels = sorted(r[0] for r in yearly(spark, d).select("topic").distinct().collect())
     w = kernels.matrix(labels, [tuple(r) for r in edges(spark, d).select("i", "j", "phi").collect()])
     value = kernels.centralities(w)["betweenness"] * kernels.bridging(w)
     return spark.createDataFrame([(t, float(v)) for t, v in zip(labels, np.asarray(value), strict=True)], "topic string, bridging double")

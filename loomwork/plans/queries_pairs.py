@@ -205,10 +205,10 @@ def j12(spark, d):
 
 def both_bases(spark, d):
     """start, end, basis, actor, topic: what actors hold in every block of ten years, by support (rpa) and by any activity (presence)."""
-    facts = activity(spark, d)
+    facts = yearly(spark, d)
     first, last = facts.agg(F.min("year"), F.max("year")).first()
     by = ["period_start", "period_end"]
-    x = cut(cube.count_cube(cube.assign_blocks(facts, "year", 10, first or 0, last or 0), [*by, "actor", "topic"]), "blocks")
+    x = cut(cube.assign_blocks(facts, "year", 10, first or 0, last or 0).groupBy(*by, "actor", "topic").agg(F.sum("x").alias("x")), "blocks")
     of = lambda sup, basis: sup.select(F.col("period_start").alias("start"), F.col("period_end").alias("end"), F.lit(basis).alias("basis"), "actor", "topic")
     return of(space.support(x, by), "rpa").unionByName(of(x, "presence"))
 

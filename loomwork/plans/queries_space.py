@@ -6,16 +6,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomwork.operators import cube, space
-from loomwork.plans.facts import SQL, activity
-from loomwork.plans.registry import query
+from loomwork.plans.facts import SQL, activity, lines
+from loomwork.plans.registry import once, query
+from loomwork.sources.store import cut
 
 
 def counts(spark, d):
-    return cube.count_cube(activity(spark, d), ["actor", "topic"])
+    return yearly(spark, d).groupBy("actor", "topic").agg(F.sum("x").alias("x"))
 
 
 def yearly(spark, d):
-    return cube.count_cube(activity(spark, d), ["year", "actor", "topic"])
+    """The facts of a year, actor and topic; the facts are read once in a query."""
+    return once(("yearly", d), lambda: cut(cube.count_cube(activity(spark, d), ["year", "actor", "topic"]), "yearly"))
 
 
 def edges(spark, d):
@@ -67,10 +69,10 @@ def l11(spark, d):
   WHERE e BETWEEN (SELECT min(year) + 3 FROM fact) AND (SELECT max(year) FROM fact) GROUP BY ALL)
 SELECT year, actor, topic, round((x * 1.0 / sum(x) OVER (PARTITION BY year, actor)) / (sum(x) OVER (PARTITION BY year, topic) * 1.0 / sum(x) OVER (PARTITION BY year)), 6) AS rca FROM w""")
 def h06(spark, d):
-    rows = activity(spark, d)
+    rows = yearly(spark, d)
     first, last = rows.agg(F.min("year"), F.max("year")).first()
     windows = cube.assign_rolling(rows, "year", 3, (first or 0) + 3, last or 0, "end").drop("year").withColumnRenamed("end", "year")
-    return space.specialization(cube.count_cube(windows, ["year", "actor", "topic"]), ["year"]).select("year", "actor", "topic", *rounded("rca"))
+    return space.specialization(windows.groupBy("year", "actor", "topic").agg(F.sum("x").alias("x")), ["year"]).select("year", "actor", "topic", *rounded("rca"))
 
 
 @query("i03b_yearly_proximity", SQL + """, yu AS (SELECT year, topic, count(*) AS u FROM ysup GROUP BY ALL),
@@ -115,7 +117,7 @@ PATHS = SQL + """, u AS (SELECT DISTINCT topic FROM fact), e0 AS (SELECT i, j, -
 
 @query("i08_shortest_path", PATHS + """SELECT a.topic AS i, b.topic AS j, round(coalesce(d, 1.25 * (SELECT max(d) FROM e6)), 6) AS distance FROM u a JOIN u b ON a.topic <> b.topic LEFT JOIN e6 ON i = a.topic AND j = b.topic""")
 def i08(spark, d):
-    nodes = cube.distinct_values(activity(spark, d), "topic").withColumnRenamed("topic", "node")
+    nodes = cube.distinct_values(yearly(spark, d), "topic").withColumnRenamed("topic", "node")
     return space.shortest_paths(edges(spark, d), nodes, -F.log("phi")).select("i", "j", *rounded("distance"))
 
 
@@ -132,7 +134,7 @@ sh AS (SELECT actor, region, w / sum(w) OVER (PARTITION BY actor) AS share, row_
 
 def regions(spark, d):
     """Three blocks of the topics in the order of their names; the universe of topics is ranked, not the facts."""
-    topics = cube.distinct_values(activity(spark, d), "topic")
+    topics = cube.distinct_values(yearly(spark, d), "topic")
     return topics.withColumn("region", F.ntile(3).over(Window.orderBy("topic")).cast("int"))
 
 
@@ -154,9 +156,11 @@ def c20(spark, d):
 @query("l08_fractional", SQL + """, n AS (SELECT doc, count(DISTINCT actor) AS k FROM fact GROUP BY doc)
 SELECT actor, topic, round(sum(1.0 / k), 6) AS x FROM fact JOIN n USING (doc) GROUP BY ALL""")
 def l08(spark, d):
-    rows = activity(spark, d)
-    n = rows.groupBy("doc").agg(F.count_distinct("actor").alias("k"))
-    return rows.join(n, "doc").groupBy("actor", "topic").agg(F.round(F.sum(1 / F.col("k")), 6).alias("x"))
+    """A document's facts are gathered, counted and spread again in one reading; equal shares are counted before they are added."""
+    docs = lines(spark, d).groupBy("doc").agg(F.collect_set(F.struct("year", "actor", "topic")).alias("_facts"))
+    k = F.size(F.array_distinct(F.filter(F.col("_facts.actor"), lambda a: a.isNotNull()))).alias("k")
+    shares_ = docs.select(k, F.inline("_facts")).groupBy("actor", "topic", "k").agg(F.count(F.lit(1)).alias("n"))
+    return shares_.groupBy("actor", "topic").agg(F.round(F.sum(F.try_divide("n", "k")), 6).alias("x"))
 
 
 LEFT_OUT = """, o AS (SELECT DISTINCT actor AS out FROM fact), k AS (SELECT out, actor, topic, x FROM cube, o WHERE actor <> out),
@@ -228,9 +232,9 @@ kp AS (SELECT kc.s, i, j, n * 1.0 / greatest(p.u, q.u) AS phi FROM kc JOIN ku p
 sc AS (SELECT i, j FROM phi WHERE phi >= (SELECT quantile_cont(phi, 0.95) FROM phi))
 SELECT CAST(b.s AS INTEGER) AS period_start, sc.i, sc.j, round(coalesce(phi, 0), 6) AS phi FROM (SELECT DISTINCT s FROM f) b CROSS JOIN sc LEFT JOIN kp ON kp.s = b.s AND kp.i = sc.i AND kp.j = sc.j""")
 def i54(spark, d):
-    rows = activity(spark, d)
+    rows = yearly(spark, d)
     first, last = rows.agg(F.min("year"), F.max("year")).first()
-    blocks = cube.count_cube(cube.assign_blocks(rows, "year", 3, first or 0, last or 0), ["period_start", "actor", "topic"])
+    blocks = cube.assign_blocks(rows, "year", 3, first or 0, last or 0).groupBy("period_start", "actor", "topic").agg(F.sum("x").alias("x"))
     whole = edges(spark, d)
     scaffold = whole.crossJoin(whole.agg(F.percentile("phi", 0.95).alias("q"))).filter("phi >= q").select("i", "j")
     per = space.similarity(space.support(blocks, ["period_start"]), ["period_start"]).select("period_start", "i", "j", "phi")

@@ -125,8 +125,8 @@ SELECT year, topic, bloc AS dominant, round(share, 6) AS share, round(CASE WHEN
 def i50b(spark, d):
     """Documents recoded to blocs: for each year and topic the bloc most specialized in it (none at 1 or above: the least bloc), its share and its index."""
     blocs = places(spark, d).select("actor", F.col("bloc").cast("int").alias("bloc"))
-    rows = activity(spark, d).join(blocs, "actor").select("doc", "year", "topic", "bloc").distinct()
-    spec = space.specialization(cube.count_cube(rows, ["year", "topic", "bloc"]), ["year"], entity="bloc")
+    rows = lines(spark, d).join(blocs, "actor").select("doc", "year", "topic", "bloc").distinct()
+    spec = space.specialization(cut(cube.count_cube(rows, ["year", "topic", "bloc"]), "blocs"), ["year"], entity="bloc")
     index = F.round("rca", 9)
     level = F.when(index >= 1, index).otherwise(0.0)
     first = F.row_number().over(Window.partitionBy("year", "topic").orderBy(F.desc(level), "bloc"))
