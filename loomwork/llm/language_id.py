@@ -33,9 +33,9 @@ from pyspark.sql import functions as F
 
 from loomwork.llm._shared import documents
 
-SAMPLE_DOCS, CHECKED_DOCS = 3000, 1000
+SAMPLE_DOCS = 3000
 HIDDEN, BATCH, STEPS, RATE, SEED = 16, 512, 900, 0.01, 17
-LONGEST, CACHED = 64, 400_000
+LONGEST, CACHED, POSITIONS = 64, 400_000, 65_536
 RUN = re.compile(r"[^\W\d_]+")
 
 
@@ -190,10 +190,12 @@ class Reader:
                 places.append(i)
                 pieces.append(piece)
         for n, (places, pieces) in groups.items():
-            for at in range(0, len(pieces), 8192):
-                y = self.net.log_probs(_matrix(pieces[at : at + 8192]))
+            # by positions: the states of long pieces take as much memory as those of short ones
+            step = max(1, POSITIONS // n)
+            for at in range(0, len(pieces), step):
+                y = self.net.log_probs(_matrix(pieces[at : at + step]))
                 got = np.concatenate([y.sum(axis=0), np.exp(y).sum(axis=0), np.full((y.shape[1], 1), n)], axis=1)
-                np.add.at(out, places[at : at + 8192], got)
+                np.add.at(out, places[at : at + step], got)
         return out
 
     def pool(self, texts: list[str]) -> np.ndarray:
@@ -258,16 +260,17 @@ def fit(df: DataFrame, folds: int = 5, sample_docs: int = SAMPLE_DOCS) -> Networ
     return train(list(zip(*[rows.column(k).to_pylist() for k in range(3)], strict=True)))
 
 
-def least_score(df: DataFrame, net: Network, folds: int = 5, sample_docs: int = CHECKED_DOCS) -> float:
+def least_score(df: DataFrame, net: Network, folds: int = 5) -> float:
     """The score below which a text is in no known language.
 
     Halfway between a guess among the languages and the score that all but one
-    in two hundred of the held-out labelled documents (a sample) reach; a guess
-    where none is held out.
+    in two hundred of all held-out labelled documents reach (rows that repeat id
+    and text count once); a guess where none is held out.
     """
     guess = 1 / max(1, len(net.langs))
-    scored = predict(_sample(_labelled(df, folds, True), sample_docs), net).filter("lang_pred <> 'und'")
-    got = scored.agg(F.percentile_approx("score", 0.005, 10_000)).first()[0]
+    rows = _labelled(df, folds, True).select("doc_id", "text", F.xxhash64("text").alias("_text"))
+    scored = predict(rows, net, keep=("_text",)).filter("lang_pred <> 'und'")
+    got = scored.groupBy("doc_id", "_text").agg(F.min("score").alias("score")).agg(F.percentile_approx("score", 0.005, 10_000)).first()[0]
     return guess if got is None else max(guess, (guess + got) / 2)
 
 
