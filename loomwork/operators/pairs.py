@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -142,11 +144,12 @@ def matched_residual(df: DataFrame, key: str, features: list[str], value: str, n
     return near.select(key, value, mean.alias("expected")).withColumn("residual", F.col(value) - F.col("expected"))
 
 
-def cosine_pairs(df: DataFrame, key: str, vector: str, block: int = 2048) -> DataFrame:
+def cosine_pairs(df: DataFrame, key: str, vector: str, block: int = 8192, strip: int = 128) -> DataFrame:
     """i < j over all rows and the cosine of their vectors to five digits; a norm of 0 counts as 1.
 
     Rows fall into blocks by their key; each pair of blocks is one task's
-    matrix product.  Null vectors, vectors with a null and vectors of unequal
+    matrix product, made and returned ``strip`` rows at a time.  A row is sent
+    once for each block, so large blocks keep the shuffle small.  Null vectors, vectors with a null and vectors of unequal
     length give null; equal keys are no pair.
     """
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
@@ -165,15 +168,17 @@ def cosine_pairs(df: DataFrame, key: str, vector: str, block: int = 2048) -> Dat
         norm = np.sqrt((x * x).sum(axis=1))
         return g["id"].to_numpy(), x, np.where(norm == 0, 1, norm), size
 
-    def run(cell: pd.DataFrame) -> pd.DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cell = pd.concat(list(batches), ignore_index=True)
         p, q = cell["p"].iloc[0], cell["q"].iloc[0]
         (a, x, nx, sx), (b, y, ny, sy) = side(cell[cell["own"] == p]), side(cell[cell["own"] == q])
         wide = min(x.shape[1], y.shape[1])
-        cosine = np.round(x[:, :wide] @ y[:, :wide].T / (nx[:, None] * ny), 5) + 0.0
-        cosine[(sx[:, None] != sy) | (sx[:, None] < 0)] = np.nan
-        m, n = np.nonzero(a[:, None] < b if p == q else a[:, None] != b)
-        found = cosine[m, n]
-        return pd.DataFrame({"i": np.minimum(a[m], b[n]), "j": np.maximum(a[m], b[n]), "cosine": found})
+        for at in range(0, len(a), strip):
+            s = slice(at, at + strip)
+            cosine = np.round(x[s, :wide] @ y[:, :wide].T / (nx[s, None] * ny), 5) + 0.0
+            cosine[(sx[s, None] != sy) | (sx[s, None] < 0)] = np.nan
+            m, n = np.nonzero(a[s, None] < b if p == q else a[s, None] != b)
+            yield pd.DataFrame({"i": np.minimum(a[s][m], b[n]), "j": np.maximum(a[s][m], b[n]), "cosine": cosine[m, n]})
 
     out = cells.groupBy("p", "q").applyInPandas(run, "i long, j long, cosine double")
     return out.withColumn("cosine", F.nanvl("cosine", F.lit(None).cast("double")))
