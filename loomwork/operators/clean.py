@@ -141,10 +141,16 @@ def canonical_code(*labels: Column, separator: str = "-") -> Column:
     return F.array_join(F.array_sort(F.array(*labels)), separator)
 
 
-def explode_activity(df: DataFrame, doc: str, actors: Column, topics: Column, keep: Sequence[str] = ()) -> DataFrame:
-    """Distinct (doc, actor, topic): every actor of a document with every topic of it."""
-    rows = df.select(doc, *keep, F.explode(topics).alias("topic"), actors.alias("_actors"))
-    return rows.select(doc, *keep, F.explode("_actors").alias("actor"), "topic").distinct()
+def explode_activity(df: DataFrame, doc: str, actors: Column, topics: Column, keep: Sequence[str] = (), once: bool = False) -> DataFrame:
+    """Distinct (doc, keep, actor, topic): every actor of a document with every topic of it.
+
+    ``once``: no two rows have the same doc and keep.  The lists are then made
+    distinct row by row, and the pairs, many more than the rows, are not grouped.
+    """
+    listed = F.array_distinct if once else lambda c: c
+    rows = df.select(doc, *keep, F.explode(listed(topics)).alias("topic"), listed(actors).alias("_actors"))
+    pairs = rows.select(doc, *keep, F.explode("_actors").alias("actor"), "topic")
+    return pairs if once else pairs.distinct()
 
 
 def drop_duplicate_documents(df: DataFrame, identity: Sequence[str], fallback: Sequence[str] = (), enabled: bool = True) -> DataFrame:

@@ -41,8 +41,9 @@ def e04(spark, d):
 @query("c01_split_clean_explode", CELLS + """SELECT DISTINCT doc, year, trim(a) AS actor, t AS topic
 FROM (SELECT doc, year, unnest(string_split(actors, ',')) AS a, ts FROM tops), unnest(ts) AS u(t)""")
 def c01(spark, d):
+    """The cells have one row for each document and year."""
     rows = cells(spark, d)
-    return clean.explode_activity(rows, "doc", clean.split_cell(F.col("actors"), ","), clean.clean_topics(F.col("topics")), ["year"]).select("doc", "year", "actor", "topic")
+    return clean.explode_activity(rows, "doc", clean.split_cell(F.col("actors"), ","), clean.clean_topics(F.col("topics")), ["year"], once=True).select("doc", "year", "actor", "topic")
 
 
 @query("c04_clean_cell", CELLS + "SELECT doc, nullif(array_to_string(ts, chr(9)), '') AS topics, CAST(len(ts) AS INTEGER) AS n FROM tops")

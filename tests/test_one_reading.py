@@ -1,6 +1,7 @@
 """Facts are read once in a query and lie in tasks of a bounded size."""
 
 import __spark_entry__ as e
+from loomwork.operators import clean
 from loomwork.plans import facts, queries_space, registry
 
 SF = "/root/testdata/sf0.001"
@@ -15,6 +16,15 @@ def test_a_query_reads_its_facts_once(spark, monkeypatch):
     assert registry._WRITTEN.get() is None
 
 
+def test_pairs_of_a_cell_are_not_grouped(spark):
+    rows = [(1, 2000, ["A", "B", "A"], ["x", "y", "x"]), (2, 2000, [], ["x"]), (3, 2001, ["A"], None)]
+    df = spark.createDataFrame(rows, "doc long, year int, a array<string>, t array<string>")
+    got, want = (clean.explode_activity(df, "doc", df.a, df.t, ["year"], once=once).collect() for once in (True, False))
+    assert sorted(got) == sorted(want) and len(got) == 4
+    plan = e.queries()["c01_split_clean_explode"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Aggregate")
+
+
 def test_tasks_grow_in_number_with_the_lines(spark, monkeypatch):
     monkeypatch.setattr(facts, "TASK_LINES", 500)
     rows = facts.activity(spark, SF)
