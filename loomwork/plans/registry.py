@@ -13,7 +13,7 @@ _WRITTEN: ContextVar[dict | None] = ContextVar("written", default=None)
 
 
 def once(key: tuple, build: Callable):
-    """``build()``, called once for each key within a registered query; nothing is kept from one query to the next."""
+    """``build()``, called once for each key within a registered query and those it calls; nothing is kept from one query to the next."""
     written = _WRITTEN.get()
     if written is None:
         return build()
@@ -28,6 +28,8 @@ def query(name: str, sql: str | None = None) -> Callable:
     def add(f: Callable) -> Callable:
         @wraps(f)
         def run(spark, sf_dir):
+            if _WRITTEN.get() is not None:  # called by another query, whose tables it shares
+                return f(spark, sf_dir)
             token = _WRITTEN.set({})
             try:
                 return f(spark, sf_dir)

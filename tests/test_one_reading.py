@@ -16,6 +16,16 @@ def test_a_query_reads_its_facts_once(spark, monkeypatch):
     assert registry._WRITTEN.get() is None
 
 
+def test_a_query_within_a_query_shares_its_facts(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(queries_space, "activity", lambda *a: calls.append(a) or facts.activity(*a))
+    for name in ("j10_class_pairs", "j10b_class_pairs_matched"):
+        before = len(calls)
+        e.queries()[name](spark, SF)
+        assert len(calls) == before + 1
+    assert registry._WRITTEN.get() is None
+
+
 def test_pairs_of_a_cell_are_not_grouped(spark):
     rows = [(1, 2000, ["A", "B", "A"], ["x", "y", "x"]), (2, 2000, [], ["x"]), (3, 2001, ["A"], None)]
     df = spark.createDataFrame(rows, "doc long, year int, a array<string>, t array<string>")
