@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm._shared import documents, id_text, vocabulary_path
+from loomwork.llm._shared import documents, id_text, map_batches, vocabulary_path
 
 NONE = np.int32(2**31 - 1)
 _EMPTY = np.int64(-1)
@@ -297,7 +297,7 @@ def encode_decode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: st
                 encoded = list(encoder.encode(texts[part]))
                 yield pa.RecordBatch.from_arrays([ids[part.start : part.stop], pa.array(encoded, pa.binary()), pa.array([decoder.decode(e) for e in encoded], pa.binary())], ["doc_id", "ids", "decoded"])
 
-    return id_text(df, id_col, text_col).mapInArrow(run, "doc_id long, ids binary, decoded binary")
+    return map_batches(id_text(df, id_col, text_col), run, "doc_id long, ids binary, decoded binary")
 
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"

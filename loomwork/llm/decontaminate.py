@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm._shared import documents, id_text, materialise, same_text, unlike
+from loomwork.llm._shared import documents, id_text, map_batches, materialise, same_text, unlike
 from loomwork.llm.bpe import small_batches
 
 MASKS = ("11010010101", "11101011", "1110100011", "111001101")
@@ -99,7 +99,7 @@ def _seed_rows(items: DataFrame) -> DataFrame:
                     n = len(s)
                     yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array([name] * n, pa.int64()), pa.array(range(n), pa.int32())], ["seed", "item_hash", "place"])
 
-    return items.mapInArrow(run, "seed long, item_hash long, place int")
+    return map_batches(items, run, "seed long, item_hash long, place int")
 
 
 def _passages(seeds: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -164,7 +164,7 @@ def _text_hits(rows: DataFrame, seeds: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(2).take(take), pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(where).astype(np.int32))], ["_doc_id", "_text_hash", "seed", "at"])
 
     named = rows.filter("text <> ''").select("doc_id", "text", F.xxhash64("text").alias("h"))
-    return named.mapInArrow(run, "_doc_id long, _text_hash long, seed long, at int")
+    return map_batches(named, run, "_doc_id long, _text_hash long, seed long, at int")
 
 
 def verified(words: np.ndarray, own: np.ndarray, diagonals: list[int]) -> tuple[int, int, int, int, int] | None:
@@ -220,7 +220,7 @@ class Hits:
         full = each.join(self.texts, F.col("_doc_id").eqNullSafe(F.col("doc_id")) & (F.col("_text_hash") == F.col("h")))
         full = full.join(self.own, F.col("item_hash") == F.col("ih"))
         schema = "_doc_id long, _text_hash long, times long, item_hash long, " + ", ".join(f"{n} int" for n in names)
-        return full.select("_doc_id", "_text_hash", "times", "item_hash", "text", "item", "diagonals").mapInArrow(run, schema)
+        return map_batches(full.select("_doc_id", "_text_hash", "times", "item_hash", "text", "item", "diagonals"), run, schema)
 
 
 def overlaps(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm._shared import documents
+from loomwork.llm._shared import documents, map_batches
 
 SAMPLE_DOCS = 3000
 HIDDEN, BATCH, STEPS, RATE, SEED = 16, 512, 900, 0.01, 17
@@ -256,7 +256,7 @@ def fit(df: DataFrame, folds: int = 5, sample_docs: int = SAMPLE_DOCS) -> Networ
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in count], pa.binary()), pa.array([k[1] for k in count], pa.string()), pa.array(list(count.values()), pa.int64())], ["run", "lang", "n"])
 
     taken = _sample(_labelled(df, folds, False), sample_docs).select("text", "lang")
-    rows = taken.mapInArrow(runs, "run binary, lang string, n long").groupBy("run", "lang").agg(F.sum("n").alias("n")).toArrow()
+    rows = map_batches(taken, runs, "run binary, lang string, n long").groupBy("run", "lang").agg(F.sum("n").alias("n")).toArrow()
     return train(list(zip(*[rows.column(k).to_pylist() for k in range(3)], strict=True)))
 
 
@@ -288,7 +288,7 @@ def predict(df: DataFrame, net: Network, id_col: str = "doc_id", text_col: str =
                 langs, scores = reader.label(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "own", "lang_pred", "score"])
 
-    out = rows.mapInArrow(run, f"doc_id {id_kind}, own {own_kind}, lang_pred string, score double")
+    out = map_batches(rows, run, f"doc_id {id_kind}, own {own_kind}, lang_pred string, score double")
     return out.select("doc_id", "lang_pred", "score", *[F.col("own")[c].alias(c) for c in keep])
 
 
@@ -311,7 +311,7 @@ def keep_identified(df: DataFrame, net: Network, least: float | None = None, tex
 
     # by number: a name with a dot in it could not be resolved
     plain = df.toDF(*[f"c{k}" for k in range(len(df.columns))])
-    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
+    return map_batches(plain, run, plain.schema).toDF(*df.columns)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm._shared import documents, id_text, materialise, same_text, unlike
+from loomwork.llm._shared import documents, id_text, map_batches, materialise, same_text, unlike
 from loomwork.llm.components import connected_components
 
 HASHES, BATCH, MISS, PRUNE = 100, 20, 2e-5, 1e-5
@@ -162,7 +162,7 @@ def signatures(df: DataFrame, size: int) -> DataFrame:
                 )
 
     keyed = df.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    return keyed.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, f0 long, f1 long, signature binary")
+    return map_batches(keyed, run, "doc_id long, text_hash long, n_shingles long, f0 long, f1 long, signature binary")
 
 
 def _bands(classes: DataFrame, rows: int) -> DataFrame:
@@ -175,7 +175,7 @@ def _bands(classes: DataFrame, rows: int) -> DataFrame:
                 ids = np.repeat(b.column(0).to_numpy(zero_copy_only=False), key.shape[1])
                 yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(ids, pa.int64())], ["bucket", "cls"])
 
-    return classes.select("cls", "signature").mapInArrow(run, "bucket long, cls long")
+    return map_batches(classes.select("cls", "signature"), run, "bucket long, cls long")
 
 
 def _sets(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -193,7 +193,7 @@ def _sets(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
     named = wanted.withColumnsRenamed({"doc_id": "_doc_id", "text_hash": "_text_hash"})
     texts = rows.filter(F.col("text").isNotNull()).join(named, same_text("doc_id", "text"))
-    return texts.select("cls", "signature", "text").mapInArrow(run, "cls long, signature binary, hashes binary")
+    return map_batches(texts.select("cls", "signature", "text"), run, "cls long, signature binary, hashes binary")
 
 
 def _survivors(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
@@ -214,7 +214,7 @@ def _survivors(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFr
 
     own = classes.select("cls", "signature")
     joined = pairs.join(own.toDF("a", "sa"), "a").join(own.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
-    return joined.mapInArrow(run, "a long, b long")
+    return map_batches(joined, run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -233,7 +233,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     own = sets.select("cls", "hashes")
     rows = pairs.join(own.toDF("a", "sa"), "a").join(own.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
-    return rows.mapInArrow(run, "a long, b long")
+    return map_batches(rows, run, "a long, b long")
 
 
 def cell_links(comps: np.ndarray, tiles: np.ndarray, signs: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -319,7 +319,7 @@ def _cell_links(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield flush(rows)
 
     dealt = cells.join(sets, "cls").select("bucket", "i", "j", "tile", "cls", "comp", "signature", "hashes").repartition("bucket", "i", "j")
-    return dealt.sortWithinPartitions("bucket", "i", "j").mapInArrow(run, "a long, b long")
+    return map_batches(dealt.sortWithinPartitions("bucket", "i", "j"), run, "a long, b long")
 
 
 def _judged(df: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
