@@ -4,41 +4,62 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 #: Lines that one task joins and groups: tasks grow in number with the tables, not in memory.
-TASK_LINES = 200_000
+TASK_LINES = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each order line: doc, year, quarter, actor, topic.
+def _numbered(df: DataFrame, name: str) -> DataFrame:
+    """The distinct values of a column, null among them, with a number each; only a universe of names is ranked."""
+    return df.select(name).distinct().withColumn(f"_{name}", F.row_number().over(Window.orderBy(name)))
+
+
+def _told(spark: SparkSession, sf_dir: str, distinct: bool) -> DataFrame:
+    """doc, year, quarter, actor, topic of each order line, or without the quarter each different one.
 
     Dimensions join on keys.  Parts and orders grow with the lines and are
     hashed part by part, so that no task sorts lines and none holds more than
-    its share.  Rows lie by document, in tasks of about ``TASK_LINES``.
+    its share.  Rows lie by document, in tasks of about ``TASK_LINES``
+    whatever the session's number of parts: each task sets aside memory before its
+    first row.  Until they are told apart, lines carry the numbers of their names,
+    which are joined last.
     """
     t = lambda n: table(spark, sf_dir, n)
     rows = t("lineitem").select("l_orderkey", "l_suppkey", "l_partkey")
-    return (
+    actors, topics = _numbered(t("nation"), "n_name"), _numbered(t("part"), "p_name")
+    nation = t("nation").join(actors.withColumnRenamed("n_name", "_n"), F.col("n_name").eqNullSafe(F.col("_n"))).select("n_nationkey", "_n_name")
+    part = t("part").join(topics.withColumnRenamed("p_name", "_p"), F.col("p_name").eqNullSafe(F.col("_p"))).select("p_partkey", "_p_name")
+    orders = t("orders").select("o_orderkey", F.year("o_orderdate").alias("year"), F.quarter("o_orderdate").alias("quarter"))
+    tasks = 1 + rows.count() // TASK_LINES
+    coded = (
         rows
-        .join(t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name"), F.col("l_suppkey") == F.col("s_suppkey"))
-        .join(t("part").select("p_partkey", "p_name").hint("shuffle_hash"), F.col("l_partkey") == F.col("p_partkey"))
-        .select("l_orderkey", "n_name", "p_name").repartition(1 + rows.count() // TASK_LINES, "l_orderkey")
-        .join(t("orders").select("o_orderkey", "o_orderdate").hint("shuffle_hash"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .select(
-            F.col("l_orderkey").alias("doc"), F.year("o_orderdate").alias("year"), F.quarter("o_orderdate").alias("quarter"),
-            F.col("n_name").alias("actor"), F.col("p_name").alias("topic"),
-        )
+        .join(t("supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select("l_orderkey", "l_partkey", "_n_name")
+        .join(part.hint("shuffle_hash"), F.col("l_partkey") == F.col("p_partkey"))
+        .select("l_orderkey", "_n_name", "_p_name").repartition(tasks, "l_orderkey")
     )
+    # a join of two bare exchanges would take the session's number of parts, however small
+    orders = orders.drop("quarter").repartition(tasks, "o_orderkey").distinct() if distinct else orders
+    coded = coded.distinct() if distinct else coded
+    dated = coded.join(orders.hint("shuffle_hash"), F.col("l_orderkey") == F.col("o_orderkey"))
+    named = dated.join(actors, "_n_name").join(topics, "_p_name")
+    return named.select(F.col("l_orderkey").alias("doc"), "year", *["quarter"] * (not distinct), F.col("n_name").alias("actor"), F.col("p_name").alias("topic"))
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each order line: doc, year, quarter, actor, topic."""
+    return _told(spark, sf_dir, False)
 
 
 def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct (doc, year, actor, topic)."""
-    return lines(spark, sf_dir).select("doc", "year", "actor", "topic").distinct()
+    return _told(spark, sf_dir, True)
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
