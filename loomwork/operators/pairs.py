@@ -144,21 +144,30 @@ def matched_residual(df: DataFrame, key: str, features: list[str], value: str, n
     return near.select(key, value, mean.alias("expected")).withColumn("residual", F.col(value) - F.col("expected"))
 
 
-def cosine_pairs(df: DataFrame, key: str, vector: str, block: int = 8192, strip: int = 128) -> DataFrame:
+def cosine_pairs(df: DataFrame, key: str, vector: str, block: int = 7168, strip: int = 128) -> DataFrame:
     """i < j over all rows and the cosine of their vectors to five digits; a norm of 0 counts as 1.
 
-    Rows fall into blocks by their key; each pair of blocks is one task's
-    matrix product, made and returned ``strip`` rows at a time.  A row is sent
-    once for each block, so large blocks keep the shuffle small.  Null vectors, vectors with a null and vectors of unequal
-    length give null; equal keys are no pair.
+    Rows fall into blocks of neighbouring keys; each pair of blocks is one
+    task's matrix product, made and returned ``strip`` rows at a time.  A row is
+    sent once for each block, so large blocks keep the shuffle small.  The
+    pairs are the bulk of the disk, so their order lets columnar files pack
+    them: by i within a strip of j, where i comes in runs and the js repeat.
+    The first strip of a task comes by cosine instead, so that files which look
+    at the first values to decide (Parquet) find that these repeat and number
+    them; a block is as large as one row group holds of its pairs.  Null
+    vectors, vectors with a null and vectors of unequal length give null; null
+    keys and equal keys are no pair.
     """
-    rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
+    rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v")).filter(F.col("id").isNotNull())
     blocks = max(1, -(-rows.count() // block))
-    own = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    inner = [k / blocks for k in range(1, blocks)]
+    ends = rows.agg(F.percentile_approx("id", inner, max(10_000, 100 * blocks))).first()[0] if inner else []
+    own = rows.withColumn("own", F.size(F.filter(F.lit(ends).cast("array<long>"), lambda end: end < F.col("id"))))
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     cells = dealt.select("id", "v", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
 
     def side(g: pd.DataFrame):
+        g = g.sort_values("id")
         size = np.array([-1 if v is None else len(v) for v in g["v"]])
         x = np.zeros((len(g), max(size.max(initial=0), 1)))
         for k, v in enumerate(g["v"]):
@@ -169,16 +178,17 @@ def cosine_pairs(df: DataFrame, key: str, vector: str, block: int = 8192, strip:
         return g["id"].to_numpy(), x, np.where(norm == 0, 1, norm), size
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cell = pd.concat(list(batches), ignore_index=True)
-        p, q = cell["p"].iloc[0], cell["q"].iloc[0]
-        (a, x, nx, sx), (b, y, ny, sy) = side(cell[cell["own"] == p]), side(cell[cell["own"] == q])
-        wide = min(x.shape[1], y.shape[1])
-        for at in range(0, len(a), strip):
-            s = slice(at, at + strip)
-            cosine = np.round(x[s, :wide] @ y[:, :wide].T / (nx[s, None] * ny), 5) + 0.0
-            cosine[(sx[s, None] != sy) | (sx[s, None] < 0)] = np.nan
-            m, n = np.nonzero(a[s, None] < b if p == q else a[s, None] != b)
-            yield pd.DataFrame({"i": np.minimum(a[s][m], b[n]), "j": np.maximum(a[s][m], b[n]), "cosine": cosine[m, n]})
-
-    out = cells.groupBy("p", "q").applyInPandas(run, "i long, j long, cosine double")
+        parts = list(batches)
+        for (p, q), cell in pd.concat(parts, ignore_index=True).groupby(["p", "q"]) if parts else ():
+            (a, x, nx, sx), (b, y, ny, sy) = side(cell[cell["own"] == p]), side(cell[cell["own"] == q])
+            wide = min(x.shape[1], y.shape[1])
+            for end in range(len(b), 0, -strip):  # the last js have most of the pairs that a block has within itself
+                s = slice(max(end - strip, 0), end)
+                cosine = np.round(x[:, :wide] @ y[s, :wide].T / (nx[:, None] * ny[s]), 5) + 0.0
+                cosine[(sx[:, None] != sy[s]) | (sx[:, None] < 0)] = np.nan
+                m, n = np.nonzero(a[:, None] < b[s])
+                pairs = pd.DataFrame({"i": a[m], "j": b[s][n], "cosine": cosine[m, n]})
+                yield pairs if end < len(b) else pairs.sort_values("cosine", key=lambda c: (c - c.median()).abs())
+
+    out = cells.repartitionById(blocks * (blocks + 1) // 2, (F.expr("q * (q + 1) div 2 + p")).cast("int")).mapInPandas(run, "i long, j long, cosine double")
     return out.withColumn("cosine", F.nanvl("cosine", F.lit(None).cast("double")))
